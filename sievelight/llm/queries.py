@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_store
+from . import bpe, embedding_dedup, host_reputation, order_minhash, packing, ppm_language, quality, token_store
 from .common import ship_package, staged
 
 
@@ -40,7 +40,39 @@ def packed_pieces(documents: DataFrame) -> DataFrame:
     return packing.pack(staged(light, "pieces"), capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op8_bit_packed_ids, op10_best_fit_packing)}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
+    base = F.col("failure_bits").bitwiseAND(F.lit(quality.mask_of("base"))) != 0
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failure_bits")
+
+
+def op4_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = ppm_language.held_out(F.col("doc_id"))
+    model = ppm_language.fit(documents.where(~held_out))
+    return ppm_language.predict(documents.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: Fixed rules of the registered query: verdict and pattern.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the quality labels, taken as labels of the pages with the same number."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    judged = host_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
 
