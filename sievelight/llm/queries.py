@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, host_reputation, order_minhash, packing, ppm_language, quality, token_store
+from . import bpe, embedding_dedup, host_reputation, line_dedup, order_minhash, packing, ppm_language, quality, sharding, token_store
 from .common import ship_package, staged
 
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_report(documents, line_dedup.duplicate_lines(documents))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pat = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pat).drop("text")
@@ -54,6 +59,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 40)
+
+
 def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = ppm_language.held_out(F.col("doc_id"))
@@ -72,7 +81,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
 
