@@ -11,8 +11,11 @@ Jaccard measure of an alignment, and 0.8 or more is a link.
 
 Equal texts are one class from the start and only their first document goes on.
 In a bucket of one sketch every member is first aligned with a pivot, the member
-whose sketches are the most common; members that this leaves in different
-components are then aligned with each other, all of them, so no link is lost.
+whose sketches are the most common. Where this leaves a bucket's members in
+different components, all pairs between components are looked at, block by block
+inside tasks: shared shingles are counted first, and pairs that share enough are
+aligned until the components are one. So no link between components is lost, and
+pairs are never written.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 PICK = 4
-#: Rounds in which buckets are aligned with a pivot before their components are aligned in full.
-PIVOT_ROUNDS = 2
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(64)], np.uint64)
@@ -166,6 +169,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def _counts(rows: list[np.ndarray]):
+    """For one row after another, how many labelled shingles it shares with each row."""
+    values = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for r in rows:
+        low, high = np.searchsorted(values, r, "left"), np.searchsorted(values, r, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        yield np.bincount(owner[at], minlength=len(rows))
+
+
+def _block_links(least: float):
+    """Links between components among the members of two blocks of a bucket, enough to connect what is linked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j, band = (group.column(n)[0].as_py() for n in ("i", "j", "band"))
+        block, ids, parts = (group.column(n).to_numpy() for n in ("block", "doc_id", "c"))
+        own = group.column("sketches").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        plain = [shingles(t) for t in texts_of(group.column("text"))]
+        labelled = [occurrence_labelled(s) for s in plain]
+        sizes = np.array([len(s) for s in plain])
+        parent = {int(c): int(c) for c in parts}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        us, vs = [], []
+        for x, shared in enumerate(_counts(labelled)):
+            may = (shared >= least * (sizes + sizes[x] - shared) - 1e-9) & (parts != parts[x])
+            if block[x] != i:
+                continue
+            may &= (block == j) if i != j else (np.arange(len(ids)) > x)
+            for y in np.flatnonzero(may):
+                # A pair of rows is looked at in the first bucket that they share.
+                if (own[x, :band] == own[y, :band]).any() or root(int(parts[x])) == root(int(parts[y])):
+                    continue
+                if aligned_similarity(plain[x], plain[y], least) >= least:
+                    parent[root(int(parts[x]))] = root(int(parts[y]))
+                    us.append(int(ids[x]))
+                    vs.append(int(ids[y]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
     """Per document ``doc_id, component_id, kept``: the smallest ``doc_id`` of its class, and whether it is that one.
 
@@ -178,40 +231,33 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, text: str =
     signed = staged(signatures(documents, text), "omh-signed")
     firsts = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")), "omh-firsts")
     entries = firsts.select("doc_id", "n_shingles", F.posexplode("sketches").alias("band", "key"))
-    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = entries.join(sizes, ["band", "key"])
+    bucket = ["band", "key"]
+    sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(entries.join(sizes, bucket), "omh-members")
     central = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    members = staged(members.join(central, "doc_id").select("band", "key", "doc_id", "n_shingles", "weight"), "omh-members")
-    wanted = members.select("doc_id").distinct()
-    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    texts = staged(texts.dropDuplicates(["doc_id"]), "omh-texts")
-    links, tried, classes = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        now = members.withColumn("c", F.col("doc_id")) if classes is None else members.join(classes.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        open_buckets = now.groupBy("band", "key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max_by(F.struct("doc_id", "c", "n_shingles"), F.struct("weight", -F.col("doc_id"))).alias("pivot"), F.max_by(F.struct("doc_id", "c", "n_shingles"), F.struct(F.col("c"), "weight", -F.col("doc_id"))).alias("other"))
-        open_buckets = open_buckets.where("least != most")
-        if turn < PIVOT_ROUNDS:
-            pivot = F.col("pivot") if turn == 0 else F.col("other")
-            pairs = now.join(open_buckets.select("band", "key", pivot.alias("p")), ["band", "key"]).where("c != p.c").select(F.col("doc_id").alias("u"), F.col("p.doc_id").alias("v"), F.col("n_shingles").alias("n"), F.col("p.n_shingles").alias("m"))
-        else:
-            rest = now.join(open_buckets.select("band", "key"), ["band", "key"], "left_semi")
-            mine = rest.select("band", "key", F.col("doc_id").alias("u"), F.col("c").alias("cu"), F.col("n_shingles").alias("n"))
-            yours = rest.select("band", "key", F.col("doc_id").alias("v"), F.col("c").alias("cv"), F.col("n_shingles").alias("m"))
-            pairs = mine.join(yours, ["band", "key"]).where("cu < cv").select("u", "v", "n", "m")
-        near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-        pairs = pairs.where(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = staged(pairs, "omh-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = staged(_verified(pairs, texts, least), "omh-links")
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        classes = components(links)
+    weighed = members.join(central, "doc_id")
+    pivots = staged(weighed.groupBy(*bucket).agg(F.max(F.struct("weight", -F.col("doc_id"), "doc_id", "n_shingles")).alias("p")).select(*bucket, F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("m")), "omh-pivots")
+    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    texts = staged(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "omh-texts")
+    near = F.least("n_shingles", "m") >= F.lit(least) * F.greatest("n_shingles", "m") - 1e-9
+    pairs = members.join(pivots, bucket).where(near & (F.col("doc_id") != F.col("pivot"))).select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
+    links = staged(_verified(staged(pairs, "omh-pairs"), texts, least), "omh-links")
+    classes = components(links).select(F.col("id").alias("doc_id"), "component")
+    # Buckets whose members are in several components: all members but the pivot with each other, in blocks.
+    wide = members.where("n > 2").join(classes, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    mixed = wide.join(pivots.select(*bucket, "pivot"), bucket)
+    still = mixed.where("doc_id != pivot").groupBy(*bucket).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select(*bucket)
+    mixed = mixed.join(still, bucket, "left_semi").where("doc_id != pivot")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mixed = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    mixed = staged(mixed.select(*bucket, "i", "j", "block", "doc_id", "c"), "omh-mixed")
+    loaded = mixed.join(firsts.select("doc_id", "sketches"), "doc_id").join(texts, "doc_id")
+    more = staged(loaded.groupBy(*bucket, "i", "j").applyInArrow(_block_links(least), "u long, v long"), "omh-links")
+    if not more.isEmpty():
+        classes = components(links.unionByName(more)).select(F.col("id").alias("doc_id"), "component")
     member = signed.select("digest", "doc_id").distinct().join(firsts.select("digest", F.col("doc_id").alias("first")), "digest")
-    class_of = classes.select(F.col("id").alias("first"), "component")
-    member = member.join(class_of, "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component_id"))
+    member = member.join(classes.withColumnRenamed("doc_id", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component_id"))
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     out = ids.join(member, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
