@@ -1,12 +1,66 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage takes what the one before it kept, written as Parquet and read again.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelight.llm import line_dedup, order_minhash, ppm_language, quality
+from sievelight.llm.common import ship_package, staged
+from sievelight.llm.queries import packed_pieces
+
+#: Documents whose language is less certain than this go.
+LEAST_SCORE = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of policy v1 rejects."""
+    ship_package(spark)
+    return quality.apply_policy(quality.ledger(docs), "v1", to="_kept").where("_kept").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the learned languages; without labelled rows nothing can be judged and all stay."""
+    ship_package(spark)
+    model = ppm_language.fit(docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs
+    judged = ppm_language.predict(docs, model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat or nearly repeat an earlier one; a document left without a word goes."""
+    clean = line_dedup.without_lines(docs, line_dedup.duplicate_lines(docs))
+    clean = clean.where(F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates; rows that repeat a document are one."""
+    ship_package(spark)
+    gone = order_minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(staged(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' pieces packed into sequences of 1024 tokens."""
+    ship_package(spark)
+    return packed_pieces(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("line dedup", dedup_lines), ("MinHash near-dedup", near_dedup), ("best-fit packing", packing)]
 
-STAGES: list = []
+#: Not expressible in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
