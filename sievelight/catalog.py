@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from .plans import base, telemetry  # noqa: F401
+
+FLAGSHIP = "host_windows"
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return dict(base.ORACLE_SQL)
