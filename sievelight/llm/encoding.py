@@ -8,8 +8,10 @@ and each distinct word needs encoding once per worker.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -46,14 +48,35 @@ class WordMemo:
         except KeyError:
             if len(known) > self._limit:
                 known.clear()
-            new = list(set(rest).difference(known))
+            new = [w for w in rest if w not in known]
             known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
             out = b"".join(map(known.__getitem__, rest))
         return (self._encode([first])[0] if first else b"") + out
 
 
+#: Where letters or digits meet ASCII punctuation (but for the apostrophe of contractions), or a
+#: lone line feed meets visible characters, the vocabularies' patterns always begin a new pre-token.
+#: (U+0130 ends in a mark, not a letter, once in lower case.)
+_BORDERS = re.compile(r"(?<=[^\W_İ])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[^\W_])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+_TAIL = ".,!?;:|#$%&*"
+#: Pieces that are one pre-token and change only in case: letters of Latin-1 after at most one space.
+_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for those from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class LibraryEncoder:
-    """A vocabulary file of the tokenizers library; strings of special tokens are ordinary text."""
+    """A vocabulary file of the tokenizers library; strings of special tokens are ordinary text.
+
+    Words are cut at certain pre-token borders and each distinct part is encoded
+    once: plain Latin parts by the library's model directly, all others by its
+    whole chain. That both give the same ids is tried on a few words first.
+    """
 
     def __init__(self, vocabulary_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,11 +85,42 @@ class LibraryEncoder:
         self._tok = Tokenizer.from_str(vocabulary_json)
         self._tok.encode_special_tokens = True
         self.vocab_size = self._tok.get_vocab_size()
+        self._model, self._letters = self._tok.model, byte_letters()
+        chain = json.loads(vocabulary_json)
+        self._lower = "Lowercase" in json.dumps(chain.get("normalizer"))
+        self._drops_space = not self._chain(" ")
+        tried = (" the", "The", " Lesung", " \u00e9t\u00e9", "\u00dcber", " of", " x", " stra\u00dfe", "\u00d8re", " qzxvj")
+        self._plain = all(self._direct(t) == self._chain(t) for t in tried)
+        self._parts: dict[str, bytes] = {}
         self._memo = WordMemo(self._words)
 
+    def _chain(self, part: str) -> bytes:
+        return np.array(self._tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _direct(self, part: str) -> bytes:
+        text = part.lower() if self._lower else part
+        text = text.lstrip(" ") if self._drops_space else text
+        ids = [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(self._letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _words(self, words: list[str]) -> list[bytes]:
-        batch = getattr(self._tok, "encode_batch_fast", self._tok.encode_batch)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in batch(words, add_special_tokens=False)]
+        known, out = self._parts, []
+        if len(known) > MEMO_WORDS:
+            known.clear()
+        for word in words:
+            stem = word.rstrip(_TAIL)
+            if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()) and stem[-1] != "\u0130":
+                parts = (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+            else:
+                parts = _BORDERS.split(word)
+            ids = b""
+            for part in parts:
+                found = known.get(part)
+                if found is None:
+                    found = known[part] = self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
+                ids += found
+            out.append(ids)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self._memo.encode(text or "")
