@@ -42,10 +42,14 @@ def roc_corners(points: DataFrame, by: list[str], score: str = "score") -> DataF
 
 
 def tpr_at_fpr(points: DataFrame, by: list[str], most: float, score: str = "score") -> DataFrame:
-    """The best true-positive rate at a false-positive rate of at most ``most``, with its highest threshold."""
-    held = roc_corners(points, by, score).where((F.col("pos") > 0) & (F.col("neg") > 0)).where(F.col("fp") / F.col("neg") <= most)
-    best = held.groupBy(*by).agg(F.max(F.struct("tp", F.col(score).alias("s"), "fp", "pos", "neg")).alias("b"))
-    return best.select(*by, rounded(F.col("b.tp") / F.col("b.pos")).alias("tpr"), rounded(F.col("b.fp") / F.col("b.neg")).alias("fpr"), rounded(F.col("b.s")).alias("threshold"))
+    """The best true-positive rate at a false-positive rate of at most ``most``, with its highest threshold.
+
+    The curve begins at (0, 0) above every score: both rates are 0 and the threshold null if no corner is in reach.
+    """
+    held = roc_corners(points, by, score).where((F.col("pos") > 0) & (F.col("neg") > 0))
+    best = held.groupBy(*by).agg(F.max(F.when(F.col("fp") / F.col("neg") <= most, F.struct("tp", F.col(score).alias("s"), "fp", "pos", "neg"))).alias("b"))
+    rate = lambda a, n: F.coalesce(rounded(F.col(f"b.{a}") / F.col(f"b.{n}")), F.lit(0.0))
+    return best.select(*by, rate("tp", "pos").alias("tpr"), rate("fp", "neg").alias("fpr"), rounded(F.col("b.s")).alias("threshold"))
 
 
 def ppv_at_base_rates(rates: DataFrame, by: list[str], base_rates: list[float], per_day: int = 1440) -> DataFrame:

@@ -46,7 +46,7 @@ def inclusion_paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """For each leaf the siblings from the bottom up: ``idx, level, sibling, hash``; levels without one are skipped."""
     depth = nodes.select("level").distinct()
     wanted = leaves.select(F.col("idx").alias("leaf")).join(F.broadcast(depth))  # a row per level
-    place = F.shiftright(F.col("leaf"), F.col("level"))
+    place = F.expr("shiftright(leaf, level)")
     wanted = wanted.withColumn("sibling", F.when(place % 2 == 0, place + 1).otherwise(place - 1))
     found = nodes.select("level", F.col("idx").alias("sibling"), "hash")
     return wanted.join(found, ["level", "sibling"]).select(F.col("leaf").alias("idx"), "level", "sibling", "hash")

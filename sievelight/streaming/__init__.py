@@ -1,0 +1 @@
+"""Structured Streaming forms of the windowed, stateful and ledger operators."""
