@@ -4,7 +4,7 @@ Labelled outcomes of pages are counted by host, registered domain and suffix.
 The rate of bad pages is shrunk down this tree: a suffix towards the overall
 rate, a domain towards its suffix, a host towards its domain, each by a
 beta-binomial prior whose strength is fitted by moments to the spread at its
-level. A host is blocked if the lower posterior bound of its rate of bad pages
+level and worth no more than the observations it comes from. A host is blocked if the lower posterior bound of its rate of bad pages
 is above a threshold. Explicit rules go before the reputation.
 
 Defined results: a url that is null or has no "://" has an empty host and path
@@ -71,15 +71,20 @@ def reputation(hosts: DataFrame, double_suffixes: list[str] = ()) -> DataFrame:
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rate_all"))
+    top = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_all"))
+    top = top.select("n_all", ((F.col("bad_all") + 0.5) / (F.col("n_all") + 1)).alias("rate_all"))
     for level, name in ((hosts, "m_host"), (domains, "m_domain"), (suffixes, "m_suffix")):
-        overall = overall.crossJoin(F.broadcast(_strength(level, name)))  # one row and one row
-    one = F.broadcast(overall)
-    suffix_rate = suffixes.crossJoin(one).select("suffix", "m_host", "m_domain", ((F.col("bad") + F.col("m_suffix") * F.col("rate_all")) / (F.col("n") + F.col("m_suffix"))).alias("rate_suffix"))
-    domain_rate = domains.join(suffix_rate, "suffix").select("domain", "suffix", "m_host", ((F.col("bad") + F.col("m_domain") * F.col("rate_suffix")) / (F.col("n") + F.col("m_domain"))).alias("rate_domain"))
+        top = top.crossJoin(F.broadcast(_strength(level, name)))  # one row and one row
+
+    def shrunk(strength: str, above: str, prior: str):
+        """The rate of a level and what it rests on; a prior is worth at most one observation more than those behind it."""
+        worth = F.least(F.coalesce(strength, F.lit(1.0)), F.col(above) + 1)
+        return (F.col("bad") + worth * F.col(prior)) / (F.col("n") + worth), F.col("n") + worth
+
+    suffix_rate = suffixes.crossJoin(F.broadcast(top)).select("suffix", "m_host", "m_domain", F.col("n").alias("n_suffix"), shrunk("m_suffix", "n_all", "rate_all")[0].alias("rate_suffix"))
+    domain_rate = domains.join(suffix_rate, "suffix").select("domain", "suffix", "m_host", F.col("n").alias("n_domain"), shrunk("m_domain", "n_suffix", "rate_suffix")[0].alias("rate_domain"))
     joined = hosts.join(domain_rate, ["domain", "suffix"])
-    size = F.col("n") + F.col("m_host")
-    rate = (F.col("bad") + F.col("m_host") * F.col("rate_domain")) / size
+    rate, size = shrunk("m_host", "n_domain", "rate_domain")
     return joined.select("host", "n", "bad", rate.alias("rate"), (rate - Z * F.sqrt(rate * (1 - rate) / (size + 1))).alias("bound"))
 
 

@@ -63,7 +63,7 @@ class PpmModel:
         self.costs: list[np.ndarray] = [np.zeros((0, n_lang), np.float32)] * (ORDER + 1)
         self.contexts: list[np.ndarray] = [np.zeros(0, np.uint32)] * (ORDER + 1)
         self.escapes: list[np.ndarray] = [np.zeros((0, n_lang), np.float32)] * (ORDER + 1)
-        for order in range(ORDER + 1):
+        for order in range(ORDER + 1 if counts else 0):
             self._fit_order(order, counts)
 
     @staticmethod
