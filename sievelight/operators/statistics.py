@@ -20,8 +20,8 @@ def holm(tests: DataFrame, by: list[str], name: str, p: str, alpha: float = 0.05
     """Step-down adjusted p-values; a null p stays null and is never rejected."""
     order = Window.partitionBy(*by).orderBy(p, name)
     known = tests.where(F.col(p).isNotNull())
-    ranked = known.withColumns({"i": F.row_number().over(order), "m": F.count("*").over(Window.partitionBy(*by))})
-    raised = ranked.withColumn("adjusted", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("m") - F.col("i") + 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    ranked = known.withColumns({"_i": F.row_number().over(order), "_m": F.count("*").over(Window.partitionBy(*by))})
+    raised = ranked.withColumn("adjusted", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_m") - F.col("_i") + 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))))
     judged = raised.withColumn("rejected", F.col("adjusted") <= alpha)
     rest = tests.where(F.col(p).isNull()).select(*by, name, p, F.lit(None).cast("double").alias("adjusted"), F.lit(False).alias("rejected"))
     return judged.select(*by, name, p, rounded(F.col("adjusted")).alias("adjusted"), "rejected").unionByName(rest)
