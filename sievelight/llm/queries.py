@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_report(documents, line_dedup.duplicate_lines(documents))
+    report = line_dedup.line_report(documents, line_dedup.duplicate_lines(documents))
+    return report.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,63 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+_SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_ONLY = lambda kept: f"length(regexp_replace(coalesce(text, ''), '[^{kept}]', '', 'g'))"
+
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_SPLIT} AS words FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i+1], words[i+2]) AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, {_ONLY("#*$%&|<>")} AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, {_ONLY("A-Z")} AS n_upper, {_ONLY("a-z")} AS n_lower FROM w LEFT JOIN p USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {quality.bit_of(r)} ELSE 0 END" for r, c in quality.RULES.items())})::BIGINT AS failure_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & {quality.mask_of("base")} <> 0 AS base_failed, failure_bits & {quality.mask_of("v1")} = 0 AS kept, failure_bits FROM b"""
+
+OP2_SQL = f"""
+WITH t AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+li AS (SELECT doc_id, line_no, list_filter(string_split(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> '') AS words FROM t),
+o AS (SELECT DISTINCT doc_id, line_no, words, array_to_string(words, ' ') AS norm FROM li WHERE len(words) >= {line_dedup.MIN_WORDS}),
+f AS (SELECT norm, any_value(words) AS words, min({{'d': doc_id, 'l': line_no}}) AS first FROM o GROUP BY norm),
+v AS (SELECT norm, first, len(words) AS n, i, array_to_string(list_concat(words[:i-1], words[i+1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM f)),
+c AS (SELECT norm, first, min(first) OVER (PARTITION BY n, i, rest) AS other FROM v UNION ALL SELECT v.norm, v.first, f.first FROM v JOIN f ON v.rest = f.norm UNION ALL SELECT f.norm, f.first, v.first FROM v JOIN f ON v.rest = f.norm),
+near AS (SELECT norm FROM c GROUP BY norm, first HAVING min(other) < first),
+d AS (SELECT doc_id, line_no, {{'d': doc_id, 'l': line_no}} = first AS is_near FROM o JOIN f USING (norm) WHERE {{'d': doc_id, 'l': line_no}} <> first OR norm IN (SELECT norm FROM near)),
+r AS (SELECT doc_id, count(*) FILTER (NOT is_near) AS n_equal, count(*) FILTER (is_near) AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM d GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN r USING (doc_id)"""
+
+OP4_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""
+
+
+def _op9_sql() -> str:
+    def level(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT CASE WHEN p * (1 - p) > 0 AND room > 0 THEN (bb - bad * p - p * (1 - p) * (k - 1)) / (p * (1 - p) * room) END AS rho FROM
+  (SELECT *, n - nn / n - (k - 1) AS room, bad / n AS p FROM (SELECT sum(n) AS n, sum(bad) AS bad, count(*) AS k, sum(n * n) AS nn, sum(bad * bad / n) AS bb FROM {source} WHERE n > 0)))"""
+
+    strength = lambda name: f"(SELECT 1 / greatest(0.001, least(0.5, coalesce(rho, 0.001))) - 1 FROM {name})"
+    ranked = sorted(URL_RULES, key=lambda r: (-len(r[1]), -r[1].index("/")))
+    fits = [(f"(host = '{p.split('/')[0]}' OR ends_with(host, '.{p.split('/')[0]}')) AND starts_with(path, '/{p.partition('/')[2]}')", v, p) for v, p in ranked]
+    case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM h LEFT JOIN k USING (page_id) GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+top AS (SELECT coalesce(sum(n), 0) AS n, (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS rate FROM suffixes),
+{level("mh", "hosts")}, {level("md", "domains")}, {level("ms", "suffixes")},
+s AS (SELECT suffix, s.n, (bad + least({strength("ms")}, t.n + 1) * rate) / (s.n + least({strength("ms")}, t.n + 1)) AS rate FROM suffixes s CROSS JOIN top t),
+d AS (SELECT domain, d.suffix, d.n, (bad + least({strength("md")}, s.n + 1) * rate) / (d.n + least({strength("md")}, s.n + 1)) AS rate FROM domains d JOIN s ON d.suffix = s.suffix),
+r AS (SELECT host, (bad + w * prior) / (n + w) AS rate, n + w AS size FROM (SELECT host, x.n, x.bad, d.rate AS prior, least({strength("mh")}, d.n + 1) AS w FROM hosts x JOIN d ON x.domain = d.domain AND x.suffix = d.suffix))
+SELECT page_id, host, path, {case(2)} AS rule, coalesce({case(1)}, CASE WHEN rate - {host_reputation.Z} * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM h JOIN r USING (host)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
 
 
 def _shipped(query):
