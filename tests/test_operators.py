@@ -167,3 +167,70 @@ def test_profiles(spark):
     assert profiles.cheapest(costs).first().segment in range(150, 200)
     scaled = profiles.robust_scaled(frame(spark, [(1.0, True), (2.0, True), (3.0, True), (100.0, False)], "x double, t boolean"), ["x"], F.col("t"))
     assert sorted(r.x for r in scaled.collect()) == [-1.0, 0.0, 1.0, 98.0]
+
+
+def test_consistency(spark):
+    from sievelight.operators import proofs
+
+    n = 23
+    leaves = frame(spark, [(i, f"e{i}") for i in range(n)], "idx long, entry string").select("idx", ledger.leaf_hash(F.col("entry")).alias("hash")).cache()
+    hashes = [r.hash for r in leaves.orderBy("idx").collect()]
+    nodes = ledger.levels(leaves, n).cache()
+    root = ledger.root_of(hashes)
+    for old in (1, 4, 7, 16, 22, 23):
+        proof = proofs.consistency_proof(nodes, old, n)
+        assert proofs.verify_consistency(old, n, ledger.root_of(hashes[:old]), root, proof)
+        assert not proofs.verify_consistency(old, n, ledger.root_of(hashes[: old - 1] + ["00" * 32]), root, proof)
+    signer = proofs.Signer(spark)
+    head = proofs.tree_head("log", n, root, 1)
+    assert signer.verify(head, signer.sign(head)) and not signer.verify(head + b"x", signer.sign(head)) and not signer.verify(head, "zz")
+    cut = ledger.segments(leaves, 8)
+    assert {r.segment: r.root for r in proofs.segment_roots(cut).collect()}[0] == ledger.root_of(hashes[:8])
+
+
+def test_certificate(spark):
+    from sievelight.operators import certificate
+
+    rows = frame(spark, [(i, float(i % 50), float(i % 3), f"g{i % 7}", i % 2, i % 5 == 0) for i in range(300)], "row_id long, a double, b double, g string, m int, y0 boolean").withColumn("y", F.col("y0").cast("int"))
+    parts = splits.random_stratified(rows, "y", 1)
+    got = certificate.certificate(rows, parts, ["a", "b"], "g", ["m"], "y", bits=8)
+    by = {r.measure: (r.value, r.severity) for r in got.collect()}
+    assert by["fraction"][1] in ("warn", "fail") and by["groups on several sides"] == (21.0, "fail") and len(by) == 6
+    assert certificate.verdict(got).first().worst == "fail"
+    assert certificate.halt_gate(0.86, 0.79) == "pass" and certificate.halt_gate(0.80, 0.799) == "report-only"
+    with pytest.raises(certificate.HaltGate):
+        certificate.halt_gate(0.86, 0.855)
+
+
+def test_templates(spark):
+    from sievelight.operators import templates
+
+    messages = ["CRON[22]: session opened for user root", "CRON[99]: session opened for user root", "kernel: oops at 0xdeadbeef now", "CRON[1]: session opened for user bob", "dnsmasq: reply 10.0.0.1 is ok"]
+    lines = frame(spark, [("h", 0 if i < 3 else 60, i, m) for i, m in enumerate(messages)], "host string, window_start long, seq long, message string")
+    found = templates.mine(lines)
+    by = {r.template_id: r.template for r in found.collect()}
+    assert len(by) == 3 and by[1] == "CRON[<n>]: session opened for user <*>"
+    got = {r.window_start: (r.n_events, r.n_templates, r.dominant_id, r.n_new) for r in templates.window_features(lines, found, ["host", "window_start"]).collect()}
+    assert got == {0: (3, 2, 1, 2), 60: (2, 2, 1, 1)}
+
+
+def test_runs(spark, tmp_path):
+    from sievelight.operators import runs
+
+    for seed, ap in ((0, 0.5), (1, 0.7)):
+        runs.write_run(spark, f"{tmp_path}/runs", {"model": "m", "dataset": "d", "split": "r0", "seed": seed}, {"ppv": {"0.0001": ap}})
+    index = runs.load_index(spark, f"{tmp_path}/runs")
+    row = runs.cells(index, ("ppv", "0.0001"), ["r0"]).first()
+    assert row.r0_mean == pytest.approx(0.6) and "0.6000" in runs.markdown(runs.cells(index, ("ppv", "0.0001"), ["r0"]))
+    runs.write_run(spark, f"{tmp_path}/runs", {"model": "m", "dataset": "e", "split": "r0"}, {})
+    with pytest.raises(runs.PooledDatasets):
+        runs.cells(runs.load_index(spark, f"{tmp_path}/runs"), ("x",), ["r0"])
+
+
+def test_generator(spark):
+    from sievelight.operators import generators
+
+    rows = generators.host_windows(spark, 3, 3, 400, 0.1).cache()
+    assert rows.count() == 3600 and 0.03 < rows.agg(F.avg("y")).first()[0] < 0.15
+    assert generators.contract_violations(rows).first().asDict() == {"label_not_binary": 0, "positive_unlabellable": 0, "no_window": 0}
+    assert rows.repartition(5).agg(F.sum("x3")).first()[0] == pytest.approx(rows.agg(F.sum("x3")).first()[0])
