@@ -17,7 +17,7 @@ earliest neighbour found is then confirmed by the edit distance of the words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -26,28 +26,33 @@ from .common import staged
 MIN_WORDS = 5
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line: what stands between ASCII white space."""
-    return F.array_remove(F.split(F.translate(line, "\t\r\x0b\x0c", "    "), " "), "")
+def normal_line(line: Column) -> Column:
+    """The line's words with one space between them; words are what stands between ASCII white space."""
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " "))).otherwise(F.trim(line))
 
 
 def _lines(documents: DataFrame, text: str) -> DataFrame:
+    """``doc_id, line_no, norm, n`` of lines with enough words."""
     rows = documents.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     rows = rows.select("doc_id", F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    rows = rows.select("doc_id", "line_no", normal_line(F.col("line")).alias("norm"))
+    n = F.when(F.col("norm") == "", 0).otherwise(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    return rows.withColumn("n", n).where(F.col("n") >= MIN_WORDS)
 
 
 def _identity() -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n")]
+    return [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.col("n")]
 
 
 def _half_keys() -> Column:
     """Hashes of the halves that one edit may leave untouched, against partners of n or n - 1 and n + 1 words."""
-    n = F.size("words")
-    head = lambda k: F.xxhash64(F.lit("head"), k, F.slice("words", F.lit(1), k))
-    tail = lambda k: F.xxhash64(F.lit("tail"), k, F.slice("words", n - k + 1, k))
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(head(half), head(less), tail(n - half), tail(n - 1 - less)))
+    head = lambda k: F.expr(f"hash(1, {k}, substring_index(norm, ' ', {k}))")
+    tail = lambda k: F.expr(f"hash(2, {k}, substring_index(norm, ' ', -({k})))")
+    half, less = "n div 2", "(n - 1) div 2"
+    return F.array_distinct(F.array(*[f(f"int({k})") for f, k in ((head, half), (head, less), (tail, f"n - {half}"), (tail, f"n - 1 - {less}"))]))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -73,22 +78,22 @@ def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     occurrences = staged(lines.select("doc_id", "line_no", *_identity(), _half_keys().alias("halves")), "line-occurrences")
     firsts = occurrences.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     firsts = staged(firsts.select("h1", "h2", "n", "first.doc_id", "first.line_no", "copies", "halves"), "line-firsts")
-    halves = firsts.select("h1", F.col("doc_id"), F.col("line_no"), F.explode("halves").alias("half"))
+    halves = firsts.select("h1", "doc_id", "line_no", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("doc_id", "line_no").distinct()
-    # The words of lines with possible neighbours, from their first occurrence.
-    held = staged(lines.join(wanted, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]), "line-candidates")
-    at = held.select("doc_id", "line_no", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+    wanted = halves.select("half", "doc_id", "line_no").join(shared, "half", "left_semi").select("doc_id", "line_no").distinct()
+    # The text of lines with possible neighbours, from their first occurrence.
+    held = staged(lines.join(staged(wanted, "line-wanted"), ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]), "line-candidates")
+    at = held.select("doc_id", "line_no", "n", F.posexplode(F.split("norm", " ")).alias("place", "word"))
     hashed = at.select("doc_id", "line_no", "n", "place", F.xxhash64("word", "place").alias("here"), F.xxhash64("word", F.col("place") - 1).alias("left"))
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("doc_id", "line_no").orderBy("place")
-    back = Window.partitionBy("doc_id", "line_no").orderBy(F.desc("place"))
-    gaps = hashed.withColumns({"before": F.bit_xor("here").over(run), "after": F.bit_xor("left").over(back)})
-    rest = F.col("before").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("after")).bitwiseXOR(F.col("left"))
-    variants = gaps.select("doc_id", "line_no", F.xxhash64(F.col("n") - 1, rest).alias("variant"), F.when(F.col("place") >= 0, F.col("place")).alias("gap"))
-    whole = gaps.where("place = n - 1").select("doc_id", "line_no", F.xxhash64("n", "before").alias("variant"), F.lit(-1).alias("gap"))
-    keys = staged(variants.unionByName(whole), "line-variants")
+    line = Window.partitionBy("doc_id", "line_no").orderBy("place")
+    whole_line = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gaps = hashed.withColumns({"upto": F.bit_xor("here").over(line), "left_upto": F.bit_xor("left").over(line), "left_all": F.bit_xor("left").over(whole_line)})
+    # The words before the gap at their places, and those after it one place to the left.
+    rest = F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("left_all")).bitwiseXOR(F.col("left_upto"))
+    whole_key = F.struct(F.xxhash64("n", "upto").alias("variant"), F.lit(-1).alias("gap"))
+    gap_key = F.struct(F.xxhash64(F.col("n") - 1, rest).alias("variant"), F.col("place").alias("gap"))
+    both = F.when(F.col("place") == F.col("n") - 1, F.array(gap_key, whole_key)).otherwise(F.array(gap_key))
+    keys = staged(gaps.select("doc_id", "line_no", F.explode(both).alias("key")).select("doc_id", "line_no", "key.variant", "key.gap"), "line-variants")
     place = F.struct("doc_id", "line_no")
     earliest = keys.groupBy("variant", "gap").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
     by_variant = earliest.groupBy("variant").agg(
@@ -101,8 +106,8 @@ def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     best = replaced.unionByName(changed).groupBy("doc_id", "line_no").agg(F.min("first").alias("first")).where(F.col("first") < place)
     pairs = best.select("doc_id", "line_no", F.col("first.doc_id").alias("keeper_doc_id"), F.col("first.line_no").alias("keeper_line_no"))
     mine = pairs.join(held, ["doc_id", "line_no"])
-    theirs = held.select(F.col("doc_id").alias("keeper_doc_id"), F.col("line_no").alias("keeper_line_no"), F.col("words").alias("keeper_words"))
-    confirmed = mine.join(theirs, ["keeper_doc_id", "keeper_line_no"]).where(_within_one(F.col("words"), F.col("keeper_words")))
+    theirs = held.select(F.col("doc_id").alias("keeper_doc_id"), F.col("line_no").alias("keeper_line_no"), F.col("norm").alias("keeper_norm"))
+    confirmed = mine.join(theirs, ["keeper_doc_id", "keeper_line_no"]).where(_within_one(F.split("norm", " "), F.split("keeper_norm", " ")))
     near = confirmed.select(F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), "keeper_doc_id", "keeper_line_no")
     # Lines that occur once and have no neighbour need no further look.
     judged = firsts.select("h1", "h2", "n", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), "copies").join(near, ["f_doc", "f_line"], "left").where("copies > 1 OR keeper_doc_id IS NOT NULL")
