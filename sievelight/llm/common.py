@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,12 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     A session without the setting (a test on one machine) gets a folder of its
     own; on a cluster the setting must be there.
     """
-    found = spark.conf.get(SHARED, None)
+    sc = spark.sparkContext
+    found = spark.conf.get(SHARED, None) or getattr(sc, "_sievelight_shared", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError(f"{SHARED} must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sievelight-")
-        spark.conf.set(SHARED, found)
+        found = sc._sievelight_shared = "file://" + tempfile.mkdtemp(prefix="sievelight-")
     return found.rstrip("/")
 
 
