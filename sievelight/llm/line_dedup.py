@@ -24,6 +24,8 @@ from .common import staged
 
 #: Lines with fewer words are left alone.
 MIN_WORDS = 5
+#: Size of the bitmap that spares lines without possible neighbours a shuffle: 8 MB.
+FILTER_BITS = 1 << 26
 
 
 def normal_line(line: Column) -> Column:
@@ -64,6 +66,21 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (head + tail >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
+def _likely(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines that may be wanted, by a bitmap of ``FILTER_BITS`` places: all that are, and a few others.
+
+    The bitmap is cut into pieces of 4 KB, so what is broadcast has a fixed
+    bound. It only spares the shuffle lines that would find no partner.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(FILTER_BITS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    octet = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(octet, bit) & 1") == 1
+    joined = lines.withColumn("piece", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "piece")
+    return joined.withColumns({"octet": octet, "bit": (at % 8).cast("int")}).where(is_set).select(*lines.columns)
+
+
 def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """Lines to leave out: ``doc_id, line_no`` (from 0), ``near`` (false: equal to an earlier line), ``keeper_doc_id, keeper_line_no``.
 
@@ -82,7 +99,8 @@ def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("half")
     wanted = halves.select("half", "doc_id", "line_no").join(shared, "half", "left_semi").select("doc_id", "line_no").distinct()
     # The text of lines with possible neighbours, from their first occurrence.
-    held = staged(lines.join(staged(wanted, "line-wanted"), ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]), "line-candidates")
+    wanted = staged(wanted, "line-wanted")
+    held = staged(_likely(lines, wanted).join(wanted, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]), "line-candidates")
     at = held.select("doc_id", "line_no", "n", F.posexplode(F.split("norm", " ")).alias("place", "word"))
     hashed = at.select("doc_id", "line_no", "n", "place", F.xxhash64("word", "place").alias("here"), F.xxhash64("word", F.col("place") - 1).alias("left"))
     line = Window.partitionBy("doc_id", "line_no").orderBy("place")
@@ -95,7 +113,7 @@ def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     both = F.when(F.col("place") == F.col("n") - 1, F.array(gap_key, whole_key)).otherwise(F.array(gap_key))
     keys = staged(gaps.select("doc_id", "line_no", F.explode(both).alias("key")).select("doc_id", "line_no", "key.variant", "key.gap"), "line-variants")
     place = F.struct("doc_id", "line_no")
-    earliest = keys.groupBy("variant", "gap").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
+    earliest = staged(keys.groupBy("variant", "gap").agg(F.min(place).alias("first"), F.count("*").alias("lines")), "line-earliest")
     by_variant = earliest.groupBy("variant").agg(
         F.min(F.when(F.col("gap") == -1, F.col("first"))).alias("whole"), F.min(F.when(F.col("gap") >= 0, F.col("first"))).alias("shortened")
     )
