@@ -55,3 +55,29 @@ def inflation(runs: DataFrame, model: str, split: str, value: str, splits: list[
     table = runs.groupBy(model).pivot(split, splits).agg(F.avg(value))
     drop = F.col(splits[0]) - F.col(splits[1])
     return table.select(model, *[rounded(F.col(s)).alias(s) for s in splits], rounded(drop).alias("drop"), (drop >= 0.02).alias("passes"))
+
+
+def wilcoxon(first: list[float], second: list[float], fewest: int = 6) -> float | None:
+    """Two-sided exact p of the signed-rank test over a few paired runs; null under ``fewest`` pairs, 1 if all are equal.
+
+    Pairs without a difference are left out; tied differences share their mean
+    rank. Ranks are doubled, so that the distribution counts in whole numbers.
+    """
+    if len(first) != len(second):
+        raise ValueError("runs are not paired")
+    if len(first) < fewest:
+        return None
+    differences = sorted((a - b for a, b in zip(first, second, strict=True) if a != b), key=abs)
+    if not differences:
+        return 1.0
+    sizes = [abs(d) for d in differences]
+    doubled = [sizes.index(s) + 1 + len(sizes) - sizes[::-1].index(s) for s in sizes]
+    ways = {0: 1}
+    for rank in doubled:
+        more = dict(ways)
+        for total, n in ways.items():
+            more[total + rank] = more.get(total + rank, 0) + n
+        ways = more
+    positive = sum(r for r, d in zip(doubled, differences, strict=True) if d > 0)
+    low = min(positive, sum(doubled) - positive)
+    return min(1.0, 2 * sum(n for total, n in ways.items() if total <= low) / 2 ** len(doubled))

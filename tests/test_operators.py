@@ -234,3 +234,31 @@ def test_generator(spark):
     assert rows.count() == 3600 and 0.03 < rows.agg(F.avg("y")).first()[0] < 0.15
     assert generators.contract_violations(rows).first().asDict() == {"label_not_binary": 0, "positive_unlabellable": 0, "no_window": 0}
     assert rows.repartition(5).agg(F.sum("x3")).first()[0] == pytest.approx(rows.agg(F.sum("x3")).first()[0])
+
+
+def test_wilcoxon_by_enumeration():
+    from itertools import product
+
+    rnd = random.Random(3)
+    for _ in range(20):
+        a = [rnd.randint(0, 9) for _ in range(rnd.randint(6, 9))]
+        b = [rnd.randint(0, 9) for _ in a]
+        d = [x - y for x, y in zip(a, b, strict=True) if x != y]
+        if not d:
+            continue
+        ranks = [sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2 for x in d]
+        w = min(sum(r for r, x in zip(ranks, d, strict=True) if x > 0), sum(r for r, x in zip(ranks, d, strict=True) if x < 0))
+        below = sum(sum(r for r, s in zip(ranks, signs, strict=True) if s) <= w for signs in product([0, 1], repeat=len(d)))
+        assert statistics.wilcoxon(a, b) == pytest.approx(min(1.0, 2 * below / 2 ** len(d)))
+    assert statistics.wilcoxon([1.0] * 5, [2.0] * 5) is None and statistics.wilcoxon([1.0] * 6, [1.0] * 6) == 1.0
+
+
+def test_searches(spark):
+    from sievelight.operators import searches
+
+    costs = profiles.segment_costs(spark.range(8, 2048).select(F.col("id").alias("segment")), 200_000, 2.84e-7, 6.86e-5, 1.48e-4)
+    best = profiles.cheapest(costs).first().total_s
+    assert 0 <= searches.gap(searches.sampled(costs, 200, 1).first().total_s, best) < 20
+    table = {r.segment: r.total_s for r in costs.collect()}
+    found = searches.herded(lambda s: np.array([table[int(x)] for x in s]), 8, 2047)
+    assert found["reach"][0] - 1 <= found["segment"] <= found["reach"][1] + 1 and found["total_s"] >= best
