@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; a document left without a word goes."""
-    clean = line_dedup.without_lines(docs, line_dedup.duplicate_lines(docs))
+    clean = line_dedup.without_lines(docs, line_dedup.duplicate_lines(docs, short=True))
     clean = clean.where(F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Lines with fewer words are left alone.
+#: Lines with fewer words have no near duplicates; whether they have equal ones is the caller's choice.
 MIN_WORDS = 5
 #: Size of the bitmap that spares lines without possible neighbours a shuffle: 8 MB.
 FILTER_BITS = 1 << 26
@@ -36,13 +36,13 @@ def normal_line(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " "))).otherwise(F.trim(line))
 
 
-def _lines(documents: DataFrame, text: str) -> DataFrame:
-    """``doc_id, line_no, norm, n`` of lines with enough words."""
+def _lines(documents: DataFrame, text: str, least: int) -> DataFrame:
+    """``doc_id, line_no, norm, n`` of lines with at least so many words."""
     rows = documents.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     rows = rows.select("doc_id", F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
     rows = rows.select("doc_id", "line_no", normal_line(F.col("line")).alias("norm"))
     n = F.when(F.col("norm") == "", 0).otherwise(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
-    return rows.withColumn("n", n).where(F.col("n") >= MIN_WORDS)
+    return rows.withColumn("n", n).where(F.col("n") >= least)
 
 
 def _identity() -> list[Column]:
@@ -81,18 +81,19 @@ def _likely(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.withColumns({"octet": octet, "bit": (at % 8).cast("int")}).where(is_set).select(*lines.columns)
 
 
-def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
+def duplicate_lines(documents: DataFrame, text: str = "text", short: bool = False) -> DataFrame:
     """Lines to leave out: ``doc_id, line_no`` (from 0), ``near`` (false: equal to an earlier line), ``keeper_doc_id, keeper_line_no``.
 
     The keeper is the earliest equal or neighbouring line, which may itself have
     an earlier neighbour. Defined results: null texts and null ``doc_id`` have no
-    lines; lines of fewer than ``MIN_WORDS`` words, and so empty ones, are never
-    duplicates; lines that differ only in white space are equal; rows that
+    lines; lines of fewer than ``MIN_WORDS`` words are no near duplicates, and
+    equal ones only if ``short``; lines without a word are never duplicates;
+    lines that differ only in white space are equal; rows that
     repeat a ``doc_id`` are one document whose lines have equal places, and
     lines at equal places are not each other's duplicates.
     """
-    lines = _lines(documents, text)
-    occurrences = staged(lines.select("doc_id", "line_no", *_identity(), _half_keys().alias("halves")), "line-occurrences")
+    lines = _lines(documents, text, 1 if short else MIN_WORDS)
+    occurrences = staged(lines.select("doc_id", "line_no", *_identity(), F.when(F.col("n") >= MIN_WORDS, _half_keys()).alias("halves")), "line-occurrences")
     firsts = occurrences.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     firsts = staged(firsts.select("h1", "h2", "n", "first.doc_id", "first.line_no", "copies", "halves"), "line-firsts")
     halves = firsts.select("h1", "doc_id", "line_no", F.explode("halves").alias("half"))

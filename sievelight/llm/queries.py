@@ -23,6 +23,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
+def op2_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like op2_line_dedup, with equal lines of any number of words found."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    report = line_dedup.line_report(documents, line_dedup.duplicate_lines(documents, short=True))
+    return report.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pat = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pat).drop("text")
@@ -82,7 +89,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
 
 _SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _ONLY = lambda kept: f"length(regexp_replace(coalesce(text, ''), '[^{kept}]', '', 'g'))"
@@ -109,6 +116,20 @@ d AS (SELECT doc_id, line_no, {{'d': doc_id, 'l': line_no}} = first AS is_near F
 r AS (SELECT doc_id, count(*) FILTER (NOT is_near) AS n_equal, count(*) FILTER (is_near) AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM d GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN r USING (doc_id)"""
 
+#: Lines of any number of words are compared; those in g may have neighbours.
+OP2_ALL_SQL = f"""
+WITH t AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+li AS (SELECT doc_id, line_no, list_filter(string_split(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> '') AS words FROM t),
+o AS (SELECT DISTINCT doc_id, line_no, words, array_to_string(words, ' ') AS norm FROM li WHERE len(words) > 0),
+f AS (SELECT norm, any_value(words) AS words, min({{'d': doc_id, 'l': line_no}}) AS first FROM o GROUP BY norm),
+g AS (SELECT * FROM f WHERE len(words) >= {line_dedup.MIN_WORDS}),
+v AS (SELECT norm, first, len(words) AS n, i, array_to_string(list_concat(words[:i-1], words[i+1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM g)),
+c AS (SELECT norm, first, min(first) OVER (PARTITION BY n, i, rest) AS other FROM v UNION ALL SELECT v.norm, v.first, g.first FROM v JOIN g ON v.rest = g.norm UNION ALL SELECT g.norm, g.first, v.first FROM v JOIN g ON v.rest = g.norm),
+near AS (SELECT norm FROM c GROUP BY norm, first HAVING min(other) < first),
+d AS (SELECT doc_id, line_no, {{'d': doc_id, 'l': line_no}} = first AS is_near FROM o JOIN f USING (norm) WHERE {{'d': doc_id, 'l': line_no}} <> first OR norm IN (SELECT norm FROM near)),
+r AS (SELECT doc_id, count(*) FILTER (NOT is_near) AS n_equal, count(*) FILTER (is_near) AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM d GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN r USING (doc_id)"""
+
 OP4_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
@@ -140,7 +161,7 @@ r AS (SELECT host, (bad + w * prior) / (n + w) AS rate, n + w AS size FROM (SELE
 SELECT page_id, host, path, {case(2)} AS rule, coalesce({case(1)}, CASE WHEN rate - {host_reputation.Z} * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM h JOIN r USING (host)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_ALL_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
 
 
 def _shipped(query):

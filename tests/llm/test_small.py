@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import random
 import zlib
 
@@ -129,6 +130,26 @@ def test_lines_odd_rows(spark):
     assert line_dedup.duplicate_lines(documents(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    """Equal lines of one to four words are found; one edit between them, or to a longer line, is none."""
+    texts = ["Home\nAbout us now\n\none two three four five", " Home \nAbout us then\n\none two three four", "About  us now\none two three four\none two three four six", None]
+    found = {(r.doc_id, r.line_no): (r.near, r.keeper_doc_id, r.keeper_line_no) for r in line_dedup.duplicate_lines(documents(spark, texts), short=True).collect()}
+    assert found == {(1, 0): (False, 0, 0), (2, 0): (False, 0, 1), (2, 1): (False, 1, 3), (2, 2): (True, 0, 3)}
+
+
+def test_short_lines_query(spark):
+    from sievelight.llm import queries
+
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = queries.queries()["op2_line_dedup_all_lines"](spark, folder)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op2_line_dedup_all_lines']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # BPE
 
 
