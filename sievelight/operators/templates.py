@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import masked_template
 
+#: Ranges of the order of arrival in which templates are numbered.
+RANGES = 200
+#: Buckets of merge groups; a group is in one of them.
+BUCKETS = 4096
+
+
+def _numbered(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """``template_id`` from 1 by first sight; a range holds at most its share of the lines."""
+    edges = sorted({int(x) for x in lines.approxQuantile("seq", [i / RANGES for i in range(1, RANGES)], 0.002)})
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), lambda e: e <= F.col("seen")))
+    cut = ids.withColumn("part", part)
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = cut.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("seen", "template"))
+    return cut.withColumn("local", local).join(F.broadcast(offsets), "part").select("template", (F.col("before") + F.col("local")).alias("template_id"))
+
 
 def mine(lines: DataFrame, alike: float = 0.6) -> DataFrame:
-    """``masked, template, template_id`` for lines with ``message`` and ``seq`` (order of arrival).
+    """``masked, n, template, template_id`` for lines with ``message`` and ``seq`` (order of arrival).
 
     Distinct masked messages are first counted by Spark. Those with equal numbers
     of tokens and an equal first token are then merged in order of first sight:
@@ -21,25 +39,46 @@ def mine(lines: DataFrame, alike: float = 0.6) -> DataFrame:
     tokens = F.split("masked", " ")
     keyed = distinct.withColumns({"size": F.size(tokens), "head": tokens[0]})
 
-    def merge(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["first"], r["masked"]))
-        known: list[list] = []  # tokens, first sight, members
+    def merge(rows: list[dict]) -> tuple[list, list, list, list]:
+        rows = sorted(rows, key=lambda r: (r["first"], r["masked"]))
+        size = len(rows[0]["masked"].split(" "))
+        codes = {"<*>": 0}
+        known = np.zeros((size, 64), np.int32)  # a template's tokens in each column
+        seen, at = [], []
         for r in rows:
-            words = r["masked"].split(" ")
-            for t in known:
-                if sum(a == b for a, b in zip(t[0], words, strict=True)) >= alike * len(words):
-                    t[0] = [a if a == b else "<*>" for a, b in zip(t[0], words, strict=True)]
-                    t[2].append(r["masked"])
-                    break
+            new = [codes.setdefault(w, len(codes)) for w in r["masked"].split(" ")]
+            tokens = np.array(new, np.int32)
+            k = len(seen)
+            fits = (known[:, :k] == tokens[:, None]).sum(axis=0) >= alike * size
+            i = int(fits.argmax()) if k else 0
+            if k and fits[i]:
+                known[known[:, i] != tokens, i] = 0
             else:
-                known.append([words, r["first"], [r["masked"]]])
-        out = [(m, " ".join(t[0]), t[1]) for t in known for m in t[2]]
-        return pa.table({"masked": [x[0] for x in out], "template": [x[1] for x in out], "seen": pa.array([x[2] for x in out], pa.int64())})
+                i = k
+                if k == known.shape[1]:
+                    known = np.hstack([known, np.zeros_like(known)])
+                known[:, i] = tokens
+                seen.append(r["first"])
+            at.append(i)
+        words = list(codes)
+        texts = [" ".join(words[c] for c in known[:, i]) for i in range(len(seen))]
+        return [r["masked"] for r in rows], [r["n"] for r in rows], [texts[i] for i in at], [seen[i] for i in at]
+
+    def merge_all(bucket: pa.Table) -> pa.Table:
+        groups: dict[tuple, list] = {}
+        for r in bucket.select(["masked", "first", "n", "size", "head"]).to_pylist():
+            groups.setdefault((r["size"], r["head"]), []).append(r)
+        out: tuple[list, ...] = ([], [], [], [])
+        for rows in groups.values():
+            for all_of, some in zip(out, merge(rows), strict=True):
+                all_of.extend(some)
+        return pa.table({"masked": pa.array(out[0], pa.string()), "n": pa.array(out[1], pa.int64()), "template": pa.array(out[2], pa.string()), "seen": pa.array(out[3], pa.int64())})
 
-    merged = keyed.groupBy("size", "head").applyInArrow(merge, "masked string, template string, seen long")
+    # Most groups are small, so that a call takes all of a bucket; what it gives is read twice.
+    bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("size", "head"), F.lit(BUCKETS)))
+    merged = bucketed.groupBy("bucket").applyInArrow(merge_all, "masked string, n long, template string, seen long").persist(StorageLevel.DISK_ONLY)
     ids = merged.groupBy("template").agg(F.min("seen").alias("seen"))
-    ids = ids.withColumn("template_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seen", "template")))  # one row per template
-    return merged.select("masked", "template").join(ids.select("template", "template_id"), "template")
+    return merged.select("masked", "n", "template").join(_numbered(ids, lines), "template")
 
 
 def window_features(lines: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:

@@ -214,6 +214,15 @@ def test_templates(spark):
     assert got == {0: (3, 2, 1, 2), 60: (2, 2, 1, 1)}
 
 
+def test_log_templates_reads_all_lines(spark, tmp_path):
+    from sievelight.plans import streams
+
+    texts = [(2, "start job 7\nuser bob logged in at noon\n"), (1, "start job 8\nstart job 9\nuser ann logged in at noon"), (3, None)]
+    frame(spark, texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.template_id: (r.n_messages, r.n_chars) for r in streams.log_templates(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, len("start job <n>")), 2: (2, len("user <*> logged in at noon")), 3: (1, 0)}
+
+
 def test_runs(spark, tmp_path):
     from sievelight.operators import runs
 
