@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +32,15 @@ def next_level(nodes: DataFrame) -> DataFrame:
     return sides.select(F.col("up").alias("idx"), F.when(F.col("r").isNull(), F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("hash"))
 
 
-def levels(leaves: DataFrame, size: int) -> DataFrame:
-    """All nodes ``level, idx, hash`` of the tree over leaves 0 to ``size`` - 1."""
+def levels(leaves: DataFrame, size: int, keep: Callable[[DataFrame], DataFrame] = lambda level: level) -> DataFrame:
+    """All nodes ``level, idx, hash`` of the tree over leaves 0 to ``size`` - 1; ``keep`` may store each level for the next."""
     nodes, out, level, n = leaves.select("idx", "hash"), None, 0, size
     while True:
         now = nodes.select(F.lit(level).alias("level"), "idx", "hash")
         out = now if out is None else out.unionByName(now)
         if n <= 1:
             return out
-        nodes, level, n = next_level(nodes), level + 1, -(-n // 2)
+        nodes, level, n = keep(next_level(nodes)), level + 1, -(-n // 2)
 
 
 def inclusion_paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:

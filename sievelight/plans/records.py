@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,21 @@ def ledger_inclusion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.inclusion_paths(nodes, rows.where("idx % 100 = 0"))
 
 
+#: Of so many top levels the nodes are few, and each is the sibling of many entries.
+TOP_LEVELS = 12
+
+
+@query()
+def ledger_whole_inclusion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path of every entry, from its sibling up to the root."""
+    rows = leaves(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    size = rows.count()
+    nodes = ledger.levels(rows, size, lambda level: level.persist(StorageLevel.DISK_ONLY))
+    low = max(0, (size - 1).bit_length() - TOP_LEVELS)
+    below, above = nodes.where(F.col("level") < low), nodes.where(F.col("level") >= low)
+    return ledger.inclusion_paths(below, rows).unionByName(ledger.inclusion_paths(F.broadcast(above), rows))
+
+
 @query(f"WITH {VERDICTS}, s AS (SELECT idx, CASE WHEN idx < 176 THEN 0 ELSE (idx-176)//175 + 1 END AS segment FROM v) SELECT segment, count(*) AS n, min(idx) AS first FROM s GROUP BY segment")
 def ledger_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = ledger.segments(verdicts(spark, sf_dir).select("idx"), 176)

@@ -214,6 +214,22 @@ def test_templates(spark):
     assert got == {0: (3, 2, 1, 2), 60: (2, 2, 1, 1)}
 
 
+def test_whole_inclusion_paths(spark, tmp_path):
+    """Every entry's path leads to the root, though the tree has an odd size and more than the top levels."""
+    import datetime
+
+    from sievelight.operators import ledger
+    from sievelight.plans import records
+
+    n, t = 5003, datetime.datetime(2024, 1, 1)
+    frame(spark, [(i, i % 7, "error" if i % 5 == 0 else "view", float(i), "{}", t) for i in range(n)], "event_id long, user_id long, event_type string, value double, props string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    leaf = {r.idx: r.hash for r in records.leaves(spark, str(tmp_path)).collect()}
+    root, paths = ledger.root_of([leaf[i] for i in range(n)]), {i: [] for i in range(n)}
+    for r in sorted(records.ledger_whole_inclusion_paths(spark, str(tmp_path)).collect(), key=lambda r: r.level):
+        paths[r.idx].append(r.hash)
+    assert all(ledger.verify_inclusion(leaf[i], i, n, paths[i], root) for i in range(n))
+
+
 def test_log_templates_reads_all_lines(spark, tmp_path):
     from sievelight.plans import streams
 
