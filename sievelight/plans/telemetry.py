@@ -161,6 +161,21 @@ def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("k <= 128").select("host", "event_id", rounded(F.coalesce("dt", F.lit(0.0)), 3).alias("dt"))
 
 
+@query(f"""WITH {EVENTS}, o AS (SELECT host, window_start, event_id, ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, event_id) AS dt, row_number() OVER (PARTITION BY host, window_start ORDER BY ts, event_id) AS k FROM ev)
+SELECT host, window_start, event_id, k, {r("coalesce(dt, 0)", 3)} AS dt FROM o""")
+def event_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its number in its host's window and the time since the host's event before, whichever window that is in."""
+    from pyspark.sql import Window
+
+    rows = ops.tumbled(events(spark, sf_dir), WIDE)
+    line = Window.partitionBy(*KEY).orderBy("ts", "event_id")
+    before = F.lag("last").over(Window.partitionBy("host").orderBy("window_start"))  # one row per host and window
+    ends = rows.groupBy(*KEY).agg(F.max("ts").alias("last")).select(*KEY, before.alias("before"))
+    placed = rows.select(*KEY, "event_id", "ts", F.lag("ts").over(line).alias("earlier"), F.row_number().over(line).cast("long").alias("k")).join(ends, KEY)
+    dt = F.coalesce(F.col("ts") - F.coalesce("earlier", "before"), F.lit(0.0))
+    return placed.select(*KEY, "event_id", "k", rounded(dt, 3).alias("dt"))
+
+
 @query(f"""WITH {EVENTS}, b AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY host ORDER BY ts) >= 3600, true) AS n FROM ev), s AS (SELECT *, sum(n::INT) OVER (PARTITION BY host ORDER BY ts, event_id) AS k FROM b)
 SELECT host, {r("min(ts)")} AS began, count(*) AS n_events FROM s GROUP BY host, k""")
 def host_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,18 @@ def test_templates(spark):
     assert got == {0: (3, 2, 1, 2), 60: (2, 2, 1, 1)}
 
 
+def test_event_gaps_all(spark, tmp_path):
+    """Events beyond a host's first 128 have their gaps too; numbers begin anew in each window."""
+    import datetime
+
+    from sievelight.plans import telemetry
+
+    t = datetime.datetime(2024, 1, 1)
+    frame(spark, [(i, 1, "view", 1.0, "{}", t + datetime.timedelta(minutes=2 * i)) for i in range(300)], "event_id long, user_id long, event_type string, value double, props string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.k, r.dt) for r in telemetry.event_gaps_all(spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 180 + 1, 120.0 if i else 0.0) for i in range(300)}
+
+
 def test_whole_inclusion_paths(spark, tmp_path):
     """Every entry's path leads to the root, though the tree has an odd size and more than the top levels."""
     import datetime
