@@ -23,8 +23,8 @@ def _numbered(ids: DataFrame, lines: DataFrame) -> DataFrame:
     cut = ids.withColumn("part", part)
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = cut.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy("seen", "template"))
-    return cut.withColumn("local", local).join(F.broadcast(offsets), "part").select("template", (F.col("before") + F.col("local")).alias("template_id"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("seen", "bucket", "place"))
+    return cut.withColumn("local", local).join(F.broadcast(offsets), "part").select("bucket", "place", (F.col("before") + F.col("local")).alias("template_id"))
 
 
 def mine(lines: DataFrame, alike: float = 0.6) -> DataFrame:
@@ -66,19 +66,30 @@ def mine(lines: DataFrame, alike: float = 0.6) -> DataFrame:
 
     def merge_all(bucket: pa.Table) -> pa.Table:
         groups: dict[tuple, list] = {}
-        for r in bucket.select(["masked", "first", "n", "size", "head"]).to_pylist():
-            groups.setdefault((r["size"], r["head"]), []).append(r)
+        for r in bucket.select(["masked", "first", "n"]).to_pylist():
+            words = r["masked"].split(" ")
+            groups.setdefault((len(words), words[0]), []).append(r)
         out: tuple[list, ...] = ([], [], [], [])
         for rows in groups.values():
             for all_of, some in zip(out, merge(rows), strict=True):
                 all_of.extend(some)
-        return pa.table({"masked": pa.array(out[0], pa.string()), "n": pa.array(out[1], pa.int64()), "template": pa.array(out[2], pa.string()), "seen": pa.array(out[3], pa.int64())})
+        # Templates of two groups differ in length or first token; equal ones of a group are one, seen with the first of them.
+        first: dict[str, int] = {}
+        for t, seen in zip(out[2], out[3], strict=True):
+            first[t] = min(seen, first.get(t, seen))
+        places = {t: i for i, t in enumerate(sorted(first, key=lambda t: (first[t], t)))}
+        named, leads = set(), []
+        for t in out[2]:
+            leads.append(t not in named)
+            named.add(t)
+        which = bucket.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([which] * len(leads), pa.int64()), "place": pa.array([places[t] for t in out[2]], pa.int32()), "leads": pa.array(leads, pa.bool_()), "masked": pa.array(out[0], pa.string()), "n": pa.array(out[1], pa.int64()), "template": pa.array(out[2], pa.string()), "seen": pa.array([first[t] for t in out[2]], pa.int64())})
 
     # Most groups are small, so that a call takes all of a bucket; what it gives is read twice.
-    bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("size", "head"), F.lit(BUCKETS)))
-    merged = bucketed.groupBy("bucket").applyInArrow(merge_all, "masked string, n long, template string, seen long").persist(StorageLevel.DISK_ONLY)
-    ids = merged.groupBy("template").agg(F.min("seen").alias("seen"))
-    return merged.select("masked", "n", "template").join(_numbered(ids, lines), "template")
+    bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("size", "head"), F.lit(BUCKETS))).drop("size", "head")
+    merged = bucketed.groupBy("bucket").applyInArrow(merge_all, "bucket long, place int, leads boolean, masked string, n long, template string, seen long").persist(StorageLevel.DISK_ONLY)
+    ids = merged.where("leads").select("bucket", "place", "seen")  # one row per template
+    return merged.select("bucket", "place", "masked", "n", "template").join(_numbered(ids, lines), ["bucket", "place"]).drop("bucket", "place")
 
 
 def window_features(lines: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
