@@ -10,17 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import line_dedup, order_minhash, ppm_language, quality
-from sievelight.llm.common import ship_package, staged
+from sievelight.llm.common import discard, ship_package, staged, with_partner, without_partner
 from sievelight.llm.queries import packed_pieces
 
 #: Documents whose language is less certain than this go.
 LEAST_SCORE = 0.5
 
 
+def _renamed(docs: DataFrame) -> DataFrame:
+    """The documents with their own columns out of the way of what an operator adds."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c == "text" else f"_own_{c}") for c in docs.columns))
+
+
+def _own(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    return judged.select(*(F.col(f"`{c}`" if c == "text" else f"`_own_{c}`").alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of policy v1 rejects."""
     ship_package(spark)
-    return quality.apply_policy(quality.ledger(docs), "v1", to="_kept").where("_kept").select(*docs.columns)
+    judged = quality.apply_policy(quality.ledger(_renamed(docs)), "v1", to="_kept")
+    return _own(judged.where("_kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +39,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = ppm_language.fit(docs.select("doc_id", "text", "lang"))
     if not model.languages:
         return docs
-    judged = ppm_language.predict(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = ppm_language.predict(_renamed(docs), model)
+    return _own(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; a document left without a word goes."""
-    clean = line_dedup.without_lines(docs, line_dedup.duplicate_lines(docs, short=True))
+    clean = line_dedup.without_lines(docs, line_dedup.duplicate_lines(docs))
     clean = clean.where(F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates; rows that repeat a document are one."""
+    """The first document of each class of near duplicates; equal rows are one document."""
     ship_package(spark)
-    gone = order_minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(staged(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    judged, row = order_minhash.near_duplicates(docs), ["doc_id", "_digest"]
+    judged = judged.withColumnRenamed("digest", "_digest")
+    gone = staged(judged.where("NOT kept").select(*row).distinct(), "near-duplicates")
+    repeated = staged(judged.where("kept AND doc_id IS NOT NULL").groupBy(*row).count().where("count > 1").select(*row), "near-repeated")
+    kept = without_partner(docs.withColumn("_digest", order_minhash.digest_of("text")), gone, row)
+    if not repeated.isEmpty():
+        one = with_partner(kept, repeated, row).dropDuplicates(row)
+        kept = without_partner(kept, repeated, row).unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .encoding import MEMO_WORDS, WordMemo, texts_of
+from .common import without
+from .encoding import Memo, WordMemo, texts_of
+
+#: Remembered verdicts on pairs of neighbouring tokens (under 100 bytes each) before all are forgotten.
+VERDICTS = 200_000
 
 #: White space as Unicode defines it, which the patterns of vocabularies mean by \s.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -50,7 +54,7 @@ class BacktrackEncoder:
         self._fits: dict[int, bool] = {}  # verdicts on neighbouring tokens
         reachable = self._learn_merges()
         self._automaton(reachable)
-        self._memo, self._pieces = WordMemo(self._words), {}
+        self._memo, self._pieces = WordMemo(self._words), Memo()
 
     def _learn_merges(self) -> list[bytes]:
         """How each token is made of two earlier ones; tokens that no merge makes are left out."""
@@ -146,18 +150,20 @@ class BacktrackEncoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         find, known = self.pattern.findall, self._pieces
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        if len(self._fits) > 2 * MEMO_WORDS:
+        known.make_room()
+        if len(self._fits) > VERDICTS:
             self._fits.clear()
         out = []
         for word in words:
-            parts = find(word)
-            for part in parts:
-                if part not in known:
+            found = b""
+            for part in find(word):
+                packed = known.find(part)
+                if packed is None:
                     ids = self.encode_piece(part.encode())
-                    known[part] = pack(f"<{len(ids)}I", *ids)
-            out.append(b"".join([known[part] for part in parts]))
+                    packed = pack(f"<{len(ids)}I", *ids)
+                    known.keep(part, packed)
+                found += packed
+            out.append(found)
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -168,7 +174,7 @@ class BacktrackEncoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(key: str, pat: str, box: _Box) -> BacktrackEncoder:
     return BacktrackEncoder(box.data, pat)
 
@@ -193,8 +199,7 @@ def encoder_of(rank_file: bytes, pat: str) -> BacktrackEncoder:
 
 def _mapped(df: DataFrame, column: str, new: list[tuple[str, T.DataType]], make) -> DataFrame:
     """``df`` with new columns made from one; clashing columns are replaced."""
-    names = {n for n, _ in new}
-    kept = [c for c in df.columns if c not in names]
+    kept = without(df.columns, [n for n, _ in new])
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new])
 
     def run(batches):

@@ -7,9 +7,14 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Places of the bitmap that spares rows without a partner a shuffle: 8 MB, whatever the input.
+SIEVE_BITS = 1 << 26
 
 SHARED = "spark.checkpoint.dir"
 
@@ -37,11 +42,57 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, fixes values that depend on task order, and survives
-    the loss of executors.
+    the loss of executors. Who stages a table deletes it with ``discard`` once
+    nothing later reads it.
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the folders of staged tables that no later step reads."""
+    for frame in frames:
+        path = frame.__dict__.pop("_staged_at", None) if frame is not None else None
+        if path:
+            spark = frame.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without(columns: list[str], taken: Iterable[str]) -> list[str]:
+    """The columns whose names do not clash with the taken ones; Spark's names do not tell cases apart."""
+    names = {t.lower() for t in taken}
+    return [c for c in columns if c.lower() not in names]
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, on: list[str], to: str = "_may") -> DataFrame:
+    """Add whether a row may have a partner in ``wanted``: true for all that have one and a few others.
+
+    A bitmap over hashes of the keys decides. It is broadcast in pieces of 4 KB
+    with ``SIEVE_BITS`` places in all, so its size has a fixed bound.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS)) + 1
+    at = F.bitmap_bit_position(place)
+    pieces = wanted.groupBy(F.bitmap_bucket_number(place).alias("_piece")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    octet = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "_piece", "left")
+    joined = joined.withColumns({"_octet": octet, "_bit": (at % 8).cast("int")})
+    return joined.select(*rows.columns, F.coalesce(F.expr("shiftright(_octet, _bit) & 1") == 1, F.lit(False)).alias(to))
+
+
+def with_partner(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose keys are in ``wanted``; only rows that may be are shuffled."""
+    return sieved(rows, wanted, on).where("_may").drop("_may").join(wanted.select(*on), on, "left_semi").select(*rows.columns)
+
+
+def without_partner(rows: DataFrame, unwanted: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose keys are not in ``unwanted``; only rows that may be are shuffled."""
+    marked = sieved(rows, unwanted, on)
+    likely = marked.where("_may").drop("_may").join(unwanted.select(*on), on, "left_anti").select(*rows.columns)
+    return marked.where("NOT _may").drop("_may").unionByName(likely)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = staged(edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
     found: DataFrame | None = None
+    last: DataFrame | None = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("to")), "cc-step")
@@ -27,9 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
             moved = step.select(F.col("u").alias("component"), "to")
             found = found.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         found = staged(found, "cc-found")
+        discard(last)
+        last = found
         a = step.select("u", F.col("to").alias("a"))
         b = step.select(F.col("u").alias("v"), F.col("to").alias("b"))
         next_edges = edges.join(a, "u").join(b, "v").where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        edges = staged(next_edges, "cc-edges")
+        smaller = staged(next_edges, "cc-edges")
+        discard(edges, step)
+        edges = smaller
         if edges.isEmpty():
+            discard(edges)
             return found

@@ -20,8 +20,12 @@ import numpy as np
 _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 _WORD_SPACE = re.compile(r" (?=\S)")
 
-#: Distinct words a worker remembers before it forgets them all and begins anew.
-MEMO_WORDS = 400_000
+#: Bytes, entries' own cost included, that a memo of words may hold before it forgets them all and begins anew.
+MEMO_BYTES = 24 << 20
+#: What a dictionary and two objects cost for an entry, beside their contents.
+ENTRY_BYTES = 180
+#: Longer words are encoded each time and not remembered.
+LONGEST_REMEMBERED = 64
 
 
 def space_cut(text: str) -> list[str]:
@@ -29,14 +33,44 @@ def space_cut(text: str) -> list[str]:
     return _WORD_SPACE.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
 
 
+class Memo(dict):
+    """Ids of words or parts of words, bounded in bytes.
+
+    When half of the bound is full, what it holds becomes the old half, which
+    goes when the new one is full in its turn; words met again move over. So
+    frequent words stay and those met once go.
+    """
+
+    def __init__(self, most: int = MEMO_BYTES):
+        super().__init__()
+        self._half, self._held, self._old = most // 2, 0, {}
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = ids
+            self._held += ENTRY_BYTES + len(word) + len(ids)
+
+    def find(self, word: str) -> bytes | None:
+        found = self.get(word)
+        if found is None and (found := self._old.get(word)) is not None:
+            self.keep(word, found)
+        return found
+
+    def make_room(self) -> None:
+        if self._held > self._half:
+            self._old = dict(self)
+            self.clear()
+            self._held = 0
+
+
 class WordMemo:
     """Encodes texts through ``encode_words(words) -> list of uint32 little-endian bytes``.
 
     A word is given to it with its leading space. A text's first part has none.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], words: int = MEMO_WORDS):
-        self._encode, self._limit, self._known = encode_words, words, {}
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], most: int = MEMO_BYTES):
+        self._encode, self._known = encode_words, Memo(most)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -46,11 +80,12 @@ class WordMemo:
         try:
             out = b"".join(map(known.__getitem__, rest))
         except KeyError:
-            if len(known) > self._limit:
-                known.clear()
-            new = [w for w in rest if w not in known]
-            known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-            out = b"".join(map(known.__getitem__, rest))
+            known.make_room()
+            new = [w for w in set(rest) if w not in known and known.find(w) is None]
+            fresh = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
+            out = b"".join([fresh[w] if w in fresh else known[w] for w in rest])
+            for w, ids in fresh.items():
+                known.keep(w, ids)
         return (self._encode([first])[0] if first else b"") + out
 
 
@@ -71,9 +106,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class LibraryEncoder:
-    """A vocabulary file of the tokenizers library; strings of special tokens are ordinary text.
+    """A vocabulary file of the tokenizers library, with the ids that the library gives by default.
 
-    Words are cut at certain pre-token borders and each distinct part is encoded
+    A text that holds a string of the file's added tokens goes through the
+    library's whole chain, which finds them. In all others words are cut at certain pre-token borders and each distinct part is encoded
     once: plain Latin parts by the library's model directly, all others by its
     whole chain. That both give the same ids is tried on a few words first.
     """
@@ -83,15 +119,16 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_str(vocabulary_json)
-        self._tok.encode_special_tokens = True
         self.vocab_size = self._tok.get_vocab_size()
         self._model, self._letters = self._tok.model, byte_letters()
         chain = json.loads(vocabulary_json)
+        self._added = [t["content"] for t in chain.get("added_tokens") or ()]
         self._lower = "Lowercase" in json.dumps(chain.get("normalizer"))
         self._drops_space = not self._chain(" ")
         tried = (" the", "The", " Lesung", " \u00e9t\u00e9", "\u00dcber", " of", " x", " stra\u00dfe", "\u00d8re", " qzxvj")
         self._plain = all(self._direct(t) == self._chain(t) for t in tried)
-        self._parts: dict[str, bytes] = {}
+        self._added = [a.lower() for a in self._added] if self._lower else self._added
+        self._parts = Memo()
         self._memo = WordMemo(self._words)
 
     def _chain(self, part: str) -> bytes:
@@ -105,8 +142,7 @@ class LibraryEncoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         known, out = self._parts, []
-        if len(known) > MEMO_WORDS:
-            known.clear()
+        known.make_room()
         for word in words:
             stem = word.rstrip(_TAIL)
             if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()) and stem[-1] != "\u0130":
@@ -115,24 +151,31 @@ class LibraryEncoder:
                 parts = _BORDERS.split(word)
             ids = b""
             for part in parts:
-                found = known.get(part)
+                found = known.find(part)
                 if found is None:
-                    found = known[part] = self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
+                    found = self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
+                    known.keep(part, found)
                 ids += found
             out.append(ids)
         return out
 
     def encode(self, text: str | None) -> bytes:
-        return self._memo.encode(text or "")
+        if not text:
+            return b""
+        seen = text.lower() if self._lower else text
+        if any(a in seen for a in self._added):
+            return self._chain(text)
+        return self._memo.encode(text)
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
 
 
 def library_encoder(vocabulary_json: str) -> LibraryEncoder:
-    """One encoder per worker process and vocabulary."""
+    """The worker process's encoder; a worker holds that of one vocabulary at a time."""
     key = hashlib.sha256(vocabulary_json.encode()).hexdigest()
     if key not in _LOADED:
+        _LOADED.clear()
         _LOADED[key] = LibraryEncoder(vocabulary_json)
     return _LOADED[key]
 

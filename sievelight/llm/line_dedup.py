@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, sieved, staged, with_partner, without_partner
 
-#: Lines with fewer words have no near duplicates; whether they have equal ones is the caller's choice.
+#: Lines with fewer words have equal lines but no near ones: one word is too much of them.
 MIN_WORDS = 5
-#: Size of the bitmap that spares lines without possible neighbours a shuffle: 8 MB.
-FILTER_BITS = 1 << 26
 
 
 def normal_line(line: Column) -> Column:
@@ -36,13 +34,13 @@ def normal_line(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " "))).otherwise(F.trim(line))
 
 
-def _lines(documents: DataFrame, text: str, least: int) -> DataFrame:
-    """``doc_id, line_no, norm, n`` of lines with at least so many words."""
+def _lines(documents: DataFrame, text: str) -> DataFrame:
+    """``doc_id, line_no, norm, n`` of lines with a word."""
     rows = documents.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     rows = rows.select("doc_id", F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
     rows = rows.select("doc_id", "line_no", normal_line(F.col("line")).alias("norm"))
     n = F.when(F.col("norm") == "", 0).otherwise(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
-    return rows.withColumn("n", n).where(F.col("n") >= least)
+    return rows.withColumn("n", n).where("n > 0")
 
 
 def _identity() -> list[Column]:
@@ -66,33 +64,18 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (head + tail >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def _likely(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines that may be wanted, by a bitmap of ``FILTER_BITS`` places: all that are, and a few others.
-
-    The bitmap is cut into pieces of 4 KB, so what is broadcast has a fixed
-    bound. It only spares the shuffle lines that would find no partner.
-    """
-    place = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(FILTER_BITS)) + 1
-    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    at = F.bitmap_bit_position(place)
-    octet = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("shiftright(octet, bit) & 1") == 1
-    joined = lines.withColumn("piece", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "piece")
-    return joined.withColumns({"octet": octet, "bit": (at % 8).cast("int")}).where(is_set).select(*lines.columns)
-
-
-def duplicate_lines(documents: DataFrame, text: str = "text", short: bool = False) -> DataFrame:
+def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """Lines to leave out: ``doc_id, line_no`` (from 0), ``near`` (false: equal to an earlier line), ``keeper_doc_id, keeper_line_no``.
 
     The keeper is the earliest equal or neighbouring line, which may itself have
     an earlier neighbour. Defined results: null texts and null ``doc_id`` have no
-    lines; lines of fewer than ``MIN_WORDS`` words are no near duplicates, and
-    equal ones only if ``short``; lines without a word are never duplicates;
-    lines that differ only in white space are equal; rows that
+    lines; lines of fewer than ``MIN_WORDS`` words have equal lines but no near
+    ones; lines without a word are never duplicates; lines that differ only in
+    white space are equal; rows that
     repeat a ``doc_id`` are one document whose lines have equal places, and
     lines at equal places are not each other's duplicates.
     """
-    lines = _lines(documents, text, 1 if short else MIN_WORDS)
+    lines = _lines(documents, text)
     occurrences = staged(lines.select("doc_id", "line_no", *_identity(), F.when(F.col("n") >= MIN_WORDS, _half_keys()).alias("halves")), "line-occurrences")
     firsts = occurrences.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     firsts = staged(firsts.select("h1", "h2", "n", "first.doc_id", "first.line_no", "copies", "halves"), "line-firsts")
@@ -101,7 +84,9 @@ def duplicate_lines(documents: DataFrame, text: str = "text", short: bool = Fals
     wanted = halves.select("half", "doc_id", "line_no").join(shared, "half", "left_semi").select("doc_id", "line_no").distinct()
     # The text of lines with possible neighbours, from their first occurrence.
     wanted = staged(wanted, "line-wanted")
-    held = staged(_likely(lines, wanted).join(wanted, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]), "line-candidates")
+    places = ["doc_id", "line_no"]
+    again = _lines(with_partner(documents.select("doc_id", text), wanted.select("doc_id").distinct(), ["doc_id"]), text)
+    held = staged(with_partner(again, wanted, places).dropDuplicates(places), "line-candidates")
     at = held.select("doc_id", "line_no", "n", F.posexplode(F.split("norm", " ")).alias("place", "word"))
     hashed = at.select("doc_id", "line_no", "n", "place", F.xxhash64("word", "place").alias("here"), F.xxhash64("word", F.col("place") - 1).alias("left"))
     line = Window.partitionBy("doc_id", "line_no").orderBy("place")
@@ -118,22 +103,25 @@ def duplicate_lines(documents: DataFrame, text: str = "text", short: bool = Fals
     by_variant = earliest.groupBy("variant").agg(
         F.min(F.when(F.col("gap") == -1, F.col("first"))).alias("whole"), F.min(F.when(F.col("gap") >= 0, F.col("first"))).alias("shortened")
     )
-    met = earliest.where("lines > 1 AND gap >= 0").select("variant", "gap", "first")
+    equal_gaps = earliest.where("lines > 1 AND gap >= 0").select("variant", "gap", "first")
     across = by_variant.where("whole IS NOT NULL AND shortened IS NOT NULL")
-    replaced = keys.join(met, ["variant", "gap"]).select("doc_id", "line_no", "first")
+    replaced = keys.join(equal_gaps, ["variant", "gap"]).select("doc_id", "line_no", "first")
     changed = keys.join(across, "variant").select("doc_id", "line_no", F.when(F.col("gap") == -1, F.col("shortened")).otherwise(F.col("whole")).alias("first"))
-    best = replaced.unionByName(changed).groupBy("doc_id", "line_no").agg(F.min("first").alias("first")).where(F.col("first") < place)
-    pairs = best.select("doc_id", "line_no", F.col("first.doc_id").alias("keeper_doc_id"), F.col("first.line_no").alias("keeper_line_no"))
-    mine = pairs.join(held, ["doc_id", "line_no"])
+    met = staged(replaced.unionByName(changed).where(F.col("first") < place).distinct().select("doc_id", "line_no", F.col("first.doc_id").alias("keeper_doc_id"), F.col("first.line_no").alias("keeper_line_no")), "line-pairs")
     theirs = held.select(F.col("doc_id").alias("keeper_doc_id"), F.col("line_no").alias("keeper_line_no"), F.col("norm").alias("keeper_norm"))
-    confirmed = mine.join(theirs, ["keeper_doc_id", "keeper_line_no"]).where(_within_one(F.split("norm", " "), F.split("keeper_norm", " ")))
+    confirmed = met.join(held, places).join(theirs, ["keeper_doc_id", "keeper_line_no"]).where(_within_one(F.split("norm", " "), F.split("keeper_norm", " ")))
+    confirmed = confirmed.groupBy(*places).agg(F.min(F.struct("keeper_doc_id", "keeper_line_no")).alias("k")).select(*places, "k.keeper_doc_id", "k.keeper_line_no")
     near = confirmed.select(F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), "keeper_doc_id", "keeper_line_no")
     # Lines that occur once and have no neighbour need no further look.
     judged = firsts.select("h1", "h2", "n", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), "copies").join(near, ["f_doc", "f_line"], "left").where("copies > 1 OR keeper_doc_id IS NOT NULL")
-    found = occurrences.select("doc_id", "line_no", "h1", "h2", "n").join(staged(judged, "line-judged"), ["h1", "h2", "n"])
+    judged = staged(judged, "line-judged")
+    same = ["h1", "h2", "n"]
+    found = sieved(occurrences.select("doc_id", "line_no", *same), judged, same).where("_may").drop("_may").join(judged, same)
     is_first = (F.col("doc_id") == F.col("f_doc")) & (F.col("line_no") == F.col("f_line"))
     out = found.where(~is_first | F.col("keeper_doc_id").isNotNull())
-    return out.select("doc_id", "line_no", is_first.alias("near"), F.coalesce("keeper_doc_id", "f_doc").alias("keeper_doc_id"), F.coalesce("keeper_line_no", "f_line").alias("keeper_line_no")).distinct()
+    out = staged(out.select("doc_id", "line_no", is_first.alias("near"), F.coalesce("keeper_doc_id", "f_doc").alias("keeper_doc_id"), F.coalesce("keeper_line_no", "f_line").alias("keeper_line_no")).distinct(), "line-duplicates")
+    discard(occurrences, firsts, wanted, held, keys, earliest, met, judged)
+    return out
 
 
 def line_report(documents: DataFrame, duplicates: DataFrame, text: str = "text") -> DataFrame:
@@ -149,7 +137,9 @@ def line_report(documents: DataFrame, duplicates: DataFrame, text: str = "text")
 def without_lines(documents: DataFrame, duplicates: DataFrame, text: str = "text") -> DataFrame:
     """Documents without their duplicate lines; all columns and rows stay, null texts stay null."""
     dropped = duplicates.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line_no").alias("_dropped"))
-    joined = documents.join(dropped, documents["doc_id"] == F.col("_of"), "left")
+    whose = duplicates.select("doc_id").distinct()
+    touched = with_partner(documents, whose, ["doc_id"])
+    joined = touched.join(dropped, touched["doc_id"] == F.col("_of"))
     numbered = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("_dropped", s["i"]))
-    clean = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(F.transform(numbered, lambda s: s["x"]), "\n"))
-    return joined.select(*[clean.alias(c) if c == text else documents[c] for c in documents.columns])
+    clean = F.array_join(F.transform(numbered, lambda s: s["x"]), "\n")
+    return without_partner(documents, whose, ["doc_id"]).unionByName(joined.select(*[clean.alias(c) if c == text else touched[c] for c in documents.columns]))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
 from .encoding import texts_of
 
 SPACES = b" \t\n\r\x0b\x0c"
@@ -100,7 +101,7 @@ def repeat_words(words: list[bytes]) -> int:
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements (long) of every whole text."""
-    kept = [c for c in df.columns if c not in MEASURES]
+    kept = without(df.columns, (*MEASURES, "failure_bits"))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(m, T.LongType()) for m in MEASURES])
 
     def run(batches):

@@ -24,10 +24,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like op2_line_dedup, with equal lines of any number of words found."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    report = line_dedup.line_report(documents, line_dedup.duplicate_lines(documents, short=True))
-    return report.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+    """The former name of op2_line_dedup over all lines; both are one."""
+    return op2_line_dedup(spark, sf_dir)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +62,7 @@ def op4_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
 def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,20 +102,8 @@ m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(wor
 b AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {quality.bit_of(r)} ELSE 0 END" for r, c in quality.RULES.items())})::BIGINT AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & {quality.mask_of("base")} <> 0 AS base_failed, failure_bits & {quality.mask_of("v1")} = 0 AS kept, failure_bits FROM b"""
 
-OP2_SQL = f"""
-WITH t AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-li AS (SELECT doc_id, line_no, list_filter(string_split(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> '') AS words FROM t),
-o AS (SELECT DISTINCT doc_id, line_no, words, array_to_string(words, ' ') AS norm FROM li WHERE len(words) >= {line_dedup.MIN_WORDS}),
-f AS (SELECT norm, any_value(words) AS words, min({{'d': doc_id, 'l': line_no}}) AS first FROM o GROUP BY norm),
-v AS (SELECT norm, first, len(words) AS n, i, array_to_string(list_concat(words[:i-1], words[i+1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM f)),
-c AS (SELECT norm, first, min(first) OVER (PARTITION BY n, i, rest) AS other FROM v UNION ALL SELECT v.norm, v.first, f.first FROM v JOIN f ON v.rest = f.norm UNION ALL SELECT f.norm, f.first, v.first FROM v JOIN f ON v.rest = f.norm),
-near AS (SELECT norm FROM c GROUP BY norm, first HAVING min(other) < first),
-d AS (SELECT doc_id, line_no, {{'d': doc_id, 'l': line_no}} = first AS is_near FROM o JOIN f USING (norm) WHERE {{'d': doc_id, 'l': line_no}} <> first OR norm IN (SELECT norm FROM near)),
-r AS (SELECT doc_id, count(*) FILTER (NOT is_near) AS n_equal, count(*) FILTER (is_near) AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM d GROUP BY doc_id)
-SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN r USING (doc_id)"""
-
 #: Lines of any number of words are compared; those in g may have neighbours.
-OP2_ALL_SQL = f"""
+OP2_SQL = f"""
 WITH t AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 li AS (SELECT doc_id, line_no, list_filter(string_split(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> '') AS words FROM t),
 o AS (SELECT DISTINCT doc_id, line_no, words, array_to_string(words, ' ') AS norm FROM li WHERE len(words) > 0),
@@ -161,7 +147,7 @@ r AS (SELECT host, (bad + w * prior) / (n + w) AS rate, n + w AS size FROM (SELE
 SELECT page_id, host, path, {case(2)} AS rule, coalesce({case(1)}, CASE WHEN rate - {host_reputation.Z} * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM h JOIN r USING (host)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_ALL_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
 
 
 def _shipped(query):
