@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged, without
 from .encoding import library_encoder, texts_of
 
 #: Rows of one range of a superstep; a task holds a range's sizes and ids in memory.
@@ -157,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     ``item, inner, sequence_id, offset, place_at`` are replaced.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("item", "inner", "sequence_id", "offset", "place_at")
+    pieces = pieces.select(*(F.col(f"`{c}`") for c in without(pieces.columns, ("item", "inner", "sequence_id", "offset", "place_at"))))
     n = pieces.count()
     parts = max(1, -(-n // RANGE_ROWS))
     names = [*pieces.columns, "item", "inner"]
@@ -168,41 +168,51 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     full = items.where(F.col("size") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("place_at"))
     items = staged(items.where(F.col("size") < capacity), "pack-items")
     gaps = spark.createDataFrame([], "id long, size long")
-    placed, opened = [full], 0
-    while True:
-        left = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"), F.min("size").alias("least"), F.count_if(F.col("size") * 2 > capacity).alias("big")).first()
-        if not left.n:
-            break
-        if opened == 0 or stuck:  # noqa: F821
-            more = max(-(-left.tokens // capacity), left.big)
+    placed, opened, held, least = [full], 0, [pieces, items], None
+    n_items, n_gaps, stuck = items.count(), 0, True
+    while n_items:
+        if stuck:
+            left = items.agg(F.sum("size").alias("tokens"), F.min("size").alias("least"), F.count_if(F.col("size") * 2 > capacity).alias("big")).first()
+            more, least = max(-(-left.tokens // capacity), left.big), left.least
             new = spark.range(opened, opened + more).select((-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size"))
-            gaps, opened = gaps.unionByName(new), opened + more
-        gaps = gaps.where(F.col("size") >= left.least)
+            gaps, opened, n_gaps = gaps.unionByName(new), opened + more, n_gaps + more
+        gaps = gaps.where(F.col("size") >= least)
         both = items.select("size", F.lit(0).alias("kind"), F.col("item").alias("id")).unionByName(gaps.select("size", F.lit(1).alias("kind"), "id"))
-        parts = max(1, -(-2 * left.n // RANGE_ROWS))
+        parts = max(1, -(-(n_items + n_gaps) // RANGE_ROWS))
         swept = staged(both.repartitionByRange(parts, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").mapInArrow(_swept, _SWEPT), "pack-swept")
+        held.append(swept)
         rest = F.col("gap_id").isNull()
-        counts = swept.groupBy("range").agg(F.count_if(rest & (F.col("kind") == 0)).alias("i"), F.count_if(rest & (F.col("kind") == 1)).alias("g"), F.count_if(~rest).alias("met"))
-        counts = sorted(tuple(r) for r in counts.collect())  # a row per range
+        is_item, is_gap = rest & (F.col("kind") == 0), rest & (F.col("kind") == 1)
+        counts = swept.groupBy("range").agg(
+            F.count_if(is_item).alias("i"), F.count_if(is_gap).alias("g"), F.count_if(~rest).alias("met"), F.min(F.when(is_item, F.col("size"))).alias("least")
+        )
+        counts = sorted(tuple(r) for r in counts.collect())  # a row per range of RANGE_ROWS rows
         cross = _between([c[:3] for c in counts])
-        stuck = not cross and not sum(c[3] for c in counts)
+        n_met = sum(c[3] for c in counts)
+        n_cross = sum(c[3] - c[2] for c in cross if c[0] == 0)
+        stuck = not n_cross and not n_met
+        n_items, n_gaps = sum(c[1] for c in counts) - n_cross, sum(c[2] for c in counts) + n_met
+        least = min((c[4] for c in counts if c[4] is not None), default=least)  # of what no range could place: at most the least that is left
         spans = F.broadcast(spark.createDataFrame(cross, "kind int, range long, lo long, hi long, first long"))  # at most four rows per range
         open_rows = swept.where(rest).drop("gap_id", "gap_size")
         inside = (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))
-        met = open_rows.join(spans, ["range", "kind"]).where(inside)
-        pair = met.withColumn("pair", F.when(F.col("kind") == 0, F.col("first") + F.col("hi") - 1 - F.col("place")).otherwise(F.col("first") + F.col("place") - F.col("lo")))
-        joined = pair.where("kind = 0").select("pair", F.col("id"), "size").join(pair.where("kind = 1").select("pair", F.col("id").alias("gap_id"), F.col("size").alias("gap_size")), "pair").drop("pair")
         settled = swept.where(~rest).select("id", "size", "gap_id", "gap_size")
-        if cross:
-            settled = settled.unionByName(staged(joined, "pack-cross"))
-        placed.append(settled.select(F.col("id").alias("item"), F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap_size")).alias("place_at")))
         lone = open_rows
         if cross:
+            met = open_rows.join(spans, ["range", "kind"]).where(inside)
+            pair = met.withColumn("pair", F.when(F.col("kind") == 0, F.col("first") + F.col("hi") - 1 - F.col("place")).otherwise(F.col("first") + F.col("place") - F.col("lo")))
+            joined = pair.where("kind = 0").select("pair", F.col("id"), "size").join(pair.where("kind = 1").select("pair", F.col("id").alias("gap_id"), F.col("size").alias("gap_size")), "pair").drop("pair")
+            joined = staged(joined, "pack-cross")
+            held.append(joined)
+            settled = settled.unionByName(joined)
             covered = spans.select("range", "kind", "lo", "hi")
             lone = open_rows.join(covered, (open_rows["range"] == covered["range"]) & (open_rows["kind"] == covered["kind"]) & inside, "left_anti")
+        placed.append(settled.select(F.col("id").alias("item"), F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap_size")).alias("place_at")))
         items = lone.where("kind = 0").select(F.col("id").alias("item"), "size")
         gaps = lone.where("kind = 1").select("id", "size").unionByName(settled.select(F.col("gap_id").alias("id"), (F.col("gap_size") - F.col("size")).alias("size")).where("size > 0"))
     where = placed[0]
     for more in placed[1:]:
         where = where.unionByName(more)
-    return pieces.join(where, "item").withColumn("offset", F.col("place_at") + F.col("inner")).drop("item", "inner", "place_at")
+    out = staged(pieces.join(where, "item").withColumn("offset", F.col("place_at") + F.col("inner")).drop("item", "inner", "place_at"), "packed")
+    discard(*held)
+    return out

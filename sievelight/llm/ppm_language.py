@@ -18,14 +18,13 @@ or ``score`` are replaced.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
 from .encoding import texts_of
 
 ORDER = 3
@@ -33,10 +32,14 @@ ORDER = 3
 #: Expected number of documents per language that a model is fitted on.
 FIT_DOCUMENTS = 2000
 
+#: Longer texts are coded a stretch of so many bytes at a time.
+LONG = 1 << 18
+
 #: What stands before a text's first byte.
 PAD = b"\n" * ORDER
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A model of more languages than this is refused: its size is their number times the sample of one.
+MOST_LANGUAGES = 1000
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +115,25 @@ class PpmModel:
             out[missed] = rest
         return out
 
+    def long_code(self, text: bytes) -> np.ndarray:
+        """The code length of one long text, a stretch of it at a time, each after the bytes before it."""
+        total, padded = np.zeros(len(self.languages)), PAD + text
+        for at in range(0, len(text), LONG):
+            stretch = np.frombuffer(padded[at : at + LONG + ORDER], np.uint8).astype(np.uint32)
+            window = stretch[ORDER:].copy()
+            for back in range(1, ORDER + 1):
+                window |= stretch[ORDER - back : len(stretch) - back] << np.uint32(8 * back)
+            total += self.bits(window).sum(axis=0, dtype=np.float64)
+        return total
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Exact code lengths of whole texts in bits, a row per text and a column per language."""
+        long = {i: self.long_code(t) for i, t in enumerate(texts) if len(t) > LONG}
+        if long:
+            out = self.code_lengths([b"" if i in long else t for i, t in enumerate(texts)])
+            for i, row in long.items():
+                out[i] = row
+            return out
         out = np.zeros((len(texts), len(self.languages)))
         filled = [i for i, t in enumerate(texts) if t]
         if filled:
@@ -130,7 +150,7 @@ class PpmModel:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        has_letter = [bool(t and _LETTER.search(t)) for t in texts]
+        has_letter = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
         bits = self.code_lengths([t.encode() if ok else b"" for t, ok in zip(texts, has_letter, strict=True)])
@@ -141,7 +161,8 @@ class PpmModel:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a document is kept from fitting; one without a number is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", documents: int = FIT_DOCUMENTS) -> PpmModel:
@@ -153,7 +174,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", documents:
     sample.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}  # a row per language
+    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}  # a row per language
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"there are more than {MOST_LANGUAGES} languages")
     if not sizes:
         return PpmModel({})
     share = F.lit(None).cast("double")
@@ -164,13 +187,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", documents:
 
     def count(batches):
         for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for language, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                if t:
-                    by.setdefault(language, []).append(t.encode())
-            for language, texts in by.items():
-                grams, n = np.unique(windows(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                by: dict[str, list[bytes]] = {}
+                for language, t in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+                    if t:
+                        by.setdefault(language, []).append(t.encode())
+                for language, texts in by.items():
+                    grams, n = np.unique(windows(texts)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return PpmModel({language: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for language, g in counts.groupby("lang")})
@@ -178,7 +203,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", documents:
 
 def predict(df: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) for every whole text; only the text is read."""
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    kept = without(df.columns, ("lang_pred", "score"))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, host_reputation, line_dedup, order_minhash, packing, ppm_language, quality, sharding, token_store
-from .common import ship_package, staged
+from .common import discard, ship_package, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_pieces(documents: DataFrame) -> DataFrame:
     pieces = packing.token_pieces(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(staged(light, "pieces"), capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    light = staged(light, "pieces")
+    packed = packing.pack(light, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    discard(light)
+    return packed
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,10 +316,11 @@ def test_language(spark):
     syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ver"], "cc": ["tion", "eau", "oui"]}
     rnd = random.Random(1)
     rows = [(i, " ".join("".join(rnd.choice(syllables[lang]) for _ in range(3)) for _ in range(40)), lang, "s", 1) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
-    df = spark.createDataFrame([*rows, (900, None, "aa", "s", 0), (901, "", "aa", "s", 0), (902, "12 34 !!", "aa", "s", 0), (903, "kato" * 9000, None, "s", 0)], DOCS).withColumnRenamed("n_chars", "score")
+    df = spark.createDataFrame([*rows, (900, None, "aa", "s", 0), (901, "", "aa", "s", 0), (902, "12 34 !! ½ ② Ⅷ", "aa", "s", 0), (None, "kato mika", "aa", "s", 0), (903, "kato" * 9000, None, "s", 0)], DOCS).withColumnRenamed("n_chars", "score")
     held = ppm_language.held_out(df["doc_id"])
     out = {r.doc_id: r for r in ppm_language.predict(df, ppm_language.fit(df.where(~held))).collect()}
     assert all(out[i].lang_pred == lang and 0 <= out[i].score <= 1 for i, _, lang, *_ in rows)
+    assert df.select(ppm_language.held_out(df["doc_id"]).alias("h")).where("h IS NULL").count() == 0
     assert all((out[i].lang_pred, out[i].score) == ("und", 0.0) for i in (900, 901, 902)) and out[903].lang_pred == "aa"
     assert ppm_language.predict(df, ppm_language.fit(df.limit(0))).where("lang_pred != 'und'").count() == 0
 
@@ -353,6 +354,9 @@ def test_language_code_length_by_definition():
     padded = ppm_language.PAD + text
     want = [sum(cost(texts[k], padded[i : i + ppm_language.ORDER], padded[i + ppm_language.ORDER]) for i in range(len(text))) for k in ("x", "y")]
     assert model.code_lengths([text])[0] == pytest.approx(want, rel=1e-4)
+    assert model.long_code(text) == pytest.approx(want, rel=1e-4)
+    long = text * (3 * ppm_language.LONG // len(text))
+    assert model.code_lengths([b"ab", long])[1] == pytest.approx(model.bits(ppm_language.windows([long])[0]).sum(axis=0, dtype=float), rel=1e-9)
 
 
 # Token files
