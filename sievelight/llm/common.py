@@ -95,9 +95,16 @@ def without_partner(rows: DataFrame, unwanted: DataFrame, on: list[str]) -> Data
     return marked.where("NOT _may").drop("_may").unionByName(likely)
 
 
+#: Rows and bytes of one Arrow batch between Spark and Python: texts may be long, and each task holds a few batches.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per session."""
+    """Give the executors this package, once per session, and bound the session's Arrow batches."""
     sc = spark.sparkContext
+    for key, most in ARROW_BATCH.items():
+        if int(spark.conf.get(key, most)) > int(most):
+            spark.conf.set(key, most)
     if getattr(sc, "_sievelight_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -8,10 +8,16 @@ label that share a table entry are compared by their original components. Large
 entries are cut into blocks and every pair of blocks is one task's work; links
 are counted and reduced to a spanning forest there, so pairs are never written.
 
-Defined results: a vector that is null, of another length than most, zero, or
-holds null or non-finite components links with nothing, as does one without a
-label; equal vectors link with each other; ties in the kept vector go to the
-smallest ``vec_id``. ``vec_id`` must not repeat.
+Equal vectors of a label are one, weighed by their number, before anything is
+compared. Tables grow with the largest label: a code's substrings get one bit
+more whenever it doubles, and there are as many tables as keep the chance to
+meet. The most frequent lengths have codes of their own; vectors of any other
+length are compared with all of that length and label, block by block.
+
+Defined results: a vector that is null, zero, or holds null or non-finite
+components links with nothing, as does one without a label; vectors of different
+lengths do not link; equal vectors link with each other; ties in the kept vector
+go to the smallest ``vec_id``. ``vec_id`` must not repeat.
 """
 
 from __future__ import annotations
@@ -21,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged, without
 from .components import components
 
 #: Expected number of vectors that the rotations are fitted on; all vectors are indexed and compared.
 FIT_VECTORS = 20_000
-ROTATIONS = 3
-SUBSTRING_BITS = 12
+#: Lengths of vectors that have codes, the most frequent ones.
+CODED_LENGTHS = 8
+#: Bits of one table's substring: as few, and as many, and vectors of the largest label for one entry of a table.
+FEWEST_BITS, MOST_BITS, PER_ENTRY = 12, 24, 4
+#: The chance that a bit differs between vectors at cosine 0.93, and that no table brings such vectors together.
+BIT_DIFFERS, MISSED = 0.12, 0.026
 #: Vectors of one block; an entry with more is compared block by block.
 BLOCK = 1024
 #: Groups of up to so many vectors are compared together, row against shifted row.
@@ -37,7 +47,9 @@ SMALL = 48
 class Codes:
     """Rotations fitted on a sample; gives each vector one number per table."""
 
-    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, bits: int = SUBSTRING_BITS, rounds: int = 40, seed: int = 7):
+    def __init__(self, sample: np.ndarray, bits: int = FEWEST_BITS, rounds: int = 40, seed: int = 7):
+        tables = max(1, round(np.log(MISSED) / np.log1p(-((1 - BIT_DIFFERS) ** bits))))
+        rotations = -(-tables // max(1, sample.shape[1] // min(bits, sample.shape[1])))
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
         dims = sample.shape[1]
@@ -67,11 +79,16 @@ class Codes:
         return np.stack(out, axis=1).astype(np.int32)
 
 
-def valid(df: DataFrame, dims: int) -> DataFrame:
-    """Rows that can link: labelled, and a finite non-zero vector of the usual length."""
+def bits_for(largest: int) -> int:
+    """Bits of a substring when the largest label has so many vectors."""
+    return int(min(MOST_BITS, max(FEWEST_BITS, np.ceil(np.log2(max(1, largest / PER_ENTRY))))))
+
+
+def valid(df: DataFrame) -> DataFrame:
+    """Rows that can link: labelled, and a finite non-zero vector."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) == dims) & fine)
+    return df.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & fine)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -124,13 +141,14 @@ def _compare(threshold: float):
     """Rows sorted by entry and pair of blocks: links first found in this table, and a spanning forest of all links."""
 
     def chunk(table: pa.Table) -> pa.RecordBatch:
-        key = [table.column(n).to_numpy() for n in ("label", "table", "code", "i", "j")]
+        key = [table.column(n).to_numpy() for n in ENTRY[1:]]
         new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(new))
         ids, block = table.column("vec_id").to_numpy(), table.column("block").to_numpy()
         codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         vectors = _matrix(table.column("embedding"))
+        weight = table.column("weight").to_numpy()
         n_links, edges = np.zeros(len(ids), np.int64), []
         for a, b in _pairs(vectors, starts, ends, block, key[3], key[4], threshold):
             if not len(a):
@@ -138,7 +156,9 @@ def _compare(threshold: float):
             first = np.ones(len(a), bool)
             for t in range(codes.shape[1] - 1):
                 first &= (codes[a, t] != codes[b, t]) | (t >= key[1][a])
-            n_links += np.bincount(a[first], minlength=len(ids)) + np.bincount(b[first], minlength=len(ids))
+            a1, b1 = a[first], b[first]
+            np.add.at(n_links, a1, weight[b1])
+            np.add.at(n_links, b1, weight[a1])
             rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             reached = rows[_forest(len(rows), at[: len(a)], at[len(a) :])]
             edges.append((ids[rows], ids[reached]))
@@ -146,23 +166,35 @@ def _compare(threshold: float):
         out = [(ids[met], n_links[met], ids[met])] + [(u[u != v], np.zeros((u != v).sum(), np.int64), v[u != v]) for u, v in edges]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["vec_id", "n_links", "to"])
 
+    def chunks(table: pa.Table):
+        """Groups of one length of vectors at a time."""
+        dims = table.column("dims").to_numpy()
+        edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield chunk(table.slice(lo, hi - lo).combine_chunks())
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             table = pa.Table.from_batches(held)
-            last = [table.column(n)[-1].as_py() for n in ("label", "table", "code", "i", "j")]
-            same = np.all([table.column(n).to_numpy() == v for n, v in zip(("label", "table", "code", "i", "j"), last, strict=True)], axis=0)
-            cut = int(np.argmax(same))  # the last group may go on in the next batch
+            same = np.all([table.column(n).to_numpy() == table.column(n)[-1].as_py() for n in ENTRY], axis=0)
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last group may go on in the next batch
             if cut:
-                yield chunk(table.slice(0, cut).combine_chunks())
+                yield from chunks(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
         if held:
-            yield chunk(pa.Table.from_batches(held).combine_chunks())
+            yield from chunks(pa.Table.from_batches(held))
 
     return run
 
 
+#: What the groups of vectors that are compared together have in common.
+ENTRY = ("dims", "label", "table", "code", "i", "j")
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     """Add ``n_links, component_id, kept`` to vectors ``vec_id, embedding, label``.
 
@@ -170,45 +202,56 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     Extra columns are kept; columns named like a result are replaced.
     """
     spark = df.sparkSession
-    df = df.drop("n_links", "component_id", "kept")
-    usual = df.where("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).first()
+    df = df.select(*(F.col(f"`{c}`") for c in without(df.columns, ("n_links", "component_id", "kept"))))
     alone = lambda: df.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.col("vec_id").isNotNull()})
-    if usual is None:
-        return alone()
-    good = valid(df, usual.d).select("vec_id", "label", "embedding")
-    n = good.count()
-    if n < 2:
+    kind = {c: t for c, t in df.dtypes if c in ("vec_id", "label", "embedding")}
+    # Two hashes, 128 bits, name a vector; the first of equal ones stands for all.
+    named = valid(df).select("vec_id", "label", F.size("embedding").alias("dims"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding")
+    name = ["label", "dims", "h1", "h2"]
+    equal = staged(named.groupBy(*name).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "itq-vectors")
+    lengths = equal.groupBy("dims").agg(F.sum(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(CODED_LENGTHS).collect()
+    if not lengths:
+        discard(equal)
         return alone()
-    chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = good.where(chance < min(1.0, FIT_VECTORS / n)).select("embedding").toArrow()  # bounded by FIT_VECTORS
-    if sample.num_rows == 0:
-        sample = good.select("embedding").limit(FIT_VECTORS).toArrow()
-    codes = Codes(_matrix(sample.column(0)))
+    codes = {}
+    for d, n in lengths:
+        own = equal.where(F.col("dims") == d)
+        largest = own.groupBy("label").count().agg(F.max("count")).first()[0]
+        chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
+        sample = own.where(chance < min(1.0, FIT_VECTORS / n)).select("embedding").limit(2 * FIT_VECTORS).toArrow()  # an expected FIT_VECTORS
+        if sample.num_rows:
+            codes[d] = Codes(_matrix(sample.column(0)), bits_for(largest))
     shared = spark.sparkContext.broadcast(codes)
 
     def coded(batches):
         for batch in batches:
-            if batch.num_rows:
-                found = shared.value(_matrix(batch.column(2)))
+            dims = batch.column(1).to_numpy()
+            for d in np.unique(dims):
+                part = batch.filter(pa.array(dims == d))
+                made = shared.value.get(int(d))
+                found = made(_matrix(part.column(0))) if made else np.zeros((part.num_rows, 1), np.int32)
                 of = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, of], names=["vec_id", "label", "embedding", "codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, of], names=["embedding", "dims", "vec_id", "label", "weight", "codes"])
 
-    kind = f"vec_id {dict(good.dtypes)['vec_id']}, label {dict(good.dtypes)['label']}, embedding {dict(good.dtypes)['embedding']}, codes array<int>"
-    rows = staged(good.mapInArrow(coded, kind), "itq-codes")
-    entry = ["label", "table", "code"]
-    light = rows.select("vec_id", "label", F.posexplode("codes").alias("table", "code"))
+    schema = f"embedding {kind['embedding']}, dims int, vec_id {kind['vec_id']}, label {kind['label']}, weight long, codes array<int>"
+    rows = staged(equal.select("embedding", "dims", "vec_id", "label", "weight").mapInArrow(coded, schema), "itq-codes")
+    entry = list(ENTRY[:4])
+    light = rows.select("vec_id", "label", "dims", F.posexplode("codes").alias("table", "code"))
     sizes = staged(light.groupBy(*entry).agg(F.count("*").alias("n")).where("n > 1"), "itq-entries")
-    # A vector goes to the pairs of blocks that its block is in; an entry of up to BLOCK vectors has one block.
-    placed = rows.select("vec_id", "label", "embedding", "codes", F.posexplode("codes").alias("table", "code")).join(sizes, entry)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    # A vector goes to the pairs of blocks that its block is in; an entry of up to BLOCK vectors has one block. Vectors join last.
+    placed = light.join(sizes, entry).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    vec_kind = dict(good.dtypes)["vec_id"]
-    work = pairs.select(*entry, "i", "j", "block", "vec_id", "codes", "embedding").repartition(*entry, "i", "j").sortWithinPartitions(*entry, "i", "j")
-    compared = work.mapInArrow(_compare(threshold), f"vec_id {vec_kind}, n_links long, to {vec_kind}")
-    compared = staged(compared, "itq-links")
+    pairs = pairs.select(*ENTRY, "block", "vec_id").join(rows.select("vec_id", "weight", "codes", "embedding"), "vec_id")
+    work = pairs.select(*ENTRY, "block", "vec_id", "weight", "codes", "embedding").repartition(*ENTRY).sortWithinPartitions(*ENTRY)
+    compared = staged(work.mapInArrow(_compare(threshold), f"vec_id {kind['vec_id']}, n_links long, to {kind['vec_id']}"), "itq-links")
     links = compared.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     classes = components(compared.where("vec_id != to").select(F.col("vec_id").alias("u"), F.col("to").alias("v")))
-    out = df.join(links, "vec_id", "left").join(classes.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select(*df.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    found = equal.select(*name, "vec_id", "weight").join(links, "vec_id", "left").join(classes.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    found = staged(found.select(*name, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "itq-found")
+    # Every vector takes the result of the one that stands for it.
+    judged = staged(named.drop("embedding").join(found, name).select("vec_id", "n_links", "component_id"), "itq-judged")
+    discard(equal, rows, sizes, compared, classes, found)
+    out = df.join(judged, "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

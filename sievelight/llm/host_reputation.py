@@ -4,8 +4,8 @@ Labelled outcomes of pages are counted by host, registered domain and suffix.
 The rate of bad pages is shrunk down this tree: a suffix towards the overall
 rate, a domain towards its suffix, a host towards its domain, each by a
 beta-binomial prior whose strength is fitted by moments to the spread at its
-level and worth no more than the observations it comes from. A host is blocked if the lower posterior bound of its rate of bad pages
-is above a threshold. Explicit rules go before the reputation.
+level and worth no more than the observations it comes from. A host is blocked
+if the lower posterior bound of its rate of bad pages is above a threshold. Explicit rules go before the reputation.
 
 Defined results: a url that is null or has no "://" has an empty host and path
 and is allowed unless a rule or the reputation of the empty host says otherwise;
@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged, without
 
 #: One-sided 95 % point of the normal distribution.
 Z = 1.645
@@ -44,11 +44,25 @@ def rule_that_fits(host: Column, path: Column, rules: list[tuple[str, str]], of:
     return found
 
 
-def registered_domain(host: Column, double_suffixes: list[str] = ()) -> tuple[Column, Column]:
-    """A host's registered domain and its suffix (one label, or a listed two-label suffix)."""
-    two, one = F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+#: Public suffixes of two labels. Every other suffix is one label.
+DOUBLE_SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk",
+    "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.br", "org.nz", "org.uk",
+)
+
+
+def registered_domain(host: Column, double_suffixes: tuple[str, ...] = DOUBLE_SUFFIXES) -> tuple[Column, Column]:
+    """A host's registered domain and its suffix (one label, or a listed one of two).
+
+    User info before an "@" and a port are no part of either; an address is a
+    domain and a suffix of its own. The list is a parameter of bounded size.
+    """
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    two, one = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
     wide = two.isin(*double_suffixes) if double_suffixes else F.lit(False)
-    return F.when(wide, F.substring_index(host, ".", -3)).otherwise(two), F.when(wide, two).otherwise(one)
+    domain = F.when(address, bare).when(wide, F.substring_index(bare, ".", -3)).otherwise(two)
+    return domain, F.when(address, bare).when(wide, two).otherwise(one)
 
 
 def _strength(level: DataFrame, name: str) -> DataFrame:
@@ -65,7 +79,7 @@ def _strength(level: DataFrame, name: str) -> DataFrame:
     return total.select(((1 - rho) / rho).alias(name))
 
 
-def reputation(hosts: DataFrame, double_suffixes: list[str] = ()) -> DataFrame:
+def reputation(hosts: DataFrame, double_suffixes: tuple[str, ...] = DOUBLE_SUFFIXES) -> DataFrame:
     """``host, n, bad, rate, bound`` from per-host counts ``host, n, bad``; bound is the lower posterior bound."""
     domain, suffix = registered_domain(F.col("host"), double_suffixes)
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
@@ -88,7 +102,7 @@ def reputation(hosts: DataFrame, double_suffixes: list[str] = ()) -> DataFrame:
     return joined.select("host", "n", "bad", rate.alias("rate"), (rate - Z * F.sqrt(rate * (1 - rate) / (size + 1))).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], block_above: float = 0.5, double_suffixes: list[str] = ()) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], block_above: float = 0.5, double_suffixes: tuple[str, ...] = DOUBLE_SUFFIXES) -> DataFrame:
     """Add ``host, path, rule, verdict, bound`` to pages with ``page_id`` and ``url``.
 
     ``outcomes`` has ``page_id`` and ``bad`` (0, 1 or null). Counts are gathered
@@ -97,12 +111,14 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], b
     join that Spark may split otherwise.
     """
     host, path = host_and_path(F.col("url"))
-    pages = pages.drop("host", "path", "rule", "verdict", "bound")
+    pages = pages.select(*(F.col(f"`{c}`") for c in without(pages.columns, ("host", "path", "rule", "verdict", "bound"))))
     judged = pages.withColumns({"host": host, "path": path})
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counted = judged.select("page_id", "host").join(known, "page_id", "left")
     hosts = counted.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    table = staged(reputation(staged(hosts, "host-counts"), double_suffixes).select("host", "bound"), "host-reputation")
+    counts = staged(hosts, "host-counts")
+    table = staged(reputation(counts, double_suffixes).select("host", "bound"), "host-reputation")
+    discard(counts)
     joined = judged.join(table, "host")
     h, p = F.col("host"), F.col("path")
     said = F.when(F.col("bound") > block_above, "block").otherwise("allow")

@@ -90,7 +90,15 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does to each policy, from a ledger that is stored once and read under both policies."""
+    rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "failure_bits")
+    stored = staged(rows, "quality-ledger")
+    found = [quality.ablations(stored, p).select(F.lit(p).alias("policy"), "*") for p in quality.POLICIES]
+    return found[0].unionByName(found[1])
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablations, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
 
 _SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _ONLY = lambda kept: f"length(regexp_replace(coalesce(text, ''), '[^{kept}]', '', 'g'))"
@@ -136,11 +144,15 @@ def _op9_sql() -> str:
     ranked = sorted(URL_RULES, key=lambda r: (-len(r[1]), -r[1].index("/")))
     fits = [(f"(host = '{p.split('/')[0]}' OR ends_with(host, '.{p.split('/')[0]}')) AND starts_with(path, '/{p.partition('/')[2]}')", v, p) for v, p in ranked]
     case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
+    doubles = ", ".join(f"'{x}'" for x in host_reputation.DOUBLE_SUFFIXES)
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 k AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM h LEFT JOIN k USING (page_id) GROUP BY host),
+bare AS (SELECT DISTINCT host, string_split(b, '.') AS l, b, regexp_matches(b, '^[0-9]+([.][0-9]+){{3}}$|^\\[') AS ip, array_to_string(string_split(b, '.')[-2:], '.') IN ({doubles}) AS wide
+  FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS b FROM h)),
+place AS (SELECT host, CASE WHEN ip THEN b WHEN wide THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain, CASE WHEN ip THEN b WHEN wide THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM bare),
+hosts AS (SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM h JOIN place USING (host) LEFT JOIN k USING (page_id) GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 top AS (SELECT coalesce(sum(n), 0) AS n, (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS rate FROM suffixes),
 {level("mh", "hosts")}, {level("md", "domains")}, {level("ms", "suffixes")},
@@ -150,7 +162,13 @@ r AS (SELECT host, (bad + w * prior) / (n + w) AS rate, n + w AS size FROM (SELE
 SELECT page_id, host, path, {case(2)} AS rule, coalesce({case(1)}, CASE WHEN rate - {host_reputation.Z} * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM h JOIN r USING (host)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
+def _ablations_sql() -> str:
+    bits = [(p, r, quality.mask_of(p), quality.bit_of(r)) for p, rules in quality.POLICIES.items() for r in rules]
+    return f"""WITH f AS ({OP1_SQL}), r(policy, rule, mask, bit) AS (VALUES {", ".join(map(str, bits))})
+SELECT policy, rule, count(*) FILTER (failure_bits & bit <> 0) AS failed, count(*) FILTER (failure_bits & mask = bit) AS rejected_alone, count(*) FILTER (failure_bits & mask & ~bit <> 0) AS rejected_without FROM f CROSS JOIN r GROUP BY policy, rule"""
+
+
+ORACLE_SQL: dict[str, str] = {"quality_ablations": _ablations_sql(), "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
 
 
 def _shipped(query):

@@ -21,12 +21,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import discard, new_folder, staged
 from .encoding import library_encoder, texts_of
 
 MAGIC = b"SVLTOK01"
@@ -34,7 +35,9 @@ _HEAD = struct.Struct("<8sIIQQ")
 BLOCK = 4096
 
 #: Bytes of text that go into one file, so that a task holds a file whole.
-FILE_TEXT_BYTES = 48 << 20
+FILE_TEXT_BYTES = 24 << 20
+#: Rows of numbers and sizes that one task sums up when files are laid out.
+LAID_OUT = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -120,13 +123,38 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def file_bounds(sizes: DataFrame, most: int = FILE_TEXT_BYTES) -> list[int]:
+    """First ``doc_id`` of every file, so that a file's texts have ``most`` bytes and one document's more at most.
+
+    ``sizes`` has ``doc_id`` (not null) and ``bytes``. Only a row per file and
+    one per range of ``LAID_OUT`` documents reach the driver.
+    """
+    n = sizes.count()
+    ranges = sizes.repartitionByRange(max(1, -(-n // LAID_OUT)), "doc_id").withColumn("part", F.spark_partition_id())
+    ranges = staged(ranges, "token-sizes")
+    before, offsets = 0, []
+    for r in ranges.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect():
+        offsets.append((r.part, before))
+        before += r.bytes
+    if not offsets:
+        return []
+    offsets = F.broadcast(sizes.sparkSession.createDataFrame(offsets, "part int, before long"))
+    upto = F.sum("bytes").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    file = F.floor((F.col("before") + F.coalesce(upto, F.lit(0))) / most)
+    firsts = ranges.join(offsets, "part").withColumn("file", file).groupBy("file").agg(F.min("doc_id").alias("first"))
+    bounds = sorted({r.first for r in firsts.select("first").collect()})
+    discard(ranges)
+    return bounds
+
+
 def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int, folder: str | None = None, text: str = "text") -> DataFrame:
     """Encode every whole text and write token files in ascending ``doc_id`` order.
 
     Returns the manifest: one row per file with ``part`` (order of the files),
     ``file``, ``n_docs``, ``n_ids`` and ``start`` (ids of all files before it).
     Null texts are encoded as empty ones, so each document has at least its end
-    id. Rows with null or repeated ``doc_id`` are kept; null ids come first. A
+    id. Rows with null or repeated ``doc_id`` are kept; null ids come first, and
+    rows of one ``doc_id`` are in one file. Files are cut by bytes of text. A
     task writes under a name of its own attempt and the manifest lists only the
     files of attempts that ended well, so a repeated task leaves no trace.
     """
@@ -134,10 +162,16 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int, folder
     folder = (folder or new_folder(spark, "tokens")).rstrip("/")
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a fixed public file of under two megabytes
-    total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(1, -(-total // FILE_TEXT_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
+    bounds = file_bounds(rows.select(place.alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")))
+    shared = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # a number per file
+
+    @F.pandas_udf("int")
+    def file_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), "right") - 1).astype("int32")
+
+    ordered = rows.repartitionById(max(1, len(bounds)), file_of(place)).sortWithinPartitions("doc_id")
 
     def write(batches):
         encoder = library_encoder(vocabulary.value)

@@ -137,17 +137,19 @@ def test_short_lines(spark):
     assert found == {(1, 0): (False, 0, 0), (2, 0): (False, 0, 1), (2, 1): (False, 1, 3), (2, 2): (True, 0, 3)}
 
 
-def test_short_lines_query(spark):
+@pytest.mark.parametrize("name", ["op1_quality_rules", "quality_ablations", "op2_line_dedup", "op4_itq_embeddings", "op9_host_reputation"])
+def test_queries_that_have_sql(spark, name):
     from sievelight.llm import queries
 
     duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
         pytest.skip("no test data here")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    got = queries.queries()["op2_line_dedup_all_lines"](spark, folder)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op2_line_dedup_all_lines']})").fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = queries.queries()[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
 # BPE
@@ -215,6 +217,24 @@ def test_vectors_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths_and_equal_ones(spark):
+    """Every length is compared with its own; equal vectors count one by one."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for d in range(2, 14):  # more lengths than have codes
+        v = rng.normal(size=d).astype(np.float32)
+        for k in range(d if d < 4 else 2):
+            rows.append((100 * d + k, (v * (1 + (k == 1))).tolist(), 1))  # the second points the same way, the others are equal
+            want[100 * d + k] = ((d if d < 4 else 2) - 1, 100 * d)
+        rows.append((100 * d + 50, (-v).tolist(), 1))
+        rows.append((100 * d + 60, v.tolist(), 2))
+        want |= {100 * d + 50: (0, 100 * d + 50), 100 * d + 60: (0, 100 * d + 60)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("N_Links", pytest.importorskip("pyspark.sql.functions").lit(1))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == want
+    assert embedding_dedup.bits_for(100) == 12 and embedding_dedup.bits_for(1 << 20) == 18
+
+
 # Near-duplicate documents
 
 
@@ -307,6 +327,32 @@ def test_shards(spark):
     assert len(where[zlib.crc32(b"same"), 20]) <= 5  # 45 copies in quotas of 14
     assert sum(r.text_crc32 == 0 and r.size == 16 for r in rows) == 3
     assert sharding.assign(documents(spark, []), 8).count() == 0
+    again = sharding.assign(df.repartition(7), 8).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+
+
+def test_shards_of_copies_alone(spark):
+    """Every row has a copy: moves must be exchanged, as no shard has room; nearly every pair can end in one shard."""
+    texts = [prose(i // 2, 12) for i in range(240)]
+    rows = sharding.assign(documents(spark, texts), 6).collect()
+    counts = collections.Counter(r.shard for r in rows)
+    assert set(counts.values()) == {40}
+    where = collections.defaultdict(set)
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+    # Without room, exchanges can unite all pairs but one between any two of the six shards (at random about 100 of 120 are cut).
+    assert sum(len(x) > 1 for x in where.values()) <= 15
+
+
+def test_grants_keep_quotas():
+    rnd = random.Random(4)
+    for _ in range(200):
+        n = rnd.randint(2, 5)
+        room = [rnd.choice([0, 0, 3, 10]) for _ in range(n)]
+        asked = {(a, b): [rnd.randint(0, 4) for _ in range(6)] for a in range(n) for b in range(n) if a != b and rnd.random() < 0.7}
+        flow = {k: sum(asked[k][:m]) for k, m in sharding.granted(asked, room).items()}
+        for s in range(n):
+            assert sum(v for k, v in flow.items() if k[1] == s) - sum(v for k, v in flow.items() if k[0] == s) <= room[s]
 
 
 # Language
@@ -403,6 +449,15 @@ def test_urls(spark):
     assert got[7] == ("com", "/", "com/", "allow") and got[8][:2] == ("b:", "//c/d") and got[9][:2] == ("Àb.org", "")
 
 
+def test_registered_domains(spark):
+    F = pytest.importorskip("pyspark.sql.functions")
+    hosts = ["a.b.co.uk", "co.uk", "x.y.com:8080", "me:pw@x.y.com", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "localhost", ""]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in df.select(*host_reputation.registered_domain(F.col("host"))).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("y.com", "com"), ("10.0.0.1", "10.0.0.1"), ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("localhost", "localhost"), ("", "")]
+    assert host_reputation.judge(spark.createDataFrame([], "page_id long, url string, Host int"), spark.createDataFrame([], "page_id long, bad int"), []).count() == 0
+
+
 def test_reputation_shrinks_and_blocks(spark):
     hosts = [("bad.a.org", 200, 195), ("new.a.org", 0, 0), ("fine.b.org", 500, 5), ("once.b.org", 1, 1), ("z.net", 100, 3)]
     got = {r.host: r for r in host_reputation.reputation(spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
