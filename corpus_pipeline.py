@@ -72,7 +72,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("line dedup", dedup_lines), ("MinHash near-dedup", near_dedup), ("best-fit packing", packing)]
 
-#: Not expressible in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: Not expressible in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version of the whole chain.
 ORACLE_SQL = None
 
 
