@@ -11,7 +11,7 @@ import hashlib
 import json
 import os
 import re
-import struct
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -22,6 +22,8 @@ _WORD_SPACE = re.compile(r" (?=\S)")
 
 #: Bytes, entries' own cost included, that a memo of words may hold before it forgets them all and begins anew.
 MEMO_BYTES = 24 << 20
+#: The same for the words, and for other parts of words, of a vocabulary of the library.
+WORD_BYTES, PART_BYTES = 56 << 20, 8 << 20
 #: What a dictionary and two objects cost for an entry, beside their contents.
 ENTRY_BYTES = 180
 #: Longer words are encoded each time and not remembered.
@@ -50,6 +52,12 @@ class Memo(dict):
             self[word] = ids
             self._held += ENTRY_BYTES + len(word) + len(ids)
 
+    def keep_all(self, found: dict[str, bytes]) -> None:
+        if max(map(len, found), default=0) > LONGEST_REMEMBERED:
+            found = {w: ids for w, ids in found.items() if len(w) <= LONGEST_REMEMBERED}
+        self.update(found)
+        self._held += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
     def find(self, word: str) -> bytes | None:
         found = self.get(word)
         if found is None and (found := self._old.get(word)) is not None:
@@ -109,9 +117,10 @@ class LibraryEncoder:
     """A vocabulary file of the tokenizers library, with the ids that the library gives by default.
 
     A text that holds a string of the file's added tokens goes through the
-    library's whole chain, which finds them. In all others words are cut at certain pre-token borders and each distinct part is encoded
-    once: plain Latin parts by the library's model directly, all others by its
-    whole chain. That both give the same ids is tried on a few words first.
+    library's whole chain, which finds them. In all others words are cut at
+    certain pre-token borders and a part met often is encoded once: plain Latin
+    parts by the library's model directly, all others by its whole chain. That
+    both give the same ids is tried on a few words first.
     """
 
     def __init__(self, vocabulary_json: str):
@@ -125,39 +134,44 @@ class LibraryEncoder:
         self._added = [t["content"] for t in chain.get("added_tokens") or ()]
         self._lower = "Lowercase" in json.dumps(chain.get("normalizer"))
         self._drops_space = not self._chain(" ")
+        self._plain = False
         tried = (" the", "The", " Lesung", " \u00e9t\u00e9", "\u00dcber", " of", " x", " stra\u00dfe", "\u00d8re", " qzxvj")
         self._plain = all(self._direct(t) == self._chain(t) for t in tried)
         self._added = [a.lower() for a in self._added] if self._lower else self._added
-        self._parts = Memo()
-        self._memo = WordMemo(self._words)
+        self.forget()
 
     def _chain(self, part: str) -> bytes:
-        return np.array(self._tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self._tok.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _direct(self, part: str) -> bytes:
         text = part.lower() if self._lower else part
         text = text.lstrip(" ") if self._drops_space else text
         ids = [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(self._letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        known, out = self._parts, []
-        known.make_room()
-        for word in words:
-            stem = word.rstrip(_TAIL)
-            if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()) and stem[-1] != "\u0130":
-                parts = (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
-            else:
-                parts = _BORDERS.split(word)
-            ids = b""
-            for part in parts:
-                found = known.find(part)
-                if found is None:
-                    found = self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
-                    known.keep(part, found)
-                ids += found
-            out.append(ids)
-        return out
+        return array("I", ids).tobytes()
+
+    def _ids(self, part: str) -> bytes:
+        return self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
+
+    def _bare_part(self, part: str) -> bytes:
+        found = self._bare.find(part)
+        if found is None:
+            found = self._ids(part)
+            self._bare.keep(part, found)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word; a stem before punctuation is remembered as the word that it is."""
+        stem = word.rstrip(_TAIL)
+        if stem.isalpha() and stem[-1] != "\u0130":
+            if len(stem) == len(word):
+                return self._ids(" " + word)
+            found = self._known.find(stem)
+            if found is None:
+                found = self._ids(" " + stem)
+                self._known.keep(stem, found)
+            return found + self._bare_part(word[len(stem) :])
+        first, *rest = _BORDERS.split(" " + word)
+        return self._ids(first) + b"".join(map(self._bare_part, rest))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -165,7 +179,25 @@ class LibraryEncoder:
         seen = text.lower() if self._lower else text
         if any(a in seen for a in self._added):
             return self._chain(text)
-        return self._memo.encode(text)
+        first, *rest = space_cut(text)
+        known = self._known
+        try:
+            out = b"".join(map(known.__getitem__, rest))
+        except KeyError:
+            known.make_room()
+            self._bare.make_room()
+            fresh = {}
+            for word in set(rest):
+                if word not in known:
+                    found = known.find(word)
+                    fresh[word] = self._word(word) if found is None else found
+            out = b"".join([fresh[w] if w in fresh else known[w] for w in rest])
+            known.keep_all(fresh)
+        return b"".join(map(self._bare_part, _BORDERS.split(first))) + out if first else out
+
+    def forget(self) -> None:
+        """Give the memos' memory back; a worker does so at the end of each task."""
+        self._known, self._bare = Memo(WORD_BYTES), Memo(PART_BYTES)  # words with a space before them, under their own letters; other parts
 
 
 _LOADED: dict[str, LibraryEncoder] = {}

@@ -54,6 +54,7 @@ def token_pieces(documents: DataFrame, vocabulary_path: str, end_id: int, capaci
                             column.append(value)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+        encoder.forget()
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")

@@ -180,6 +180,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int, folder
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
             documents += [encoder.encode(t) + end for t in texts_of(batch.column(1))]
+        encoder.forget()
         if not doc_ids:
             return
         context = TaskContext.get()
