@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,27 @@ def levels(leaves: DataFrame, size: int, keep: Callable[[DataFrame], DataFrame]
         nodes, level, n = keep(next_level(nodes)), level + 1, -(-n // 2)
 
 
+def _node(left: str, right: str) -> str:
+    return hashlib.sha256(b"\x01" + bytes.fromhex(left) + bytes.fromhex(right)).hexdigest()
+
+
+def root(leaves: DataFrame, size: int, width: int = 12) -> DataFrame:
+    """The root as one row ``hash``: aligned subtrees of 2 to the ``width`` nodes are hashed in tasks of their own, then their roots."""
+
+    def subtree(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("idx").to_numpy())
+        hashes = [group.column("hash")[int(i)].as_py() for i in order]
+        while len(hashes) > 1:  # an odd last node rises unchanged
+            hashes = [_node(*hashes[i : i + 2]) if i + 1 < len(hashes) else hashes[i] for i in range(0, len(hashes), 2)]
+        return pa.table({"idx": pa.array([group.column("up")[0].as_py()], pa.int64()), "hash": pa.array(hashes, pa.string())})
+
+    nodes = leaves.select(F.col("idx").cast("long").alias("idx"), "hash")
+    while size > 1:
+        nodes = nodes.withColumn("up", F.shiftright("idx", width)).groupBy("up").applyInArrow(subtree, "idx long, hash string")
+        size = -(-size // (1 << width))
+    return nodes.select("hash")
+
+
 def inclusion_paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """For each leaf the siblings from the bottom up: ``idx, level, sibling, hash``; levels without one are skipped."""
     depth = nodes.select("level").distinct()

@@ -44,6 +44,12 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, blocks: int | None = N
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def others(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest without the query itself, from its k + 1 nearest."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.where("query_id != train_id").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def memory_scores(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of positive neighbours, the j-th weighing 2 to the power 1 - j: ``query_id, score``."""
     w = F.pow(F.lit(2.0), 1 - F.col("rank"))

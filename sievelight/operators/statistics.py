@@ -11,9 +11,15 @@ from ..functions.keys import rounded
 NEMENYI_Q = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391)
 
 
+def whole_mean(x: Column) -> Column:
+    """Mean of values of six digits: whole millionths are summed, so that no order of summing shows in the result."""
+    return F.sum(F.rint(x * 1e6).cast("long")) / F.count(x) / 1e6
+
+
 def fold_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count, mean, spread and range of values of six digits."""
     x = F.col(value)
-    return values.groupBy(*by).agg(F.count(x).alias("n"), rounded(F.avg(x)).alias("mean"), rounded(F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias("std"), rounded(F.min(x)).alias("min"), rounded(F.max(x)).alias("max"))
+    return values.groupBy(*by).agg(F.count(x).alias("n"), rounded(whole_mean(x)).alias("mean"), rounded(F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias("std"), rounded(F.min(x)).alias("min"), rounded(F.max(x)).alias("max"))
 
 
 def holm(tests: DataFrame, by: list[str], name: str, p: str, alpha: float = 0.05) -> DataFrame:
@@ -52,7 +58,7 @@ def cliffs_delta(rows: DataFrame, by: list[str], value: str, first: Column) -> D
 
 def inflation(runs: DataFrame, model: str, split: str, value: str, splits: list[str]) -> DataFrame:
     """Mean score of each model under each split as columns, and the drop from the first to the second."""
-    table = runs.groupBy(model).pivot(split, splits).agg(F.avg(value))
+    table = runs.groupBy(model).pivot(split, splits).agg(whole_mean(F.col(value)))
     drop = F.col(splits[0]) - F.col(splits[1])
     return table.select(model, *[rounded(F.col(s)).alias(s) for s in splits], rounded(drop).alias("drop"), (drop >= 0.02).alias("passes"))
 

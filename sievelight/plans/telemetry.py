@@ -150,20 +150,12 @@ def coverage_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.rollup("source").agg(F.count_distinct("lang").alias("n_langs"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("labelled").alias("n_labelled"))
 
 
-@query(f"""WITH {EVENTS}, o AS (SELECT host, event_id, ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, event_id) AS dt, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS k FROM ev)
-SELECT host, event_id, {r("coalesce(dt, 0)", 3)} AS dt FROM o WHERE k <= 128""")
-def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each host's first 128 events, the length of a window's event list, with the time since the one before."""
-    from pyspark.sql import Window
-
-    line = Window.partitionBy("host").orderBy("ts", "event_id")
-    rows = events(spark, sf_dir).select("host", "event_id", (F.col("ts") - F.lag("ts").over(line)).alias("dt"), F.row_number().over(line).alias("k"))
-    return rows.where("k <= 128").select("host", "event_id", rounded(F.coalesce("dt", F.lit(0.0)), 3).alias("dt"))
+EVENT_GAPS_SQL = f"""WITH {EVENTS}, o AS (SELECT host, window_start, event_id, ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, event_id) AS dt, row_number() OVER (PARTITION BY host, window_start ORDER BY ts, event_id) AS k FROM ev)
+SELECT host, window_start, event_id, k, {r("coalesce(dt, 0)", 3)} AS dt FROM o"""
 
 
-@query(f"""WITH {EVENTS}, o AS (SELECT host, window_start, event_id, ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, event_id) AS dt, row_number() OVER (PARTITION BY host, window_start ORDER BY ts, event_id) AS k FROM ev)
-SELECT host, window_start, event_id, k, {r("coalesce(dt, 0)", 3)} AS dt FROM o""")
-def event_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(EVENT_GAPS_SQL)
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with its number in its host's window and the time since the host's event before, whichever window that is in."""
     from pyspark.sql import Window
 
@@ -176,6 +168,21 @@ def event_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(*KEY, "event_id", "k", rounded(dt, 3).alias("dt"))
 
 
+@query(EVENT_GAPS_SQL)
+def event_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The former name of event_gaps over all events; both are one."""
+    return event_gaps(spark, sf_dir)
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT host, window_start, ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, event_id) AS dt, event_type, row_number() OVER (PARTITION BY host, window_start ORDER BY ts, event_id) AS k FROM ev)
+SELECT host, window_start, string_agg(event_type, ',' ORDER BY k) AS types, count(*) AS n_kept, {r("sum(round_even(coalesce(dt,0)*1000,0))/1000", 3)} AS sum_dt FROM o WHERE k <= 128 GROUP BY ALL""")
+def window_event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event list of each window, cut at the 128 that a padded sequence holds."""
+    rows = event_gaps(spark, sf_dir).where("k <= 128").join(events(spark, sf_dir).select("event_id", "event_type"), "event_id")
+    parts = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("k", "event_type"))).alias("l"), F.count("*").alias("n_kept"), rounded(F.sum(F.rint(F.col("dt") * 1000)) / 1000, 3).alias("sum_dt"))
+    return parts.select(*KEY, F.array_join(F.transform("l", lambda x: x["event_type"]), ",").alias("types"), "n_kept", "sum_dt")
+
+
 @query(f"""WITH {EVENTS}, b AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY host ORDER BY ts) >= 3600, true) AS n FROM ev), s AS (SELECT *, sum(n::INT) OVER (PARTITION BY host ORDER BY ts, event_id) AS k FROM b)
 SELECT host, {r("min(ts)")} AS began, count(*) AS n_events FROM s GROUP BY host, k""")
 def host_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

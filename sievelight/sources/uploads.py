@@ -8,8 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Texts that mean a positive label, and header names of label columns.
-POSITIVE = ("1", "true", "yes", "y", "attack", "malicious", "positive")
+#: Texts that mean a positive or a negative label, and header names of label columns.
+POSITIVE = ("1", "1.0", "true", "yes", "attack", "malicious", "anomaly")
+NEGATIVE = ("0", "0.0", "false", "no", "benign", "normal")
 LABELS = ("label", "y", "is_attack", "target")
 
 
@@ -47,11 +48,13 @@ def read_csv(spark: SparkSession, path: str, features: list[str]) -> tuple[DataF
 
 
 def parsed(rows: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
-    """Features as doubles, ``errors`` naming the cells that are no finite numbers, and ``y`` from the label's text."""
+    """Features as doubles, ``errors`` naming the cells that are no finite numbers or no label, and ``y`` from the label's text (null if blank)."""
     number = {c: F.trim(F.col(c)).try_cast("double") for c in features}
     wrong = {c: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)) for c, x in number.items()}
-    errors = F.array_compact(F.array(*[F.when(w, F.lit(c)) for c, w in wrong.items()]))
-    y = F.lower(F.trim(F.col(label))).isin(*POSITIVE) if label else F.lit(None).cast("boolean")
+    said = F.lower(F.trim(F.coalesce(F.col(label), F.lit("")))) if label else F.lit("")
+    y = F.when(said.isin(*POSITIVE), True).when(said.isin(*NEGATIVE), False)
+    no_label = [F.when((said != "") & y.isNull(), F.lit(label))] if label else []
+    errors = F.array_compact(F.array(*[F.when(w, F.lit(c)) for c, w in wrong.items()], *no_label))
     kept = [c for c in rows.columns if c not in ("y", "errors") and c not in features]
     return rows.select(*kept, y.alias("y"), errors.alias("errors"), *[F.when(~wrong[c], x).alias(c) for c, x in number.items()])
 
