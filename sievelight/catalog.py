@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, evaluation, records, streams, telemetry  # noqa: F401
+from .plans import base, evaluation, protocol, records, streams, telemetry  # noqa: F401
 
 FLAGSHIP = "host_windows"
 

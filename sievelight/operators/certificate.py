@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import curves, leakage
+from . import curves, leakage, protocol
 
 
 class HaltGate(RuntimeError):
     """The drop from the random to the chronological split is too small to go on."""
 
 
-def certificate(rows: DataFrame, parts: DataFrame, features: list[str], group: str, mask: list[str], label: str, seed: int = 0, bits: int = 32) -> DataFrame:
+def certificate(rows: DataFrame, parts: DataFrame, features: list[str], group: str, mask: list[str], label: str, seed: int = 0, bits: int = 32, source: str | None = None, sources: tuple = ()) -> DataFrame:
     """``control, measure, value, severity`` of rows with ``row_id``, features, a group, mask columns and a label.
 
-    Each control is one or two aggregates over the rows; only their few numbers meet.
+    Control 5 needs a column that names the source and its few values. Each control is one or two aggregates over the rows; only their few numbers meet.
     """
     joined = rows.join(parts, "row_id")
     train, test = joined.where("part = 'train'"), joined.where("part = 'test'")
@@ -31,8 +31,8 @@ def certificate(rows: DataFrame, parts: DataFrame, features: list[str], group: s
     shared = leakage.group_overlap(joined, group).agg(F.sum("shared").alias("n"))
     floor = leakage.pattern_floor(rows, mask, label, 5, seed).withColumn("all", F.lit(0))
     ap = curves.average_precision(curves.curve(floor, ["all"]), ["all"])
-    permuted = leakage.permuted_labels(rows, label, seed).join(floor.select("row_id", "score"), "row_id").withColumn("all", F.lit(0))
-    chance = curves.average_precision(curves.curve(permuted, ["all"]), ["all"]).crossJoin(F.broadcast(rows.agg(F.avg(label).alias("rate"))))  # one row each
+    chance = protocol.permuted_precision(rows, features, label).agg(F.avg("average_precision").alias("ap"), F.avg("prevalence").alias("rate"))
+    told = protocol.provenance_auc(rows, features, source, sources, seed).where("source IS NULL").select("auc") if source else None
     out = name(exact, "1 exact duplicates", "fraction", F.col("fraction"), 0.01, 0.2)
     for df, control, measure, value, warn, fail in (
         (twins, "1 exact duplicates", "test rows with a training twin", F.col("n"), 0, 0),
@@ -40,6 +40,7 @@ def certificate(rows: DataFrame, parts: DataFrame, features: list[str], group: s
         (near_twins, "2 near duplicates", "test rows with a near twin in training", F.col("n"), 0, 0),
         (shared, "3 shared groups", "groups on several sides", F.col("n"), 0, 0),
         (ap, "4 mask-only floor", "average precision", F.col("ap"), 0.2, 0.5),
+        *([(told, "5 source provenance", "area under ROC, one source against the rest", F.col("auc"), 0.7, 0.9)] if source else []),
         (chance, "6 permuted labels", "distance from chance", F.abs(F.col("ap") - F.col("rate")), 0.05, 0.1),
     ):
         out = out.unionByName(name(df, control, measure, value, warn, fail))

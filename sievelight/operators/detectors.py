@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .splits import chance
 
 
+def random_score(seed: int, row_id: Column) -> Column:
+    """A number in [0, 1) from the hash of seed and row id."""
+    return F.conv(F.substring(chance(seed, row_id), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
 def random_scores(rows: DataFrame, seed: int) -> DataFrame:
-    """A score in [0, 1) from the hash of seed and row id."""
-    return rows.select("row_id", (F.conv(F.substring(chance(seed, F.col("row_id")), 1, 12), 16, 10).cast("double") / float(16**12)).alias("score"))
+    return rows.select("row_id", random_score(seed, F.col("row_id")).alias("score"))
 
 
 def prevalence_scores(train: DataFrame, test: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
-from .splits import chance
+from .splits import chance, placed_by_chance
 
 
 def exact_duplicates(rows: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -68,12 +68,11 @@ def pattern_floor(rows: DataFrame, pattern: list[str], label: str, folds: int, s
 
 
 def permuted_labels(rows: DataFrame, label: str, seed: int) -> DataFrame:
-    """The same labels in another order: the k-th row takes the label of the k-th row in hash order."""
-    by_id, by_chance = Window.partitionBy("slice").orderBy("row_id"), Window.partitionBy("slice").orderBy(chance(seed, F.col("row_id")), "row_id")
-    cut = rows.withColumn("slice", F.conv(F.substring(chance(seed + 1, F.col("row_id")), 1, 2), 16, 10).cast("int"))
-    left = cut.select("row_id", "slice", F.row_number().over(by_id).alias("k"))
-    right = cut.select("slice", F.row_number().over(by_chance).alias("k"), F.col(label).alias("y"))
-    return left.join(right, ["slice", "k"]).select("row_id", "y")
+    """The same labels in another order: the k-th row of one hash order takes the label of the k-th row of another."""
+    own = rows.select("row_id", label)
+    left = placed_by_chance(own, [], seed + 1).select("row_id", "k")
+    right = placed_by_chance(own, [], seed).select("k", F.col(label).alias("y"))
+    return left.join(right, "k").select("row_id", "y")
 
 
 def identical_columns(rows: DataFrame, columns: list[str]) -> list[tuple[str, str]]:

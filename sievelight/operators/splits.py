@@ -17,11 +17,24 @@ def chance(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
 
 
+def placed_by_chance(rows: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """Add each row's place ``k`` (from 1) in its group's hash order and the group's size ``n``.
+
+    Rows are numbered within slices of equal leading hex digits, and slices are
+    offset by their counts, so a group of any size is never in one task.
+    """
+    drawn = rows.withColumn("_c", chance(seed, F.col("row_id"))).withColumn("_s", F.substring("_c", 1, 3))
+    counts = drawn.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select(*by, "_s", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("n"))
+    local = F.row_number().over(Window.partitionBy(*by, "_s").orderBy("_c", "row_id"))
+    return drawn.withColumn("_k", local).join(counts, [*by, "_s"]).withColumn("k", F.col("_before") + F.col("_k")).drop("_c", "_s", "_k", "_before")
+
+
 def random_stratified(rows: DataFrame, label: str, seed: int, train: float = 0.6, val: float = 0.2) -> DataFrame:
     """Within each class the first shares in hash order."""
-    own = Window.partitionBy(label)
-    place = F.row_number().over(own.orderBy(chance(seed, F.col("row_id")), "row_id"))
-    ranked = rows.select("row_id", label, place.alias("k"), F.count("*").over(own).alias("n"))
+    ranked = placed_by_chance(rows.where(F.col(label).isNotNull()).select("row_id", label), [label], seed)
     first, second = F.floor(F.col("n") * train + 0.5), F.floor(F.col("n") * (train + val) + 0.5)
     return ranked.select("row_id", F.when(F.col("k") <= first, "train").when(F.col("k") <= second, "val").otherwise("test").alias("part"))
 

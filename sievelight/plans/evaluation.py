@@ -159,8 +159,8 @@ def mask_only_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return floor_scores(spark, sf_dir)
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS row_id, (o_orderstatus='O')::INT AS y, ('0x' || substr(md5('{SEED + 1}|' || o_orderkey), 1, 2))::BIGINT AS slice FROM orders),
-l AS (SELECT row_id, slice, row_number() OVER (PARTITION BY slice ORDER BY row_id) AS k FROM o), q AS (SELECT y, slice, row_number() OVER (PARTITION BY slice ORDER BY md5('{SEED}|' || row_id), row_id) AS k FROM o) SELECT row_id, y FROM l JOIN q USING (slice, k)""")
+@query(f"""WITH o AS (SELECT o_orderkey AS row_id, (o_orderstatus='O')::INT AS y FROM orders), l AS (SELECT row_id, row_number() OVER (ORDER BY md5('{SEED + 1}|' || row_id), row_id) AS k FROM o),
+q AS (SELECT y, row_number() OVER (ORDER BY md5('{SEED}|' || row_id), row_id) AS k FROM o) SELECT row_id, y FROM l JOIN q USING (k)""")
 def label_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.permuted_labels(orders(spark, sf_dir), "y", SEED)
 

@@ -58,17 +58,25 @@ def numbered(lines: DataFrame, key: list[str]) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``line, labels, rules`` from JSON lines; the last record of a line wins."""
+    """``path, line, labels, rules`` from JSON lines; of a file's records of one line the last wins, by its place in the file."""
     rows = spark.read.schema("line long, labels array<string>, rules map<string,array<string>>").json(path)
-    rows = rows.where("line IS NOT NULL").withColumn("at", F.monotonically_increasing_id())
-    return rows.groupBy("line").agg(F.max_by(F.struct("labels", "rules"), "at").alias("r")).select("line", "r.labels", "r.rules")
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))  # numbers grow within a block of a file
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), "line", "labels", "rules", at.alias("at")).where("line IS NOT NULL")
+    return rows.groupBy("path", "line").agg(F.max_by(F.struct("labels", "rules"), "at").alias("r")).select("path", "line", "r.labels", "r.rules")
 
 
-def with_labels(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """Left join of labels on the global line; ``LabelJoinError`` if a label is beyond the last line."""
-    last = lines.agg(F.max("global_line").alias("n")).first().n or 0
-    beyond = labels.where(F.col("line") > last).agg(F.min("line").alias("line")).first().line
+def with_labels(lines: DataFrame, labels: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Left join of labels on the key (host and source, say) and the global line; what has no label is benign.
+
+    ``LabelJoinError`` if a label is beyond the last line of its key's lines. Without a key all lines are of one source.
+    """
+    key = list(key)
+    last = lines.groupBy(*key).agg(F.max("global_line").alias("n"))
+    wanted = labels.groupBy(*key).agg(F.max("line").alias("line")).where("line IS NOT NULL")
+    both = wanted.join(last, key, "left") if key else wanted.crossJoin(F.broadcast(last))  # one row each
+    beyond = both.where("line > coalesce(n, 0)").select("line", "n").first()
     if beyond is not None:
-        raise LabelJoinError(f"label line {beyond} is beyond the last line {last}")
-    joined = lines.join(labels.withColumnRenamed("line", "global_line"), "global_line", "left")
+        raise LabelJoinError(f"label line {beyond.line} is beyond the last line {beyond.n or 0}")
+    own = labels.withColumnRenamed("line", "global_line").select(*key, "global_line", *(c for c in ("labels", "rules") if c in labels.columns))
+    joined = lines.join(own, [*key, "global_line"], "left")
     return joined.withColumns({"labels": F.coalesce("labels", F.array().cast("array<string>")), "is_attack": F.coalesce(F.size("labels") > 0, F.lit(False))})

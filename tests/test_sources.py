@@ -99,7 +99,7 @@ def test_uploads(spark, tmp_path):
     path.write_text('﻿B Col;a_col;Label;extra\n1,5;"2";x;q\n3;4; Attack ;"two\nlines"\nnan;1e3;0;r\n')
     rows, label = uploads.read_csv(spark, str(path), ["a_col", "b_col"])
     out = uploads.parsed(rows, ["a_col", "b_col"], label).orderBy("row_id").collect()
-    assert label == "label" and [list(r.errors) for r in out] == [["b_col"], [], ["b_col"]] and [r.y for r in out] == [False, True, False]
+    assert label == "label" and [list(r.errors) for r in out] == [["b_col", "label"], [], ["b_col"]] and [r.y for r in out] == [None, True, False]  # "x" is no label
     scored = uploads.with_scores(rows, spark.createDataFrame([(out[1].row_id, 0.9)], "row_id long, score double"))
     assert sorted(r.verdict for r in scored.collect()) == ["attack", "not scored", "not scored"]
     with pytest.raises(uploads.UploadError, match="missing"):
