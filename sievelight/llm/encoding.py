@@ -134,6 +134,7 @@ class LibraryEncoder:
         self._added = [t["content"] for t in chain.get("added_tokens") or ()]
         self._lower = "Lowercase" in json.dumps(chain.get("normalizer"))
         self._drops_space = not self._chain(" ")
+        self._lead = "" if self._drops_space else self._letters[32]
         self._plain = False
         tried = (" the", "The", " Lesung", " \u00e9t\u00e9", "\u00dcber", " of", " x", " stra\u00dfe", "\u00d8re", " qzxvj")
         self._plain = all(self._direct(t) == self._chain(t) for t in tried)
@@ -152,6 +153,13 @@ class LibraryEncoder:
     def _ids(self, part: str) -> bytes:
         return self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
 
+    def _plain_word(self, stem: str) -> bytes:
+        """Ids of a space and letters; ASCII ones stand for themselves in the byte-level alphabet."""
+        if not (self._plain and stem.isascii()):
+            return self._ids(" " + stem)
+        tokens = self._model.tokenize(self._lead + (stem.lower() if self._lower else stem))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def _bare_part(self, part: str) -> bytes:
         found = self._bare.find(part)
         if found is None:
@@ -164,10 +172,10 @@ class LibraryEncoder:
         stem = word.rstrip(_TAIL)
         if stem.isalpha() and stem[-1] != "\u0130":
             if len(stem) == len(word):
-                return self._ids(" " + word)
+                return self._plain_word(word)
             found = self._known.find(stem)
             if found is None:
-                found = self._ids(" " + stem)
+                found = self._plain_word(stem)
                 self._known.keep(stem, found)
             return found + self._bare_part(word[len(stem) :])
         first, *rest = _BORDERS.split(" " + word)
