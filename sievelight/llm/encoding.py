@@ -195,12 +195,14 @@ class LibraryEncoder:
             known.make_room()
             self._bare.make_room()
             fresh = {}
-            for word in set(rest):
-                if word not in known:
-                    found = known.find(word)
-                    fresh[word] = self._word(word) if found is None else found
-            out = b"".join([fresh[w] if w in fresh else known[w] for w in rest])
+            for word in [w for w in set(rest) if w not in known]:
+                found = known.find(word)
+                fresh[word] = self._word(word) if found is None else found
             known.keep_all(fresh)
+            try:
+                out = b"".join(map(known.__getitem__, rest))
+            except KeyError:  # some words are too long to be remembered
+                out = b"".join([fresh[w] if w in fresh else known[w] for w in rest])
         return b"".join(map(self._bare_part, _BORDERS.split(first))) + out if first else out
 
     def forget(self) -> None:
