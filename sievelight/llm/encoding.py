@@ -12,7 +12,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -29,6 +29,9 @@ ENTRY_BYTES = 180
 #: Longer words are encoded each time and not remembered.
 LONGEST_REMEMBERED = 64
 
+#: Characters of texts whose words are encoded together; a longer text goes alone.
+TOGETHER = 1 << 20
+
 
 def space_cut(text: str) -> list[str]:
     """The text's parts between the spaces that begin a word; " ".join() restores it."""
@@ -64,6 +67,11 @@ class Memo(dict):
             self.keep(word, found)
         return found
 
+    def recall(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Those of the words that the old half holds."""
+        old = self._old
+        return {w: old[w] for w in words if w in old} if old else {}
+
     def make_room(self) -> None:
         if self._held > self._half:
             self._old = dict(self)
@@ -103,7 +111,8 @@ class WordMemo:
 _BORDERS = re.compile(r"(?<=[^\W_İ])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[^\W_])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _TAIL = ".,!?;:|#$%&*"
 #: Pieces that are one pre-token and change only in case: letters of Latin-1 after at most one space.
-_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN = re.compile(" ?" + _LATIN.pattern)
 
 
 def byte_letters() -> dict[int, str]:
@@ -153,13 +162,6 @@ class LibraryEncoder:
     def _ids(self, part: str) -> bytes:
         return self._direct(part) if self._plain and _PLAIN.fullmatch(part) else self._chain(part)
 
-    def _plain_word(self, stem: str) -> bytes:
-        """Ids of a space and letters; ASCII ones stand for themselves in the byte-level alphabet."""
-        if not (self._plain and stem.isascii()):
-            return self._ids(" " + stem)
-        tokens = self._model.tokenize(self._lead + (stem.lower() if self._lower else stem))
-        return array("I", [t.id for t in tokens]).tobytes()
-
     def _bare_part(self, part: str) -> bytes:
         found = self._bare.find(part)
         if found is None:
@@ -167,43 +169,84 @@ class LibraryEncoder:
             self._bare.keep(part, found)
         return found
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and a word; a stem before punctuation is remembered as the word that it is."""
-        stem = word.rstrip(_TAIL)
-        if stem.isalpha() and stem[-1] != "\u0130":
-            if len(stem) == len(word):
-                return self._plain_word(word)
-            found = self._known.find(stem)
-            if found is None:
-                found = self._plain_word(stem)
-                self._known.keep(stem, found)
-            return found + self._bare_part(word[len(stem) :])
-        first, *rest = _BORDERS.split(" " + word)
-        return self._ids(first) + b"".join(map(self._bare_part, rest))
+    def _plain_words(self, stems: Iterable[str]) -> dict[str, bytes]:
+        """Ids of a space and each word of letters; ASCII ones stand for themselves in the byte-level alphabet."""
+        tokenize, lead, letters, found = self._model.tokenize, self._lead, self._letters, {}
+        for stem in stems:
+            seen = stem.lower() if self._lower else stem
+            if not stem.isascii():
+                if not _LATIN.fullmatch(stem):
+                    found[stem] = self._chain(" " + stem)
+                    continue
+                seen = seen.encode().decode("latin-1").translate(letters)
+            found[stem] = array("I", [t.id for t in tokenize(lead + seen)]).tobytes()
+        return found
+
+    def _fresh(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of a space and each word; a stem before punctuation is remembered as the word that it is."""
+        found, stems = {}, set()
+        tailed, stem_of, tail_of = [], [], []
+        for word in words:
+            stem = word.rstrip(_TAIL)
+            if self._plain and stem.isalpha() and stem[-1] != "\u0130":
+                stems.add(stem)
+                if len(stem) != len(word):
+                    tailed.append(word)
+                    stem_of.append(stem)
+                    tail_of.append(word[len(stem) :])
+            else:
+                first, *rest = _BORDERS.split(" " + word)
+                found[word] = self._ids(first) + b"".join(map(self._bare_part, rest))
+        known = self._known
+        found |= self._plain_words([s for s in stems if s not in known])
+        tails = {tail: self._bare_part(tail) for tail in set(tail_of)}
+        for word, stem, tail in zip(tailed, stem_of, tail_of, strict=True):
+            found[word] = (found[stem] if stem in found else known[stem]) + tails[tail]
+        return found
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        seen = text.lower() if self._lower else text
-        if any(a in seen for a in self._added):
-            return self._chain(text)
-        first, *rest = space_cut(text)
+        return self._together([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text; a null text has none. Texts go together in groups of ``TOGETHER`` characters."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text)
+            held += len(text or "")
+            if held >= TOGETHER:
+                yield from self._together(group)
+                group, held = [], 0
+        yield from self._together(group)
+
+    def _together(self, texts: list[str | None]) -> list[bytes]:
+        """New words of all texts are encoded at once."""
+        cut, words = [], set()
+        for text in texts:
+            parts = None
+            if text and not (self._added and any(a in (text.lower() if self._lower else text) for a in self._added)):
+                parts = space_cut(text)
+                words.update(parts[1:])
+            cut.append(parts)
         known = self._known
-        try:
-            out = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            known.make_room()
-            self._bare.make_room()
-            fresh = {}
-            for word in [w for w in set(rest) if w not in known]:
-                found = known.find(word)
-                fresh[word] = self._word(word) if found is None else found
-            known.keep_all(fresh)
+        known.make_room()
+        self._bare.make_room()
+        unknown = [w for w in words if w not in known]
+        again = known.recall(unknown)
+        known.keep_all(again)
+        new = self._fresh([w for w in unknown if w not in again] if again else unknown)
+        known.keep_all(new)
+        out = []
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(self._chain(text) if text else b"")
+                continue
+            first, *rest = parts
             try:
-                out = b"".join(map(known.__getitem__, rest))
+                ids = b"".join(map(known.__getitem__, rest))
             except KeyError:  # some words are too long to be remembered
-                out = b"".join([fresh[w] if w in fresh else known[w] for w in rest])
-        return b"".join(map(self._bare_part, _BORDERS.split(first))) + out if first else out
+                ids = b"".join([known[w] if w in known else new[w] for w in rest])
+            out.append(b"".join(map(self._bare_part, _BORDERS.split(first))) + ids if first else ids)
+        return out
 
     def forget(self) -> None:
         """Give the memos' memory back; a worker does so at the end of each task."""

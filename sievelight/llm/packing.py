@@ -44,8 +44,8 @@ def token_pieces(documents: DataFrame, vocabulary_path: str, end_id: int, capaci
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = ([], [], [], [], [])
-                for doc_id, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
-                    ids = encoder.encode(text) + end
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts_of(part.column(1))), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity
                     edges = [0, *range(first, n + 1, capacity)]

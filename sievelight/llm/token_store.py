@@ -179,7 +179,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int, folder
         doc_ids, documents = [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            documents += [encoder.encode(t) + end for t in texts_of(batch.column(1))]
+            documents += [ids + end for ids in encoder.encode_all(texts_of(batch.column(1)))]
         encoder.forget()
         if not doc_ids:
             return
