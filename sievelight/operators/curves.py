@@ -72,14 +72,6 @@ def confusion(scored: DataFrame, by: list[str], threshold: float, score: str = "
     return counts.withColumns({"precision": part(tp, fp), "recall": part(tp, fn), "mcc": rounded(mcc)})
 
 
-def false_alerts(scored: DataFrame, by: list[str], threshold: float, per_day: int = 1440, score: str = "score", label: str = "y") -> DataFrame:
-    """False alerts a day, and their 95 % upper bound by the rule of three where none was seen; null without benign rows."""
-    counts = scored.groupBy(*by).agg(F.count_if((F.col(score) >= threshold) & (F.col(label) == 0)).alias("fp"), F.count_if(F.col(label) == 0).alias("benign"))
-    share = lambda n: rounded(n / F.col("benign") * per_day)
-    some = F.col("benign") > 0
-    return counts.withColumns({"rate": F.when(some, share(F.col("fp"))), "upper": F.when(some & (F.col("fp") == 0), share(F.lit(3.0)))})
-
-
 def _bin(x: Column, bins: int) -> Column:
     """Number of the bin (lo, hi] of [0, 1], the first closed, by comparison with the edges themselves."""
     edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])

@@ -218,13 +218,6 @@ def confusion_mcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.confusion(scored(spark, sf_dir), ["fold"], 0.2)
 
 
-@query(f"""WITH {SCORED}, c AS (SELECT fold, t AS threshold, count(*) FILTER (score >= t AND y = 0) AS fp, count(*) FILTER (y = 0) AS benign FROM s CROSS JOIN (SELECT unnest([0.5, 2.0]::DOUBLE[]) AS t) GROUP BY ALL)
-SELECT fold, threshold, fp, benign, CASE WHEN benign > 0 THEN {r('fp/benign*1440')} END AS rate, CASE WHEN benign > 0 AND fp = 0 THEN {r('3.0::DOUBLE/benign*1440')} END AS upper FROM c""")
-def false_alerts_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda t: curves.false_alerts(scored(spark, sf_dir), ["fold"], t).withColumn("threshold", F.lit(t))
-    return at(0.5).unionByName(at(2.0))  # no score reaches 2: the bound alone
-
-
 @query(f"""WITH {SCORED}, b AS (SELECT fold, y, list_sum(list_transform(range(1,15), lambda e: (score > e/15)::INT)) AS bin, score FROM s),
 g AS (SELECT fold, y, bin, count(*) AS n, avg(y) AS rate, avg(score) AS mean FROM b GROUP BY ALL) SELECT fold, y, {r('sum(n*abs(rate-mean))/sum(n)')} AS ece, sum(n)::BIGINT AS n FROM g GROUP BY ALL""")
 def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,12 +75,6 @@ def test_curve_metrics(spark, name):
     assert curves.tpr_at_fpr(points, ["fold"], 0.01).first().tpr <= best + 1e-6
 
 
-def test_false_alerts(spark):
-    rows = spark.createDataFrame([(0, 0.9, 0), (0, 0.1, 0), (0, 0.8, 1), (1, 0.1, 0), (1, 0.2, 0), (2, 0.9, 1)], "fold int, score double, y int")
-    found = {r.fold: (r.fp, r.benign, r.rate, r.upper) for r in curves.false_alerts(rows, ["fold"], 0.5).collect()}
-    assert found == {0: (1, 2, 720.0, None), 1: (0, 2, 0.0, 2160.0), 2: (0, 0, None, None)}
-
-
 def test_confusion_and_calibration(spark):
     rows = frame(spark, [(0, 0.9, 1), (0, 0.8, 0), (0, 0.1, 0), (0, 0.2, 1)], "fold int, score double, y int")
     r = curves.confusion(rows, ["fold"], 0.5).first()
