@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, host_reputation, line_dedup, order_minhash, packing, ppm_language, quality, sharding, token_store
+from . import bpe, embedding_dedup, fill_in_middle, host_reputation, line_dedup, order_minhash, packing, ppm_language, quality, sharding, spelling, token_store
 from .common import discard, ship_package, staged
 
 
@@ -90,6 +90,16 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule does to each policy, from a ledger that is stored once and read under both policies."""
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "failure_bits")
@@ -98,7 +108,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablations, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablations, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing, op12_fill_in_middle, op13_spelling_variants)}
 
 _SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _ONLY = lambda kept: f"length(regexp_replace(coalesce(text, ''), '[^{kept}]', '', 'g'))"
@@ -162,13 +172,24 @@ r AS (SELECT host, (bad + w * prior) / (n + w) AS rate, n + w AS size FROM (SELE
 SELECT page_id, host, path, {case(2)} AS rule, coalesce({case(1)}, CASE WHEN rate - {host_reputation.Z} * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM h JOIN r USING (host)"""
 
 
+_MARKED = " OR ".join(f"contains(t, '{m}')" for m in (fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE))
+_FORMED = "CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END"
+_CHANCE = ", ".join(f"('0x' || substr(d, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+OP12_SQL = f"""
+WITH x AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(w) AS n, {_CHANCE} FROM x),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR {_MARKED} OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, coalesce(array_to_string(w[:a], ''), '') AS p, coalesce(array_to_string(w[a + 1 : b], ''), '') AS m, coalesce(array_to_string(w[b + 1 :], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256({_FORMED}) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+
 def _ablations_sql() -> str:
     bits = [(p, r, quality.mask_of(p), quality.bit_of(r)) for p, rules in quality.POLICIES.items() for r in rules]
     return f"""WITH f AS ({OP1_SQL}), r(policy, rule, mask, bit) AS (VALUES {", ".join(map(str, bits))})
 SELECT policy, rule, count(*) FILTER (failure_bits & bit <> 0) AS failed, count(*) FILTER (failure_bits & mask = bit) AS rejected_alone, count(*) FILTER (failure_bits & mask & ~bit <> 0) AS rejected_without FROM f CROSS JOIN r GROUP BY policy, rule"""
 
 
-ORACLE_SQL: dict[str, str] = {"quality_ablations": _ablations_sql(), "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql()}
+ORACLE_SQL: dict[str, str] = {"quality_ablations": _ablations_sql(), "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql(), "op12_fill_in_middle": OP12_SQL}
 
 
 def _shipped(query):
