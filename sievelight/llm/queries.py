@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, fill_in_middle, host_reputation, line_dedup, order_minhash, packing, ppm_language, quality, sharding, spelling, token_store
+from . import bpe, embedding_dedup, fill_in_middle, host_reputation, line_dedup, order_minhash, packing, ppm_language, quality, sharding, spelling, suffix_dedup, token_store
 from .common import discard, ship_package, staged
 
 
@@ -90,6 +90,11 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     again = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -108,7 +113,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablations, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing, op12_fill_in_middle, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablations, op2_line_dedup, op2_line_dedup_all_lines, op3_byte_bpe, op4_itq_embeddings, op5_order_minhash, op6_label_propagation, op7_ppm_language, op8_bit_packed_ids, op9_host_reputation, op10_best_fit_packing, op11_suffix_dedup, op12_fill_in_middle, op13_spelling_variants)}
 
 _SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _ONLY = lambda kept: f"length(regexp_replace(coalesce(text, ''), '[^{kept}]', '', 'g'))"
