@@ -177,6 +177,17 @@ r AS (SELECT host, (bad + w * prior) / (n + w) AS rate, n + w AS size FROM (SELE
 SELECT page_id, host, path, {case(2)} AS rule, coalesce({case(1)}, CASE WHEN rate - {host_reputation.Z} * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM h JOIN r USING (host)"""
 
 
+#: Windows of 200 bytes by their digests; those found twice, joined to spans; what lies between the spans.
+OP11_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, b[i:i+199] AS s FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM t WHERE octet_length(b) >= 200)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM (SELECT r, i, md5(s) AS s FROM w)) WHERE n > 1),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, (i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 200)::INT AS new FROM c)),
+s AS (SELECT r, k, min(i) AS a, max(i) + 200 AS e FROM g GROUP BY r, k),
+p AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 1) AS last FROM s),
+j AS (SELECT r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(b[last:a-1]), '' ORDER BY a) || hex(any_value(b)[max(e):octet_length(any_value(b))]) AS kept FROM p JOIN t USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM t LEFT JOIN j USING (r)"""
+
 _MARKED = " OR ".join(f"contains(t, '{m}')" for m in (fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE))
 _FORMED = "CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END"
 _CHANCE = ", ".join(f"('0x' || substr(d, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
@@ -194,7 +205,7 @@ def _ablations_sql() -> str:
 SELECT policy, rule, count(*) FILTER (failure_bits & bit <> 0) AS failed, count(*) FILTER (failure_bits & mask = bit) AS rejected_alone, count(*) FILTER (failure_bits & mask & ~bit <> 0) AS rejected_without FROM f CROSS JOIN r GROUP BY policy, rule"""
 
 
-ORACLE_SQL: dict[str, str] = {"quality_ablations": _ablations_sql(), "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql(), "op12_fill_in_middle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"quality_ablations": _ablations_sql(), "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op2_line_dedup_all_lines": OP2_SQL, "op4_itq_embeddings": OP4_SQL, "op9_host_reputation": _op9_sql(), "op11_suffix_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
 
 
 def _shipped(query):
