@@ -199,7 +199,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     """Add ``n_links, component_id, kept`` to vectors ``vec_id, embedding, label``.
 
     Only vectors of equal label are compared, by cosine in double precision.
-    Extra columns are kept; columns named like a result are replaced.
+    Extra columns are kept; columns named like a result are replaced. Rows of one
+    ``vec_id`` are one vector, which links with others only, and each row gets its
+    result once; if their vectors differ, the one with the smallest label, length
+    and hashes counts, and others are left out. An empty table gives an empty one.
     """
     spark = df.sparkSession
     df = df.select(*(F.col(f"`{c}`") for c in without(df.columns, ("n_links", "component_id", "kept"))))
@@ -208,7 +211,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     # Two hashes, 128 bits, name a vector; the first of equal ones stands for all.
     named = valid(df).select("vec_id", "label", F.size("embedding").alias("dims"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding")
     name = ["label", "dims", "h1", "h2"]
-    equal = staged(named.groupBy(*name).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "itq-vectors")
+    ids = named.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct(*name)).alias("v")).select("vec_id", "v.*")
+    equal = ids.groupBy(*name).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    equal = staged(equal.join(named.groupBy(*name).agg(F.first("embedding").alias("embedding")), name), "itq-vectors")
     lengths = equal.groupBy("dims").agg(F.sum(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(CODED_LENGTHS).collect()
     if not lengths:
         discard(equal)
@@ -250,7 +255,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     found = equal.select(*name, "vec_id", "weight").join(links, "vec_id", "left").join(classes.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     found = staged(found.select(*name, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "itq-found")
     # Every vector takes the result of the one that stands for it.
-    judged = staged(named.drop("embedding").join(found, name).select("vec_id", "n_links", "component_id"), "itq-judged")
+    judged = staged(ids.join(found, name).select("vec_id", "n_links", "component_id"), "itq-judged")
     discard(equal, rows, sizes, compared, classes, found)
     out = df.join(judged, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")

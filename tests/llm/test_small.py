@@ -235,6 +235,15 @@ def test_vectors_of_several_lengths_and_equal_ones(spark):
     assert embedding_dedup.bits_for(100) == 12 and embedding_dedup.bits_for(1 << 20) == 18
 
 
+def test_rows_of_one_vector_count_once(spark):
+    a, b, c = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, a, 0), (2, b, 0), (3, a, 0), (3, a, 0), (4, c, 0), (4, c, 0), (None, a, 0), (5, None, 0), (5, c, 0), (6, c, 1), (6, b, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    near = [(1, 3, 1, True)] * 2 + [(2, 3, 1, False)] + [(3, 3, 1, False)] * 2 + [(6, 3, 1, False)] * 2
+    assert got == [(0, 0, None, False), *near[:5], *[(4, 1, 4, True)] * 2, *[(5, 1, 4, False)] * 2, *near[5:]]
+
+
 # Near-duplicate documents
 
 
