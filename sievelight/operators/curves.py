@@ -1,7 +1,7 @@
 """Detection metrics from one tied-score curve.
 
-Scores are counted per group and distinct value first, so windows run over
-distinct scores, not rows. ``by`` names the columns of a fold, replica or host;
+Scores are counted per group and distinct value first, and running counts go
+over slices of the scores, so a group of any size is never in one task. ``by`` names the columns of a fold, replica or host;
 a metric over everything passes a constant column.
 """
 
@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
+from .ranges import odds_slice, running
 
 
 def curve(scored: DataFrame, by: list[str], score: str = "score", label: str = "y") -> DataFrame:
     """Cumulative true and false positives at each distinct score, from the highest."""
     counts = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return counts.select(*by, score, "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("q").over(whole).alias("neg"))
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    upto = running(counts, by, [(score, False)], {"tp": F.col("p"), "fp": F.col("q")}, slice_of=odds_slice(score))
+    theirs = totals.select(*(F.col(c).alias(f"_of_{c}") for c in by), "pos", "neg")
+    return upto.join(F.broadcast(theirs), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]).select(*by, score, "p", "q", "tp", "fp", "pos", "neg")
 
 
 def average_precision(points: DataFrame, by: list[str]) -> DataFrame:
@@ -91,12 +93,13 @@ def histogram(scored: DataFrame, by: list[str], bins: int = 20, score: str = "sc
     return scored.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def risk_coverage(scored: DataFrame, by: list[str], order: list[Column], wrong: Column) -> DataFrame:
-    """Area under the risk-coverage curve and risk at full, half and a fifth of the coverage."""
-    line = Window.partitionBy(*by).orderBy(*order)
-    rows = scored.select(*by, F.row_number().over(line).alias("k"), F.sum(wrong.cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("err"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    risk = F.col("err") / F.col("k")
-    rows = rows.withColumns({"risk": risk, "before": F.lag(risk).over(Window.partitionBy(*by).orderBy("k"))})
+def risk_coverage(scored: DataFrame, by: list[str], confidence: Column, tie: str, wrong: Column) -> DataFrame:
+    """Area under the risk-coverage curve and risk at full, half and a fifth of the coverage; the most confident first, ties by ``tie``."""
+    rows = scored.select(*by, confidence.alias("_sure"), F.col(tie).alias("_tie"), wrong.cast("long").alias("_wrong"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*(F.col(c).alias(f"_of_{c}") for c in by), "n")
+    rows = running(rows, by, [("_sure", False), ("_tie", True)], {"k": F.lit(1), "err": F.col("_wrong")})
+    rows = rows.join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    rows = rows.withColumns({"risk": F.col("err") / F.col("k"), "before": F.try_divide(F.col("err") - F.col("_wrong"), F.col("k") - 1)})
     at = lambda k: F.max(F.when(F.col("k") == k, F.col("risk")))
     area = F.coalesce(F.sum((F.col("risk") + F.col("before")) / 2 / F.col("n")), F.lit(0.0))
     half, fifth = F.greatest(F.floor(F.col("n") / 2), F.lit(1)), F.greatest(F.floor(F.col("n") / 5), F.lit(1))

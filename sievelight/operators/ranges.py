@@ -22,17 +22,20 @@ def _slice_of(key: str, edges: list[float], heavy: list[float]) -> Column:
     return 2 * below + (F.when(v.isin(heavy), 1).otherwise(0) if heavy else F.lit(0))
 
 
-def running(rows: DataFrame, by: list[str], order: list[tuple[str, bool]], sums: dict[str, Column], slices: int = SLICES) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[tuple[str, bool]], sums: dict[str, Column], slices: int = SLICES, slice_of: Column | None = None) -> DataFrame:
     """Add for each name in ``sums`` its running sum within ``by``, the own row included.
 
     ``order`` names numeric columns and whether they ascend; together they must
     order the rows of a group. Rows are cut into slices at quantiles of the first
     column, and where one value fills slices at those of the second. Sums run
     within slices and are offset by the sums of the slices before. Nulls come
-    first in ascending and last in descending order.
+    first in ascending and last in descending order. ``slice_of``, a whole number
+    that never falls as the first column rises, spares the look at the quantiles.
     """
     cuts = []
-    for i, (key, up) in enumerate(order[:2]):
+    if slice_of is not None:
+        rows, cuts = rows.withColumn("_slice0", slice_of if order[0][1] else -slice_of), ["_slice0"]
+    for i, (key, up) in enumerate([] if cuts else order[:2]):
         edges, heavy = _slices(rows, key, slices)
         cut = _slice_of(key, edges, heavy)
         if i:
@@ -52,3 +55,10 @@ def running(rows: DataFrame, by: list[str], order: list[tuple[str, bool]], sums:
     inside = rows.select(*kept, *cuts, *(F.sum(f"_add_{n}").over(local).alias(f"_here_{n}") for n in sums))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, *cuts]]
     return inside.join(cells, same).select(*kept, *((F.col(f"_before_{n}") + F.col(f"_here_{n}")).alias(n) for n in sums))
+
+
+def odds_slice(share: str) -> Column:
+    """Slices of numbers between 0 and 1, finer towards both ends; one slice each for 0 and below and for 1 and above."""
+    p = F.col(share).cast("double")
+    odds = F.floor(16 * F.log2(p / (1 - p)))
+    return F.when(p <= 0, -2000).when(p >= 1, 2000).otherwise(F.coalesce(F.greatest(F.least(odds, F.lit(1999)), F.lit(-1999)), F.lit(-2001))).cast("int")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 class SplitError(ValueError):
     """A split left a part empty or without positives, or groups on both sides."""
@@ -44,14 +46,14 @@ def chronological(rows: DataFrame, at: str, gap: float, train: float = 0.6, val:
 
     ``by`` makes a timeline of each key. The gap after validation counts from the
     validation rows that were left. Time ties go by ``row_id``. Without ``by`` the
-    rows are counted by time first, so only rows at the two border times are ranked.
+    rows are counted by time first, and the counts are summed over slices of time.
     """
     keys = list(by)
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     counts = rows.groupBy(*keys, at).agg(F.count("*").alias("c"))
-    line = Window.partitionBy(*keys).orderBy(at)
-    counts = counts.select(*keys, at, (F.sum("c").over(line) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
+    counts = running(counts, keys, [(at, True)], {"upto": F.col("c")}).join(sizes, keys).select(*keys, at, (F.col("upto") - F.col("c")).alias("before"), "n")
     tied = Window.partitionBy(*keys, at).orderBy("row_id")
     ranked = rows.select("row_id", at, *keys).withColumn("place", F.row_number().over(tied)).join(counts, [*keys, at])
     k = F.col("before") + F.col("place")
@@ -74,14 +76,19 @@ def without_shared_groups(parts: DataFrame, rows: DataFrame, group: str) -> Data
 
 def by_groups(rows: DataFrame, group: str, seed: int, test: float = 0.2, val: float = 0.2) -> DataFrame:
     """Whole groups go to a part, in hash order of the groups."""
-    groups = rows.select(group).distinct()
-    line = Window.partitionBy(F.lit(0)).orderBy(chance(seed, F.col(group)), group)
-    ranked = groups.select(group, F.row_number().over(line).alias("k"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
+    groups = rows.select(F.col(group).alias("row_id")).distinct()
+    ranked = placed_by_chance(groups.withColumn("_all", F.lit(0)), ["_all"], seed).withColumnRenamed("row_id", group)
     n_test, n_val = F.ceil(F.col("n") * test), F.ceil(F.col("n") * val)
     part = F.when(F.col("k") <= n_test, "test").when(F.col("k") <= n_test + n_val, "val").otherwise("train")
     return rows.select("row_id", group).join(ranked.select(group, part.alias("part")), group).select("row_id", "part")
 
 
+def cross_corpus(rows: DataFrame, home: Column, seed: int, val: float = 0.2) -> DataFrame:
+    """The rows of one corpus train, its first share in hash order validates, and all other rows test."""
+    ranked = placed_by_chance(rows.select("row_id", F.coalesce(home, F.lit(False)).alias("_home")), ["_home"], seed)
+    return ranked.select("row_id", F.when(~F.col("_home"), "test").when(F.col("k") <= F.floor(F.col("n") * val), "val").otherwise("train").alias("part"))
+
+
 def leave_one_out(rows: DataFrame, replica: str, seed: int, val: float = 0.2) -> DataFrame:
     """A fold per replica: it tests, whole other replicas validate, the rest train.
 

@@ -70,13 +70,8 @@ def split_r3_leave_replica_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT row_id, lang, row_number() OVER (PARTITION BY lang='en' ORDER BY md5('{SEED}|' || row_id), row_id) AS k, count(*) OVER (PARTITION BY lang='en') AS n FROM o)""")
 def split_r4_cross_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on one corpus (English), test on the others; a fifth of the training corpus validates."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), (F.col("lang") == "en").alias("home"))
-    own = Window.partitionBy("home")
-    k = F.row_number().over(own.orderBy(splits.chance(SEED, F.col("row_id")), "row_id"))
-    ranked = rows.select("row_id", "home", k.alias("k"), F.count("*").over(own).alias("n"))
-    return ranked.select("row_id", F.when(~F.col("home"), "test").when(F.col("k") <= F.floor(F.col("n") * 0.2), "val").otherwise("train").alias("part"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang")
+    return splits.cross_corpus(rows, F.col("lang") == "en", SEED)
 
 
 TIMELINE = f"""t0 AS (SELECT host || '|' || window_start AS row_id, host, window_start, stretch, row_number() OVER (PARTITION BY host ORDER BY window_start) AS k, count(*) OVER (PARTITION BY host) AS n FROM z),
@@ -234,7 +229,7 @@ p AS (SELECT *, err/k AS risk, lag(err/k) OVER (PARTITION BY fold ORDER BY k) AS
 SELECT fold, {r('coalesce(sum((risk+before)/2/n),0)')} AS aurc, {r('max(risk) FILTER (k=n)')} AS risk_full, {r('max(risk) FILTER (k=greatest(n//2,1))')} AS risk_half, {r('max(risk) FILTER (k=greatest(n//5,1))')} AS risk_fifth FROM p GROUP BY fold""")
 def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = (F.col("score") >= 0.5).cast("int") != F.col("y")
-    return curves.risk_coverage(scored(spark, sf_dir), ["fold"], [F.desc(F.abs(F.col("score") - 0.5)), F.asc("event_id")], wrong)
+    return curves.risk_coverage(scored(spark, sf_dir), ["fold"], F.abs(F.col("score") - 0.5), "event_id", wrong)
 
 
 # Statistics over runs: average precision of methods by fold
