@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import certificate, generators, splits, templates
-from ..streaming import peers, windows
+from ..streaming import peers, state, windows
+from ..tables import new_folder
 from .base import EVENTS, WIDE, query, r, table
 from .evaluation import ORDERS, R0, SEED, orders
 
 LATE = 600
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder among those that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     # A pattern, so that the table may be one file or a folder of files.
@@ -30,9 +24,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finished(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    folder, schema = _folder(spark), stream.schema
-    running = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
-    running.awaitTermination()
+    folder, schema = new_folder(spark, "stream"), stream.schema
+    with state.rocksdb(spark):
+        running = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
+        running.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
@@ -63,11 +58,14 @@ def leakage_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of all lines of the documents, alike ones merged, and how many lines each has."""
+    found = templates.summary(_text_lines(spark, sf_dir), order=("doc", "at"))
+    return found.select("template_id", F.col("n").alias("n_messages"), F.length("template").alias("n_chars"))
+
+
+def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents in order of arrival: documents by number, those without one last; then lines."""
     lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "message"))
-    # The order of arrival: documents by number, those without one last; then lines.
-    doc = F.coalesce("doc_id", F.lit((1 << 38) - 1))
-    found = templates.mine(lines.select((F.shiftleft(doc, 24) + F.col("at")).alias("seq"), "message"))
-    return found.groupBy("template_id").agg(F.sum("n").alias("n_messages"), F.max(F.length("template")).alias("n_chars"))
+    return lines.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "at", "message")
 
 
 @query()
