@@ -98,14 +98,14 @@ def leaves(lines: DataFrame, by: list[str]) -> DataFrame:
 def _distinct(lines: DataFrame, by: list[str], order: Sequence[str]) -> DataFrame:
     counts = leaves(lines, by).groupBy(*by, "size", "head", "masked").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"))
     replica = F.to_json(F.struct(*by)) if by else F.lit("")
-    keyed = counts.select(replica.alias("replica"), "size", "head", "masked", "n", *(F.col(f"first.{c}").cast("long").alias(f"first{i}") for i, c in enumerate(order)), *by)
-    return keyed.withColumn("bucket", F.pmod(F.xxhash64("replica", "size", "head"), F.lit(BUCKETS)))
+    keyed = counts.select(replica.alias("_replica"), "size", "head", "masked", "n", *(F.col(f"first.{c}").cast("long").alias(f"first{i}") for i, c in enumerate(order)), *by)
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("_replica", "size", "head"), F.lit(BUCKETS)))
 
 
 def _mined(bucket: pa.Table, n_order: int, alike: float, most: int):
     """Leaf by leaf the rows in order of first sight, each with its template's number, and the templates' texts."""
     groups: dict[tuple, list[int]] = {}
-    replicas, sizes, heads, masked = (bucket.column(c).to_pylist() for c in ("replica", "size", "head", "masked"))
+    replicas, sizes, heads, masked = (bucket.column(c).to_pylist() for c in ("_replica", "size", "head", "masked"))
     firsts = list(zip(*(bucket.column(f"first{i}").to_pylist() for i in range(n_order)), strict=True))
     for i, key in enumerate(zip(replicas, sizes, heads, strict=True)):
         groups.setdefault(key, []).append(i)
@@ -152,12 +152,11 @@ def summary(lines: DataFrame, by: list[str] = (), order: Sequence[str] = ("seq",
                 own = found.setdefault((leaf, texts[k]), [0, firsts[i], i])
                 own[0] += counts[i]
         rows = list(found.values())
-        out = bucket.select(by).take(pa.array([r[2] for r in rows], pa.int64())) if by else pa.table({})
-        out = out.append_column("template", pa.array([t for _, t in found], pa.string())).append_column("n", pa.array([r[0] for r in rows], pa.int64()))
-        for i in range(n_order):
-            out = out.append_column(f"first{i}", pa.array([r[1][i] for r in rows], pa.int64()))
+        own = bucket.select(by).take(pa.array([r[2] for r in rows], pa.int64()))
+        out = {c: own.column(c) for c in by} | {"template": pa.array([t for _, t in found], pa.string()), "n": pa.array([r[0] for r in rows], pa.int64())}
+        out |= {f"first{i}": pa.array([r[1][i] for r in rows], pa.int64()) for i in range(n_order)}
         which = bucket.column("bucket")[0].as_py()
-        return out.append_column("place", pa.array([which * (1 << 40) + i for i in range(len(rows))], pa.int64()))
+        return pa.table(out | {"place": pa.array([which * (1 << 40) + i for i in range(len(rows))], pa.int64())})
 
     kinds = "".join(f"`{c}` {t}, " for c, t in lines.dtypes if c in by)
     numbers = [f"first{i}" for i in range(n_order)] + ["place"]
