@@ -63,6 +63,63 @@ def verify_consistency(old: int, new: int, old_root: str, new_root: str, proof:
         return False
 
 
+def path_ranges(first: int, size: int) -> list[tuple[int, int]]:
+    """Ranges of leaves whose subtree hashes show that the tree over ``first`` leaves begins the tree over ``size`` (RFC 6962), in the order of a proof."""
+    if not 0 < first < size:
+        return []
+    low, high, whole, out = 0, size, True, []
+    while first != high:
+        middle = low + (1 << (high - low - 1).bit_length() - 1)
+        if first <= middle:
+            out.append((middle, high))
+            high = middle
+        else:
+            out.append((low, middle))
+            low, whole = middle, False
+    return ([] if whole else [(low, high)]) + out[::-1]
+
+
+def consistency_path(nodes: DataFrame, first: int, size: int) -> list[str]:
+    """The proof of RFC 6962 that the tree over ``first`` leaves begins the one over ``size``.
+
+    ``nodes`` (``level, idx, hash``) are the complete nodes of the larger tree;
+    only the aligned blocks of the proof's ranges are read, a few for each level.
+    """
+    ranges = path_ranges(first, size)
+    blocks = {r: blocks_of(*r) for r in ranges}
+    wanted = {b for bs in blocks.values() for b in bs}
+    if not wanted:
+        return []
+    named = F.struct("level", "idx").isin(*[F.struct(F.lit(a).alias("level"), F.lit(b).cast("long").alias("idx")) for a, b in wanted])
+    known = {(r.level, r.idx): r.hash for r in nodes.where(F.col("level").isin(*{a for a, _ in wanted}) & named).collect()}
+    return [_folded([known[b] for b in blocks[r]]) for r in ranges]
+
+
+def verify_consistency_path(first: int, first_root: str, size: int, size_root: str, path: list[str]) -> bool:
+    """Whether a proof of RFC 6962 shows that the old tree begins the new one; malformed proofs are false."""
+    try:
+        if not 0 <= first <= size:
+            return False
+        if first == 0 or first == size:
+            return not path and (first == 0 or first_root == size_root)
+        ranges = path_ranges(first, size)
+        if len(ranges) != len(path) or any(len(bytes.fromhex(h)) != 32 for h in path):
+            return False
+        known = dict(zip(ranges, path, strict=True))
+        if all(low >= first for low, _ in ranges):
+            known[0, first] = first_root  # the old tree is a whole subtree of the new one
+
+        def root(low: int, high: int) -> str:
+            if (low, high) in known:
+                return known[low, high]
+            middle = low + (1 << (high - low - 1).bit_length() - 1)
+            return hashlib.sha256(b"\x01" + bytes.fromhex(root(low, middle)) + bytes.fromhex(root(middle, high))).hexdigest()
+
+        return root(0, first) == first_root and root(0, size) == size_root
+    except (ValueError, TypeError, IndexError, RecursionError, AttributeError):
+        return False
+
+
 class Signer:
     """Ed25519 keys and signatures of the JVM that runs the session."""
 

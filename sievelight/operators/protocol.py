@@ -192,6 +192,42 @@ def fold_metrics(scored: DataFrame, fold: str) -> DataFrame:
     return joined.select(fold, "n", "positives", "low", F.when(both, F.col("ap")).alias("ap"), F.when(both, F.col("auc")).alias("auc"))
 
 
+def metric_bundle(scored: DataFrame, by: list[str], row: str, threshold: float = 0.5, most_fpr: float = 0.01) -> DataFrame:
+    """Every metric of ``y, score`` by group: counts, average precision, area under ROC, rates at a threshold and at a false-positive rate, calibration error of each class, risk and coverage.
+
+    Metrics of ranking and rates are null where a group has one class only. The
+    points of the curve are made once for all that need them.
+    """
+    points = curves.curve(scored, by)
+    sizes = scored.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("positives"))
+    of_class = curves.calibration_error(scored, by).groupBy(*by).agg(F.max(F.when(F.col("y") == 1, F.col("ece"))).alias("ece_positive"), F.max(F.when(F.col("y") == 0, F.col("ece"))).alias("ece_negative"))
+    wrong = (F.col("score") >= threshold) != (F.col("y") == 1)
+    reach = curves.tpr_at_fpr(points, by, most_fpr).select(*by, F.col("tpr").alias("tpr_at_fpr"), F.col("threshold").alias("at_threshold"))
+    parts = [curves.average_precision(points, by), curves.roc_auc(points, by), reach, curves.confusion(scored, by, threshold), of_class, curves.risk_coverage(scored, by, F.abs(F.col("score") - 0.5), row, wrong)]
+    out = sizes
+    for part in parts:
+        out = out.join(part, by, "left")
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    ranked = ["ap", "auc", "tpr_at_fpr", "at_threshold", "mcc"]
+    rest = ["precision", "recall", "ece_positive", "ece_negative", "aurc", "risk_full", "risk_half", "risk_fifth"]
+    return out.select(*by, "n", "positives", "tp", "fp", "fn", "tn", *(F.when(both, F.col(c)).alias(c) for c in ranked), *rest)
+
+
+def input_errors(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Per group how many rows metrics must not be made of: scores that are null or not finite, labels that are neither 0 nor 1."""
+    score, y = F.col("score").cast("double"), F.col("y")
+    bad = F.coalesce(F.isnan(score) | (F.abs(score) == float("inf")), F.lit(True))
+    return scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad_scores"), F.count_if(F.coalesce(~y.isin(0, 1), F.lit(True))).alias("bad_labels"))
+
+
+def require_clean(scored: DataFrame, by: list[str]) -> DataFrame:
+    """The rows again, or ``ValueError`` naming a group with rows that metrics must not be made of."""
+    r = input_errors(scored, by).where("bad_scores + bad_labels > 0").first()
+    if r is not None:
+        raise ValueError(f"{ {c: r[c] for c in by} }: {r.bad_scores} scores and {r.bad_labels} labels of {r.n} rows are no such")
+    return scored
+
+
 def fold_spread(metrics: DataFrame, value: str) -> DataFrame:
     """Mean of a metric over all folds and over those with support, each with its number of folds."""
     fine = F.when(~F.col("low"), F.col(value))

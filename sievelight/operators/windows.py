@@ -18,6 +18,22 @@ def window_labels(events: DataFrame, seconds: int = 60) -> DataFrame:
     return tumbled(events, seconds).groupBy("host", "window_start").agg(F.max("is_attack").alias("is_attack"), F.array_sort(F.collect_set("label")).alias("labels"), F.count("*").alias("n_events"))
 
 
+def timed_and_untimed(events: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
+    """Per group how many rows have a time, how many are left out for want of one, and the windows of the others."""
+    start = F.when(F.col("ts").isNotNull(), F.floor(F.col("ts") / seconds))
+    return events.groupBy(*by).agg(F.count("ts").alias("n_timed"), F.count_if(F.col("ts").isNull()).alias("n_skipped"), F.count_distinct(start).alias("n_windows"))
+
+
+def peer_ports(meetings: DataFrame, host: str = "host") -> DataFrame:
+    """Per host and window of rows ``peer, port`` (a null port counts as 0): meetings, peers, pairs of peer and port, the largest peer's share, and the entropy of peers."""
+    pairs = meetings.groupBy(host, "window_start", "peer", F.coalesce("port", F.lit(0)).alias("port")).agg(F.count("*").alias("c"))
+    peers = pairs.groupBy(host, "window_start", "peer").agg(F.sum("c").alias("c"), F.count("*").alias("ports"))
+    n = F.sum("c")
+    return peers.groupBy(host, "window_start").agg(
+        n.alias("n_meetings"), F.count("*").alias("n_peers"), F.sum("ports").alias("n_pairs"), rounded(F.max("c") / n).alias("max_share"), rounded(F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy")
+    )
+
+
 def entropy(events: DataFrame, by: list[str], value: str, to: str = "entropy") -> DataFrame:
     """Shannon entropy in bits of a value's counts in each group."""
     counts = events.groupBy(*by, value).agg(F.count("*").alias("c"))

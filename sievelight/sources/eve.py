@@ -51,7 +51,7 @@ def flow_features(records: DataFrame, seconds: int = 60) -> DataFrame:
         p90("lasted").alias("p90_duration"),
         F.count_distinct("dest_port").alias("n_ports"),
         F.count_distinct(address).alias("n_addresses"),
-        rounded(F.count_if(is_ipv6(F.col("dest_ip"))) / F.greatest(F.count("*"), F.lit(1))).alias("frac_ipv6"),
+        rounded(F.count_if(is_ipv6(F.col("src_ip")) | is_ipv6(F.col("dest_ip"))) / F.greatest(F.count("*"), F.lit(1))).alias("frac_ipv6"),
         share(proto == "TCP").alias("frac_tcp"),
         share(proto == "UDP").alias("frac_udp"),
         share(F.contains(proto, F.lit("ICMP"))).alias("frac_icmp"),

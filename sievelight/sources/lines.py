@@ -14,29 +14,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, base, suffix, local_line, raw, text`` of all files; lines end at line feeds alone.
 
     One final line feed ends the last line and begins none. Bytes that are not
-    UTF-8 stay in ``raw`` and are replaced in ``text``. A file is read as a whole
-    by one task, so rotate large logs.
+    UTF-8 stay in ``raw`` and are replaced in ``text``; a byte-order mark at the
+    start of a file goes. Large files are read in byte ranges by many tasks: a
+    line belongs to the range it begins in, ranges count their lines, and a line's
+    number is its place in its range after the lines of the ranges before.
     """
-
-    def split(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                lines = data.removesuffix(b"\n").split(b"\n") if data else []
-                for at in range(0, len(lines), 10_000):
-                    part = lines[at : at + 10_000]
-                    yield pa.RecordBatch.from_pydict(
-                        {"path": [path] * len(part), "local_line": list(range(at + 1, at + 1 + len(part))), "raw": part, "text": [x.decode("utf-8", "replace") for x in part]},
-                        schema=pa.schema([("path", pa.string()), ("local_line", pa.int64()), ("raw", pa.binary()), ("text", pa.string())]),
-                    )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    lines = files.mapInArrow(split, "path string, local_line long, raw binary, text string")
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    place = F.monotonically_increasing_id()  # grows within a range
+    lines = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), place.alias("place"), "value")
+    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = lines.groupBy("path", "range").agg(F.count("*").alias("n"))
+    ranges = ranges.select("path", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("path", "range").orderBy("place"))
+    numbered = lines.withColumn("inside", inside).join(ranges, ["path", "range"])
     name = F.substring_index("path", "/", -1)
     suffix = F.regexp_extract(name, r"\.(\d+)$", 1).try_cast("int")
-    return lines.withColumns({"base": F.regexp_replace(name, r"\.\d+$", ""), "suffix": F.coalesce(suffix, F.lit(0))})
+    return numbered.select(
+        "path", (F.col("before") + F.col("inside")).cast("long").alias("local_line"), F.col("value").cast("binary").alias("raw"), F.make_valid_utf8("value").alias("text"),
+        F.regexp_replace(name, r"\.\d+$", "").alias("base"), F.coalesce(suffix, F.lit(0)).alias("suffix"),
+    )
 
 
 def line_offsets(files: DataFrame, key: list[str], order: Column) -> DataFrame:
@@ -45,9 +41,19 @@ def line_offsets(files: DataFrame, key: list[str], order: Column) -> DataFrame:
 
 
 def resolve(asked: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
-    """Global lines to the file that holds them and the line in it; a range join within the key."""
+    """Global lines to the file that holds them and the line in it.
+
+    Files and asked lines of a key are put in one order, so that each line finds
+    the last file that begins before it; lines are not multiplied by files.
+    """
+    mine, theirs = [c for c in asked.columns if c not in key], [c for c in files.columns if c not in key]
+    at = files.select(*key, F.col("line_offset").alias("_at"), F.lit(0).alias("_asked"), F.struct(*theirs).alias("_file"), F.lit(None).cast(asked.select(F.struct(*mine)).schema[0].dataType).alias("_row"))
+    of = asked.select(*key, F.col("global_line").alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast(at.schema["_file"].dataType).alias("_file"), F.struct(*mine).alias("_row"))
+    # A file of no lines begins where the next one does; the latter holds the line.
+    line = Window.partitionBy(*key).orderBy("_at", F.desc("_asked"), F.col("_file.n_lines"))
+    found = at.unionByName(of).withColumn("_file", F.last("_file", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).where("_asked = 1")
     inside = (F.col("line_offset") < F.col("global_line")) & (F.col("global_line") <= F.col("line_offset") + F.col("n_lines"))
-    return asked.join(files, key).where(inside).withColumn("local_line", F.col("global_line") - F.col("line_offset"))
+    return found.select(*key, "_row.*", "_file.*").where(inside).withColumn("local_line", F.col("global_line") - F.col("line_offset"))
 
 
 def numbered(lines: DataFrame, key: list[str]) -> DataFrame:
