@@ -2,7 +2,7 @@
 
 A piece of text is encoded without simulating merges. An Aho-Corasick automaton
 over the vocabulary (bytes mapped to Latin-1 characters) gives the longest token
-at each place. The encoder appends the longest token that may follow the one
+at a place. The encoder appends the longest token that may follow the one
 before it, and steps back when none may. Two neighbouring tokens are compatible
 if undoing the merges from both sides of their border never meets a merge across
 it that would have come earlier; the verdicts are memoised. A position at which
@@ -25,10 +25,10 @@ from .common import without
 from .encoding import Memo, WordMemo, texts_of
 
 #: Remembered verdicts on pairs of neighbouring tokens (under 100 bytes each) before all are forgotten.
-VERDICTS = 200_000
+VERDICTS = 400_000
 
 #: White space as Unicode defines it, which the patterns of vocabularies mean by \s.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(path: str) -> bytes:
@@ -84,11 +84,15 @@ class BacktrackEncoder:
     def _automaton(self, tokens: list[bytes]) -> None:
         import ahocorasick
 
+        # Every beginning of a token leads to the longest token that it begins with.
+        known = {t: self.rank[t] for t in tokens}
         self._ac = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token in tokens:
-            self._ac.add_word(token.decode("latin-1"), self.rank[token])
-        self._ac.make_automaton()
-        known = {t: self.rank[t] for t in tokens}
+            best = -1
+            for n in range(1, len(token) + 1):
+                best = known.get(token[:n], best)
+                self._ac.add_word(token[:n].decode("latin-1"), best)
+        self._reach = max(map(len, tokens))
         top = max(self.bytes_of) + 1
         self._size = [len(self.bytes_of.get(r, b"")) for r in range(top)]
         self._shorter = [-1] * top  # the longest token that is a proper prefix, or -1
@@ -118,12 +122,10 @@ class BacktrackEncoder:
         if whole is not None:
             return [whole]
         n, size, fits, shorter = len(piece), self._size, self._fits, self._shorter
-        longest = [-1] * n
-        for end, token in self._ac.iter(piece.decode("latin-1")):
-            longest[end + 1 - size[token]] = token
+        text, reach, prefix, longest = piece.decode("latin-1"), self._reach, self._ac.longest_prefix, self._ac.get
         out: list[int] = []
         dead: set[int] = set()
-        at, token = 0, longest[0]
+        at, token = 0, longest(text[: prefix(text[:reach])])
         while at < n:
             last = out[-1] if out else -1
             while True:
@@ -137,7 +139,8 @@ class BacktrackEncoder:
                         out.append(token)
                         at = end
                         if at < n:
-                            token = longest[at]
+                            ahead = text[at : at + reach]
+                            token = longest(ahead[: prefix(ahead)])
                         break
                 token = shorter[token]
                 if token < 0:

@@ -21,7 +21,7 @@ _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 _WORD_SPACE = re.compile(r" (?=\S)")
 
 #: Bytes, entries' own cost included, that a memo of words may hold before it forgets them all and begins anew.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 48 << 20
 #: The same for the words, and for other parts of words, of a vocabulary of the library.
 WORD_BYTES, PART_BYTES = 56 << 20, 8 << 20
 #: What a dictionary and two objects cost for an entry, beside their contents.
