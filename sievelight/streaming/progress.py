@@ -48,7 +48,7 @@ class Run:
         """The jobs begun within belong to the run; nothing begins once it is cancelled."""
         if self._cancelled.is_set():
             raise Cancelled(self.tag)
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         self.progress.report(name, 0.0)
         try:
             yield
@@ -57,14 +57,14 @@ class Run:
                 raise Cancelled(self.tag) from e
             raise
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
         if self._cancelled.is_set():
             raise Cancelled(self.tag)
         self.progress.report(name, 1.0)
 
     def cancel(self) -> None:
         self._cancelled.set()
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 class StreamProgress(StreamingQueryListener):
