@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
+from .ranges import odds_slice, running
 from .splits import chance, placed_by_chance
 
 
@@ -87,3 +88,40 @@ def identical_columns(rows: DataFrame, columns: list[str]) -> list[tuple[str, st
 
 def severity(value: Column, warn: float, fail: float) -> Column:
     return F.when(value > fail, "fail").when(value > warn, "warn").otherwise("pass")
+
+
+def leave_one_out_floors(rows: DataFrame, replica: str, label: str, patterns: dict[str, list[str]]) -> DataFrame:
+    """``replica, seen, n, positives, ap``: what the given columns alone are worth when a replica is held out.
+
+    A row's score is the share of positives among the other replicas' rows with
+    its pattern of values, or among all of theirs if they have none. The others'
+    counts are all counts less the replica's own, so rows are read once for each
+    set of columns and no fold is ever built. Folds of one class have no score.
+    """
+    out = None
+    y = F.col(label).cast("long")
+    for name, columns in patterns.items():
+        pattern = F.to_json(F.struct(*columns))
+        cells = rows.groupBy(F.col(replica).alias("replica"), pattern.alias("pattern")).agg(F.count("*").alias("n"), F.sum(y).alias("p"))
+        all_of = cells.groupBy("pattern").agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
+        own = cells.groupBy("replica").agg(F.sum("n").alias("own_n"), F.sum("p").alias("own_p"))
+        whole = own.agg(F.sum("own_n").alias("whole_n"), F.sum("own_p").alias("whole_p"))
+        held = cells.join(all_of, "pattern").join(F.broadcast(own), "replica").join(F.broadcast(whole))  # one row
+        rate = F.coalesce(F.try_divide(F.col("all_p") - F.col("p"), F.col("all_n") - F.col("n")), F.try_divide(F.col("whole_p") - F.col("own_p"), F.col("whole_n") - F.col("own_n")))
+        points = held.withColumn("score", rounded(rate, 9)).groupBy("replica", "score").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), F.max("own_n").alias("n"), F.max("own_p").alias("positives"))
+        upto = running(points, ["replica"], [("score", False)], {"tp": F.col("p"), "fp": F.col("q")}, slice_of=odds_slice("score"))
+        step = F.col("p") / F.col("positives") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+        both = (F.max("positives") > 0) & (F.max("positives") < F.max("n"))
+        found = upto.groupBy("replica").agg(F.max("n").alias("n"), F.max("positives").alias("positives"), F.when(both, rounded(F.sum(F.when(F.col("positives") > 0, step)))).alias("ap"))
+        found = found.select("replica", F.lit(name).alias("seen"), "n", "positives", "ap")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def positives_by_pattern(rows: DataFrame, label: str, flags: list[str], host: str) -> DataFrame:
+    """``code, n, share, n_hosts, most_on_one_host`` of the positive rows by pattern of available inputs (a bit for each flag)."""
+    code = sum((F.col(f).cast("int") * (1 << i) for i, f in enumerate(flags)), F.lit(0))
+    hosts = rows.where(F.col(label) == 1).groupBy(code.alias("code"), F.col(host).alias("host")).agg(F.count("*").alias("c"))
+    by_code = hosts.groupBy("code").agg(F.sum("c").alias("n"), F.count("*").alias("n_hosts"), F.max("c").alias("top"))
+    whole = hosts.agg(F.sum("c").alias("whole"))
+    return by_code.join(F.broadcast(whole)).select("code", "n", rounded(F.col("n") / F.col("whole")).alias("share"), "n_hosts", rounded(F.col("top") / F.col("n")).alias("most_on_one_host"))  # one row

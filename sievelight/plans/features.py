@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
-from ..operators import feature_sets, forward, protocol, signatures, splits, windows
+from ..operators import feature_sets, forward, leakage, protocol, signatures, splits, windows
 from ..sources import eve
 from .base import WIDE, events, query, r, table
 from .evaluation import BEST, CORNERS, CURVE, ORDERS, R0, SCORED, SEED, orders, scored
@@ -161,3 +161,34 @@ SELECT fold, n, positives, tp, fp, fn, tn, ap, auc, {r('tpr')} AS tpr_at_fpr, {r
 def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detection metrics of each fold in one row."""
     return protocol.metric_bundle(protocol.require_clean(scored(spark, sf_dir), ["fold"]), ["fold"], "event_id")
+
+
+HELD = """h AS (SELECT l_suppkey % 4 AS replica, l_suppkey % 10 AS host, (l_discount > 0.08)::INT AS y, l_quantity > 25 AS has_m1, l_linenumber % 2 = 1 AS has_m2, l_tax > 0.04 AS has_m4 FROM lineitem)"""
+FLOORS = {"mask": ["has_m1", "has_m2", "has_m4"], "host": ["host"], "both": ["has_m1", "has_m2", "has_m4", "host"]}
+
+
+def held_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_suppkey") % 4).alias("replica"), (F.col("l_suppkey") % 10).alias("host"), (F.col("l_discount") > 0.08).cast("int").alias("y"), (F.col("l_quantity") > 25).alias("has_m1"), (F.col("l_linenumber") % 2 == 1).alias("has_m2"), (F.col("l_tax") > 0.04).alias("has_m4"))
+
+
+def _floor_sql(name: str) -> str:
+    rate = "coalesce((a.p - c.p) / nullif(a.n - c.n, 0), (w.p - o.p) / nullif(w.n - o.n, 0))"
+    return f"""SELECT replica, '{name}' AS seen, max(n)::BIGINT AS n, max(positives)::BIGINT AS positives, CASE WHEN max(positives) > 0 AND max(positives) < max(n) THEN {r("sum(p / nullif(positives, 0) * (tp / (tp + fp)))")} END AS ap FROM (
+  SELECT *, sum(p) OVER w2 AS tp, sum(q) OVER w2 AS fp FROM (SELECT c.replica, {r(rate, 9)} AS score, sum(c.p) AS p, sum(c.n - c.p) AS q, max(o.n) AS n, max(o.p) AS positives FROM c_{name} c JOIN a_{name} a USING (k) JOIN o USING (replica) CROSS JOIN w GROUP BY ALL) WINDOW w2 AS (PARTITION BY replica ORDER BY score DESC)) GROUP BY replica"""
+
+
+_CELLS = ", ".join(f"c_{n} AS (SELECT replica, ({', '.join(c)},) AS k, count(*) AS n, sum(y) AS p FROM h GROUP BY ALL), a_{n} AS (SELECT k, sum(n) AS n, sum(p) AS p FROM c_{n} GROUP BY k)".replace(f"({c[0]},)", f"{c[0]}").replace(",) AS k", ") AS k") for n, c in FLOORS.items())
+
+
+@query(f"WITH {HELD}, o AS (SELECT replica, count(*) AS n, sum(y) AS p FROM h GROUP BY replica), w AS (SELECT sum(n) AS n, sum(p) AS p FROM o), {_CELLS} " + " UNION ALL ".join(map(_floor_sql, FLOORS)))
+def leave_one_out_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of the mask, the host and both, without any feature, on each held-out replica."""
+    return leakage.leave_one_out_floors(held_rows(spark, sf_dir), "replica", "y", FLOORS)
+
+
+@query(f"""WITH {HELD}, c AS (SELECT has_m1::INT + 2 * has_m2::INT + 4 * has_m4::INT AS code, host, count(*) AS c FROM h WHERE y = 1 GROUP BY ALL)
+SELECT code, sum(c)::BIGINT AS n, {r('sum(c) / (SELECT sum(c) FROM c)')} AS share, count(*) AS n_hosts, {r('max(c) / sum(c)')} AS most_on_one_host FROM c GROUP BY code""")
+def positives_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive rows by pattern of available inputs, and how many of each are on one host."""
+    return leakage.positives_by_pattern(held_rows(spark, sf_dir), "y", ["has_m1", "has_m2", "has_m4"], "host")
