@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
-from ..operators import feature_sets, forward, leakage, protocol, signatures, splits, windows
+from ..operators import coverage, feature_sets, forward, leakage, protocol, signatures, splits, windows
 from ..sources import eve
 from .base import WIDE, events, query, r, table
 from .evaluation import BEST, CORNERS, CURVE, ORDERS, R0, SCORED, SEED, orders, scored
@@ -192,3 +192,23 @@ SELECT code, sum(c)::BIGINT AS n, {r('sum(c) / (SELECT sum(c) FROM c)')} AS shar
 def positives_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive rows by pattern of available inputs, and how many of each are on one host."""
     return leakage.positives_by_pattern(held_rows(spark, sf_dir), "y", ["has_m1", "has_m2", "has_m4"], "host")
+
+
+@query("""WITH d AS (SELECT source AS bundle, lang AS part, quality IS NOT NULL AS labelled FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+p AS (SELECT bundle, part, count(*) AS n, count(*) FILTER (labelled) AS k FROM d GROUP BY ALL)
+SELECT CASE grouping(bundle) + grouping(part) WHEN 0 THEN 'part' WHEN 1 THEN 'bundle' ELSE 'all' END AS level, bundle, part, sum(n)::BIGINT AS n, sum(k)::BIGINT AS n_labelled, """ + r("sum(k) / sum(n)") + """ AS share, count(*) AS n_parts, count(*) FILTER (k > 0) AS n_parts_labelled FROM p GROUP BY ROLLUP (bundle, part)""")
+def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recorded lines, their source as the bundle and their language as the file: how far labels cover them."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left")
+    return coverage.coverage(rows, "source", "lang", F.col("quality").isNotNull())
+
+
+@query("""WITH s AS (SELECT user_id % 4 AS fold, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 'NaN'::DOUBLE ELSE value END AS score, CASE WHEN event_id % 101 = 0 THEN 2 ELSE (event_type = 'error')::INT END AS y FROM events)
+SELECT fold, count(*) AS n, count(*) FILTER (score IS NULL OR isnan(score)) AS bad_scores, count(*) FILTER (y NOT IN (0, 1)) AS bad_labels FROM s GROUP BY fold""")
+def metric_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by fold that metrics must not be made of; some scores and labels are spoilt for it."""
+    e = events(spark, sf_dir)
+    score = F.when(F.col("event_id") % 97 == 0, None).when(F.col("event_id") % 89 == 0, float("nan")).otherwise(F.col("value"))
+    rows = e.select((F.col("host") % 4).alias("fold"), score.alias("score"), F.when(F.col("event_id") % 101 == 0, 2).otherwise((F.col("event_type") == "error").cast("int")).alias("y"))
+    return protocol.input_errors(rows, ["fold"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
 from ..operators import curves, detectors, ledger, neighbours, profiles, splits
+from ..tables import staged
 from .base import EVENTS, events, query, r, table
 from .evaluation import ORDERS, R0, SEED, orders
 from .telemetry import STRETCH, labelled_windows, stretched
@@ -59,14 +59,21 @@ PATHS = f"WITH {LEAVES}" + "".join(f", l{i} AS MATERIALIZED ({LEVEL.format(f'l{i
 @query(PATHS)
 def ledger_inclusion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path of every entry, from its sibling up to the root."""
-    rows = leaves(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    rows = staged(leaves(spark, sf_dir), "ledger-leaves")
     size = rows.count()
-    nodes = ledger.levels(rows, size, lambda level: level.persist(StorageLevel.DISK_ONLY))
+    nodes = ledger.levels(rows, size, lambda level: staged(level, "ledger-level"))
     low = max(0, (size - 1).bit_length() - TOP_LEVELS)
     below, above = nodes.where(F.col("level") < low), nodes.where(F.col("level") >= low)
     return ledger.inclusion_paths(below, rows).unionByName(ledger.inclusion_paths(F.broadcast(above), rows))
 
 
+@query(PATHS.replace("SELECT l0.idx, n.level, n.idx AS sibling, n.hash FROM", "SELECT l0.idx, count(*) AS n_hashes, 32 * count(*) AS n_bytes FROM") + " GROUP BY l0.idx")
+def ledger_proof_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes and bytes of the inclusion proof of every entry."""
+    sizes = ledger_inclusion_paths(spark, sf_dir).groupBy("idx").agg(F.count("*").alias("n_hashes"))
+    return sizes.withColumn("n_bytes", 32 * F.col("n_hashes"))
+
+
 @query(PATHS)
 def ledger_whole_inclusion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The former name of ledger_inclusion_paths over all levels; both are one."""

@@ -14,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.operators import forward, ledger, proofs, protocol, signatures
+from sievelight.functions import texts
+from sievelight.operators import coverage, detectors, forward, ledger, proofs, protocol, signatures
 from sievelight.plans import features
 from sievelight.sources import cache, lines, sinks
 from sievelight.streaming import progress
@@ -262,3 +263,38 @@ def test_metric_bundle_of_one_class_and_bad_input(spark):
     assert {(r.fold, r.n, r.bad_scores, r.bad_labels) for r in protocol.input_errors(bad, ["fold"]).collect()} == {("one", 31, 1, 1), ("two", 31, 1, 1)}
     with pytest.raises(ValueError, match="of 31 rows"):
         protocol.require_clean(bad, ["fold"])
+
+
+def test_coverage_text_stacking_and_unrecorded_numerals(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("a", "y", None), (None, "z", 1)], "b string, p string, l int")
+    found = coverage.coverage(rows, "b", "p", F.col("l").isNotNull())
+    assert {(r.level, r.bundle, r.part): (r.n, r.n_labelled, r.share, r.n_parts, r.n_parts_labelled) for r in found.collect()} == {
+        ("part", "a", "x"): (2, 1, 0.5, 1, 1), ("part", "a", "y"): (1, 0, 0.0, 1, 0), ("part", None, "z"): (1, 1, 1.0, 1, 1), ("bundle", "a", None): (3, 1, 0.333333, 2, 1), ("bundle", None, None): (1, 1, 1.0, 1, 1), ("all", None, None): (4, 2, 0.5, 3, 2),
+    }
+    assert coverage.coverage_markdown(found).splitlines()[2:] == ["| - | 1 | 1 | 1.0000 | 1 | 1 |", "| a | 3 | 1 | 0.3333 | 2 | 1 |", "| all | 4 | 2 | 0.5000 | 3 | 2 |"]
+    both = coverage.stacked({"r1": rows, "r2": rows.select("l", "p", "b").limit(1)})
+    assert {r.replica: r.n for r in both.groupBy("replica").agg(F.count("*").alias("n")).collect()} == {"r1": 4, "r2": 1}
+    with pytest.raises(ValueError, match="'l'"):
+        coverage.stacked({"r1": rows, "r2": rows.drop("l")})
+    said = spark.createDataFrame([(1, "0.93 of 12 and 12"), (2, "7.5 x9 3.")], "id int, t string")
+    known = spark.createDataFrame([("12",), ("7.5",), ("12",)], "text string")
+    got = sorted((r.id, r.numeral) for r in coverage.unrecorded(said, texts.numerals(F.col("t")), known, "text").collect())
+    assert got == [(1, "0.93"), (2, "3")]
+
+
+def test_detectors_by_name(spark):
+    train = spark.createDataFrame([(i, float(i), i % 2) for i in range(10)], "row_id long, x double, y int")
+    assert {r.score for r in detectors.detector("majority")(train, train, ["x"], "y").collect()} == {0.5}
+    assert len({r.score for r in detectors.detector("random")(train, train, ["x"], "y", seed=3).collect()}) == 10
+    with pytest.raises(KeyError, match="boosted_trees, logistic, majority, random"):
+        detectors.detector("forest")
+
+
+def test_floors_of_one_class_folds_and_new_patterns(spark):
+    from sievelight.operators import leakage
+
+    rows = [("a", 1, 1), ("a", 1, 1), ("b", 1, 0), ("b", 2, 1), ("b", 3, 0), ("c", 1, 0), ("c", 3, 1)]
+    df = spark.createDataFrame(rows, "replica string, m int, y int")
+    got = {r.replica: (r.n, r.positives, r.ap) for r in leakage.leave_one_out_floors(df, "replica", "y", {"m": ["m"]}).collect()}
+    # b: pattern 1 scores 2/3, 3 scores 1, and 2, new to it, all of theirs 3/4.
+    assert got == {"a": (2, 2, None), "b": (3, 1, 0.5), "c": (2, 1, 0.5)}
