@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,29 +28,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+_SCRATCH: list[str] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    return "/".join([shared_dir(spark), *([] if lasting else _SCRATCH), f"{name}-{uuid.uuid4().hex[:12]}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted at the end, but for lasting ones."""
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex[:12]}")
+    try:
+        yield
+    finally:
+        _delete(spark, "/".join([shared_dir(spark), *_SCRATCH]))
+        _SCRATCH.pop()
+
+
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, fixes values that depend on task order, and survives
     the loss of executors. Who stages a table deletes it with ``discard`` once
     nothing later reads it; a table that a result still reads stays.
     """
-    path = new_folder(df.sparkSession, name)
+    path = new_folder(df.sparkSession, name, lasting)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the folders of staged tables that no later step reads."""
     for frame in frames:
         path = frame.__dict__.pop("_staged_at", None) if frame is not None else None
         if path:
-            spark = frame.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(frame.sparkSession, path)
