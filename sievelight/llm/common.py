@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -13,55 +11,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, new_folder, scratch, shared_dir, staged  # noqa: F401
+
 #: Places of the bitmap that spares rows without a partner a shuffle: 8 MB, whatever the input.
 SIEVE_BITS = 1 << 26
 
-SHARED = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    A session without the setting (a test on one machine) gets a folder of its
-    own; on a cluster the setting must be there.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get(SHARED, None) or getattr(sc, "_sievelight_shared", None)
-    if not found:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError(f"{SHARED} must name a folder that all executors share")
-        found = sc._sievelight_shared = "file://" + tempfile.mkdtemp(prefix="sievelight-")
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage, fixes values that depend on task order, and survives
-    the loss of executors. Who stages a table deletes it with ``discard`` once
-    nothing later reads it.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def discard(*frames: DataFrame | None) -> None:
-    """Delete the folders of staged tables that no later step reads."""
-    for frame in frames:
-        path = frame.__dict__.pop("_staged_at", None) if frame is not None else None
-        if path:
-            spark = frame.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def without(columns: list[str], taken: Iterable[str]) -> list[str]:
     """The columns whose names do not clash with the taken ones; Spark's names do not tell cases apart."""
     names = {t.lower() for t in taken}
