@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import struct
 import zlib
 
@@ -14,6 +15,7 @@ import corpus_pipeline  # noqa: E402
 import public_tokenizers as P  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from sievelight.llm.common import shared_dir  # noqa: E402
 from sievelight.llm import order_minhash, ppm_language, quality  # noqa: E402
 from tests.llm.test_small import DOCS, brute_lines, prose  # noqa: E402
 
@@ -93,7 +95,10 @@ def test_run(spark, folder):
         for k, at in enumerate([0, *range(first, len(ids), 1024)]):
             part = ids[at : at + (1024 if k else first)]
             want[d, k] = (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
     got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(n.rpartition("-")[0] for n in set(os.listdir(shared)) - before) == ["MinHash-near-dedup", "packed"]  # what the result reads, and the last stage's input
     assert 20 < len(want) == len(got) and {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
     used = collections.Counter()
     for r in got:
