@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import line_dedup, order_minhash, ppm_language, quality
-from sievelight.llm.common import discard, ship_package, staged, with_partner, without_partner
+from sievelight.llm.common import discard, scratch, ship_package, staged, with_partner, without_partner
 from sievelight.llm.queries import packed_pieces
 
 #: Documents whose language is less certain than this go.
@@ -79,7 +79,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        kept = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # what a stage stages for itself goes once its result is written
+            kept = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"), lasting=True)
         discard(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
