@@ -40,7 +40,7 @@ def is_telemetry(path: Column) -> Column:
 
 
 def percent_text(k: Column, n: Column) -> Column:
-    """k of n with one decimal, never 0.0 % for some nor 100.0 % for not all."""
+    """A share as a text in tenths of a percent, rounded half up; shares that are not whole are shown as such however small the rest."""
     p = 100 * k / n
     tenths = F.floor(p * 10 + 0.5).cast("long")
     plain = F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))

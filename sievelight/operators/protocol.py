@@ -25,46 +25,47 @@ WINDOWS_PER_DAY = 1440
 # Settings
 
 
-def _list_errors(names, known: list[str], what: str) -> list[str]:
-    if not isinstance(names, (list, tuple)) or not names:
-        return [f"choose at least one replica for {what}"]
-    unknown = [f"{n!r} in {what} is no replica" for n in names if n not in known]
-    return unknown + [f"{n!r} is listed twice in {what}" for n in sorted({n for n in names if list(names).count(n) > 1}, key=str)]
+#: Which settings name replicas, how many at least, and the bounds of numbers, by kind of split.
+NAMING = {"replica": {"train": 1, "test": 1}, "random": {"replicas": 1}, "chronological": {"replicas": 1}, "loro": {"replicas": 2}}
+SHARES = {"train_pct": (20, 100), "val_pct": (0, 100), "test_pct": (5, 100)}
+BOUNDS = {"replica": {"val_fraction": (0.05, 0.4)}, "loro": {"val_fraction": (0.05, 0.4)}, "random": SHARES, "chronological": SHARES}
+DEFAULTS = {"val_fraction": 0.15, "seed": 0}
+SEEDED = ("replica", "random", "loro")
 
 
-def _number(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x and abs(x) != float("inf")
+def _finite(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and -float("inf") < x < float("inf")
 
 
 def config_errors(config: dict, replicas: list[str]) -> list[str]:
-    """What is wrong with a split's settings, in plain sentences; an empty list if nothing is."""
-    mode = config.get("mode") if isinstance(config, dict) else None
-    if mode not in MODES:
-        return [f"unknown split {mode!r}: one of {', '.join(MODES)}"]
-    found: list[str] = []
-    if mode == "replica":
-        found += _list_errors(config.get("train"), replicas, "training") + _list_errors(config.get("test"), replicas, "testing")
-        both = sorted(set(config.get("train") or ()) & set(config.get("test") or ()))
-        found += [f"{', '.join(both)} in both training and testing"] if both else []
-    else:
-        found += _list_errors(config.get("replicas"), replicas, mode)
-    if mode == "loro" and len(config.get("replicas") or ()) == 1:
-        found.append("leaving a replica out needs two of them")
-    if mode in ("replica", "loro"):
-        share = config.get("val_fraction", 0.15)
-        if not _number(share) or not 0.05 <= share <= 0.4:
-            found.append(f"the validation share must be from 0.05 to 0.4, not {share!r}")
-    else:
-        shares = [config.get(k) for k in ("train_pct", "val_pct", "test_pct")]
-        found += [f"{k} is missing or no number" for k, v in zip(("train_pct", "val_pct", "test_pct"), shares, strict=True) if not _number(v)]
-        if all(map(_number, shares)):
-            found += ["a percentage is negative"] if min(shares) < 0 else []
-            found += [f"the percentages add up to {sum(shares):g}"] if abs(sum(shares) - 100) > 1e-9 else []
-            found += ["keep at least 5 % for testing"] if shares[2] < 5 else []
-            found += ["keep at least 20 % for training"] if shares[0] < 20 else []
-    if mode != "chronological" and not isinstance(config.get("seed", 0), int):
-        found.append(f"the seed must be a whole number, not {config['seed']!r}")
-    return found
+    """The settings that a split cannot be made with, each as ``setting: reason``; none if all are right."""
+    kind = config.get("mode") if isinstance(config, dict) else None
+    if kind not in MODES:
+        return [f"mode: {kind!r}, not {'/'.join(MODES)}"]
+    held = DEFAULTS | config
+    wrong: list[tuple[str, str]] = []
+    named: dict[str, set] = {}
+    for setting, least in NAMING[kind].items():
+        names = list(held[setting]) if isinstance(held.get(setting), (list, tuple)) else []
+        named[setting] = set(names)
+        if len(names) < least:
+            wrong.append((setting, f"{len(names)} of {least} or more replicas"))
+        counts = {n: names.count(n) for n in names}
+        wrong += [(setting, f"{n!r} unknown") for n in counts if n not in replicas]
+        wrong += [(setting, f"{n!r} {k} times") for n, k in counts.items() if k > 1]
+    wrong += [("train/test", f"{n!r} shared") for n in sorted(named.get("train", set()) & named.get("test", set()))]
+    numbers = {setting: held.get(setting) for setting in BOUNDS[kind]}
+    for setting, x in numbers.items():
+        low, high = BOUNDS[kind][setting]
+        if not _finite(x):
+            wrong.append((setting, f"{x!r} is not a number"))
+        elif not low <= x <= high:
+            wrong.append((setting, f"{x:g}, not {low:g} to {high:g}"))
+    if BOUNDS[kind] is SHARES and all(map(_finite, numbers.values())) and abs(sum(numbers.values()) - 100) > 1e-9:
+        wrong.append(("/".join(numbers), f"sum {sum(numbers.values()):g}, not 100"))
+    if kind in SEEDED and not isinstance(held["seed"], int):
+        wrong.append(("seed", f"{held['seed']!r} is not whole"))
+    return [f"{setting}: {reason}" for setting, reason in wrong]
 
 
 def loro_folds(config: dict, replicas: list[str]) -> list[dict]:

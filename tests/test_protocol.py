@@ -23,7 +23,7 @@ REPLICAS = ["a", "b", "c"]
         ({"mode": "replica", "train": ["a", "a", "x"], "test": ["a"], "val_fraction": 0.5, "seed": 0.5}, 5),
         ({"mode": "replica", "train": [], "test": None}, 2),
         ({"mode": "random", "replicas": ["a"], "train_pct": 60, "val_pct": 20, "test_pct": 20}, 0),
-        ({"mode": "random", "replicas": ["a"], "train_pct": 10, "val_pct": 90, "test_pct": -1}, 4),
+        ({"mode": "random", "replicas": ["a"], "train_pct": 10, "val_pct": 90, "test_pct": -1}, 3),
         ({"mode": "chronological", "replicas": ["a"], "train_pct": float("nan"), "val_pct": 20, "test_pct": "20"}, 2),
         ({"mode": "loro", "replicas": ["a"]}, 1),
         ({"mode": "other"}, 1),
