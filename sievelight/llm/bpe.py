@@ -220,7 +220,9 @@ def encode(df: DataFrame, ranks_path: str, pat: str, text: str = "text") -> Data
 
     Every whole text is encoded, without special tokens, each match of ``pat``
     separately. Null and empty texts have no ids. The ids are those of the plain
-    merge procedure, also for very long pre-tokens.
+    merge procedure, also for very long pre-tokens. Rows that repeat are encoded
+    each; an empty table gives an empty one; columns named like an added one are
+    replaced.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 

@@ -108,7 +108,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], b
     ``outcomes`` has ``page_id`` and ``bad`` (0, 1 or null). Counts are gathered
     map-side, so a host with a third of all pages is no burden; the table of
     hosts is then joined back, by broadcast if Spark finds it small and by a
-    join that Spark may split otherwise.
+    join that Spark may split otherwise. Defined results: a null url, or one
+    without ``://``, has an empty host and path; urls of any length are cut by
+    expressions; pages that repeat are judged each, and of outcomes that repeat
+    the worse counts; no pages give no rows; columns named like an added one are
+    replaced.
     """
     host, path = host_and_path(F.col("url"))
     pages = pages.select(*(F.col(f"`{c}`") for c in without(pages.columns, ("host", "path", "rule", "verdict", "bound"))))

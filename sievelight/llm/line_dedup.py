@@ -73,7 +73,9 @@ def duplicate_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     ones; lines without a word are never duplicates; lines that differ only in
     white space are equal; rows that
     repeat a ``doc_id`` are one document whose lines have equal places, and
-    lines at equal places are not each other's duplicates.
+    lines at equal places are not each other's duplicates. An empty table has no
+    lines. A text of any length is split where it is read, and its lines are rows
+    of their own from then on.
     """
     lines = _lines(documents, text)
     occurrences = staged(lines.select("doc_id", "line_no", *_identity(), F.when(F.col("n") >= MIN_WORDS, _half_keys()).alias("halves")), "line-occurrences")

@@ -274,7 +274,9 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, text: str =
     equal; every row is judged by its own text and returned, so rows that repeat
     a ``doc_id`` are in one class only if their texts are equal or alike, and of
     alike ones under the class's smallest number those with one text are kept;
-    a row with a null ``doc_id`` is kept, alone, with a null class.
+    a row with a null ``doc_id`` is kept, alone, with a null class. An empty table
+    gives an empty one. A text of any length is one row of hashes, eight bytes a
+    word; texts themselves are not joined.
     """
     signed = staged(signatures(documents, text), "omh-signed")
     firsts = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "sketches", "short"))), "omh-firsts")

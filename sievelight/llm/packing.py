@@ -33,7 +33,9 @@ def token_pieces(documents: DataFrame, vocabulary_path: str, end_id: int, capaci
     """Pieces of whole encoded documents: ``doc_id, piece, start, length, ids`` (binary uint32).
 
     A null text is encoded as an empty one. A document of more than ``capacity``
-    tokens becomes full pieces, the first of which may be shorter.
+    tokens becomes full pieces, the first of which may be shorter. Rows that
+    repeat are documents of their own; an empty table gives no pieces; a text of
+    any length is encoded whole and leaves the task piece by piece.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())  # a fixed public file of under two megabytes
@@ -155,7 +157,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     Pieces with the same length are interchangeable; ties go by ``doc_id`` and
     ``piece``, then by place. Every piece is placed once; the pieces of a
     sequence fill it from 0 without gaps. Extra columns are kept; columns named
-    ``item, inner, sequence_id, offset, place_at`` are replaced.
+    ``item, inner, sequence_id, offset, place_at`` are replaced. Pieces that
+    repeat ``doc_id`` and ``piece`` are pieces of their own; no pieces give no rows.
     """
     spark = pieces.sparkSession
     pieces = pieces.select(*(F.col(f"`{c}`") for c in without(pieces.columns, ("item", "inner", "sequence_id", "offset", "place_at"))))

@@ -171,7 +171,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", documents:
     Per language an expected ``documents`` rows are used, chosen by a hash of the
     row, each with its whole text; rare languages are used fully. Counts are
     gathered by Spark; what reaches the driver is the model, bounded by the
-    sample.
+    sample. Null texts and languages are left out; rows that repeat count once in
+    the sample's draw for each; without rows the model knows no language, and
+    ``predict`` then says ``und`` of every text.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}  # a row per language

@@ -115,7 +115,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements and ``failure_bits`` (long): every rule judged once."""
+    """Add the measurements and ``failure_bits`` (long): every rule judged once.
+
+    Defined results: a null text is an empty one; rows that repeat are judged
+    each; a text of any length is measured whole, in memory that follows it; an
+    empty table gives an empty one; columns named like a measurement are replaced.
+    """
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(c), F.lit(bit_of(r))).otherwise(F.lit(0)) for r, c in RULES.items()))
     return measure(df, text).withColumn("failure_bits", bits.cast("long"))
 

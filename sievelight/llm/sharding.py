@@ -54,7 +54,9 @@ def assign(documents: DataFrame, shards: int = 40, text: str = "text") -> DataFr
     The law is ``rows``: counts of any two shards are at most one apart. Defined
     results: a null text has size 16, CRC 0 and no links; empty texts are equal
     texts; rows that repeat a ``doc_id`` (or have none) are rows of their own;
-    fewer rows than shards leave shards empty.
+    fewer rows than shards leave shards empty; an empty table gives an empty one.
+    Texts are hashed where they are read and never moved, so their length does
+    not matter.
     """
     known = F.col(text).isNotNull()
     rows = documents.select(

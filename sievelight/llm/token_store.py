@@ -156,7 +156,10 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int, folder
     id. Rows with null or repeated ``doc_id`` are kept; null ids come first, and
     rows of one ``doc_id`` are in one file. Files are cut by bytes of text. A
     task writes under a name of its own attempt and the manifest lists only the
-    files of attempts that ended well, so a repeated task leaves no trace.
+    files of attempts that ended well, so a repeated task leaves no trace. Only
+    ``doc_id`` and the text are read, whatever other columns there are; a text is
+    encoded whole and may fill blocks of its own; an empty table gives an empty
+    manifest.
     """
     spark = documents.sparkSession
     folder = (folder or new_folder(spark, "tokens")).rstrip("/")
