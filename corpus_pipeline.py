@@ -27,14 +27,17 @@ def _own(judged: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of policy v1 rejects."""
+    """Documents that no rule of policy v1 rejects; null texts fail as empty ones, rows that repeat stay if one does."""
     ship_package(spark)
     judged = quality.apply_policy(quality.ledger(_renamed(docs)), "v1", to="_kept")
     return _own(judged.where("_kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the learned languages; without labelled rows nothing can be judged and all stay."""
+    """Documents whose text is in one of the learned languages; without labelled rows nothing can be judged and all stay.
+
+    Null texts and those without a letter go; rows that repeat are judged alike.
+    """
     ship_package(spark)
     model = ppm_language.fit(docs.select("doc_id", "text", "lang"))
     if not model.languages:
@@ -65,7 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' pieces packed into sequences of 1024 tokens."""
+    """The kept documents' pieces packed into sequences of 1024 tokens; null texts are empty ones, rows that repeat documents of their own."""
     ship_package(spark)
     return packed_pieces(docs)
 
