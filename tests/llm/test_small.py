@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import json
 import os
 import random
 import zlib
@@ -190,6 +191,24 @@ def test_library_words(file):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
 
 
+def test_ranks_of_a_byte_level_file():
+    """Every assigned code point in four neighbourhoods, long runs, and files whose merges are no ranks."""
+    from tokenizers import Tokenizer
+
+    vocabulary = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    encoder, other = encoding.LibraryEncoder(vocabulary), Tokenizer.from_str(vocabulary)
+    assert encoder._ranked and not encoding.LibraryEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())._ranked
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x33000), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF]]
+    texts = ["".join(f"a{c}1{c} !{c}!  {c}b\n" for c in points[at : at + 512]) for at in range(0, len(points), 512)]
+    texts += [" " * 9_999 + "x", " " * 10_000 + "x", "\n \t" * 200_000 + "x", "x" + " " * 300_000, "a" * 300_000, "é漢" * 100_000, "?!" * 100_000, "<|endoftext|>" * 3, "<|endoftext", "\0"]
+    for t, ids in zip(texts, other.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder.encode(t) == np.array(ids.ids, "<u4").tobytes()
+    chain = json.loads(vocabulary)
+    swapped = [*chain["model"]["merges"][:40][::-1], *chain["model"]["merges"][40:]]
+    for changed in ({"model": chain["model"] | {"merges": swapped}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": chain["pre_tokenizer"] | {"add_prefix_space": True}}):
+        assert encoding.merge_ranks(json.dumps(chain | changed)) is None
+
+
 # Vectors
 
 
