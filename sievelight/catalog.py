@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, evaluation, features, profiles, protocol, records, streams, telemetry  # noqa: F401
+from .plans import base, comparison, evaluation, features, profiles, protocol, records, streams, telemetry  # noqa: F401
 
 FLAGSHIP = "host_windows"
 

@@ -25,6 +25,26 @@ def prevalence_scores(train: DataFrame, test: DataFrame, label: str) -> DataFram
     return test.select("row_id").crossJoin(F.broadcast(train.agg(F.avg(F.col(label).cast("double")).alias("score"))))  # one row
 
 
+def comparable(rows: DataFrame, column: str) -> Column:
+    """A column as a key of equal rows: floats at six digits."""
+    return F.rint(F.col(column) * 1e6) if dict(rows.dtypes)[column] in ("double", "float") else F.col(column)
+
+
+def memory_scores(train: DataFrame, test: DataFrame, features: list[str], label: str) -> DataFrame:
+    """The rate of positives among training rows of equal features (nulls are equal), else among all: what remembering alone is worth.
+
+    Training rows are one row a pattern before they meet the test rows; 0 where nothing was trained on.
+    """
+    y, keys = F.col(label).cast("double"), [f"_k{i}" for i in range(len(features))]
+    keyed = lambda df, *more: df.select(*more, *[comparable(df, c).alias(k) for c, k in zip(features, keys, strict=True)])
+    known = keyed(train, y.alias("_y")).groupBy(*keys).agg(F.avg("_y").alias("_rate"))
+    known = known.select("_rate", *[F.col(k).alias(f"_of{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys]
+    met = keyed(test, "row_id").join(known, same, "left") if keys else test.select("row_id", F.lit(None).cast("double").alias("_rate"))
+    overall = train.agg(F.avg(y).alias("_all"))
+    return met.crossJoin(F.broadcast(overall)).select("row_id", F.coalesce("_rate", "_all", F.lit(0.0)).alias("score"))  # one row
+
+
 def _scored(model, test: DataFrame) -> DataFrame:
     return model.transform(test).select("row_id", vector_to_array("probability")[1].alias("score"))
 
@@ -50,6 +70,7 @@ def logistic(train: DataFrame, test: DataFrame, features: list[str], label: str)
 #: Detectors by name: each takes training rows, test rows, features and the label.
 REGISTRY = {
     "random": lambda train, test, features, label, seed=0: random_scores(test, seed),
+    "memory": lambda train, test, features, label, seed=0: memory_scores(train, test, features, label),
     "majority": lambda train, test, features, label, seed=0: prevalence_scores(train, test, label),
     "boosted_trees": lambda train, test, features, label, seed=0: boosted_trees(train, test, features, label, seed=seed),
     "logistic": lambda train, test, features, label, seed=0: logistic(train, test, features, label),
