@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
-from ..tables import staged
+from ..tables import discard, staged
 from . import curves, detectors
 
 BY = ["features", "split"]
@@ -15,29 +15,35 @@ BY = ["features", "split"]
 def compared(rows: DataFrame, parts: dict[str, DataFrame], feature_sets: dict[str, list[str]], label: str, detector: str = "boosted_trees", threshold: float = 0.5, seed: int = 0) -> DataFrame:
     """``features, split, n_train, n_test, positives, ap, mcc`` of one detector, fitted anew for every split and set of features.
 
-    Rows have a ``row_id``, the features and a label of 0 and 1; those without a
-    label are left out. Sets of features show what some columns give away: the
-    same rows with and without the calendar, say. All scores are written once and
-    every metric is an aggregate over them; a split without test rows has no line,
-    one without positives no average precision. A split without training rows
-    scores as the detector does, ``memory`` 0 throughout.
+    Rows have a ``row_id``, the features (not named ``y``, ``part`` or ``split``)
+    and a label of 0 and 1; those without a label are left out. Sets of features show what some columns give away: the
+    same rows with and without the calendar, say. Rows with their parts are written
+    once and read by every fit, all scores are written once and every metric is an
+    aggregate over them; a split without test rows has no line, one without
+    positives no average precision. A split without training rows scores as the
+    detector does, ``memory`` 0 throughout.
     """
-    known, fit = rows.where(F.col(label).isNotNull()), detectors.detector(detector)
-    scored = sizes = None
+    columns, fit = list(dict.fromkeys(c for cs in feature_sets.values() for c in cs)), detectors.detector(detector)
+    known = rows.where(F.col(label).isNotNull()).select("row_id", F.col(label).cast("int").alias("y"), *columns)
+    placed = scored = None
     for split, part in parts.items():
-        joined = known.join(part.select("row_id", "part"), "row_id")
-        train, test = joined.where("part = 'train'"), joined.where("part = 'test'")
-        size = joined.agg(F.count_if(F.col("part") == "train").alias("n_train")).select(F.lit(split).alias("split"), "n_train")
-        sizes = size if sizes is None else sizes.unionByName(size)
-        for name, columns in feature_sets.items():
-            truth = test.select("row_id", F.col(label).cast("int").alias("y"))
-            one = fit(train, test, columns, label, seed=seed).join(truth, "row_id").select(F.lit(name).alias("features"), F.lit(split).alias("split"), "y", "score")
+        one = known.join(part.where("part IN ('train', 'test')").select("row_id", "part"), "row_id").withColumn("split", F.lit(split))
+        placed = one if placed is None else placed.unionByName(one)
+    placed = staged(placed, "placed-rows")
+    sizes = placed.groupBy("split").agg(F.count_if(F.col("part") == "train").alias("n_train")).collect()  # a row a split
+    for split in parts:
+        of = placed.where(F.col("split") == split)
+        train, test = of.where("part = 'train'"), of.where("part = 'test'")
+        for name, chosen in feature_sets.items():
+            one = fit(train, test, chosen, "y", seed=seed).join(test.select("row_id", "y"), "row_id").select(F.lit(name).alias("features"), F.lit(split).alias("split"), "y", "score")
             scored = one if scored is None else scored.unionByName(one)
     scored = staged(scored, "compared-splits")
-    positives = scored.groupBy(*BY).agg(F.count("*").alias("n_test"), F.sum("y").cast("long").alias("positives"))
+    discard(placed)
+    n_train = F.coalesce(*[F.when(F.col("split") == s.split, s.n_train) for s in sizes], F.lit(0)).cast("long")
+    counts = scored.groupBy(*BY).agg(n_train.alias("n_train"), F.count("*").alias("n_test"), F.sum("y").cast("long").alias("positives"))
     ap = curves.average_precision(curves.curve(scored, BY), BY)
     mcc = curves.confusion(scored, BY, threshold).select(*BY, "mcc")
-    return positives.join(ap, BY).join(mcc, BY).join(F.broadcast(sizes), "split").select(*BY, "n_train", "n_test", "positives", "ap", "mcc")  # sizes: a row a split
+    return counts.join(ap, BY).join(mcc, BY).select(*BY, "n_train", "n_test", "positives", "ap", "mcc")
 
 
 def gaps(scores: DataFrame, easy: str, strict: str) -> DataFrame:
