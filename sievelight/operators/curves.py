@@ -16,7 +16,13 @@ from .ranges import odds_slice, running
 
 def curve(scored: DataFrame, by: list[str], score: str = "score", label: str = "y") -> DataFrame:
     """Cumulative true and false positives at each distinct score, from the highest."""
-    counts = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    y = F.col(label).cast("long")
+    return counted_curve(scored.select(*by, score, y.alias("p"), (1 - y).alias("q")), by, score)
+
+
+def counted_curve(counts: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """The same of rows that stand for ``p`` positives and ``q`` negatives each."""
+    counts = counts.groupBy(*by, score).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     totals = counts.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
     upto = running(counts, by, [(score, False)], {"tp": F.col("p"), "fp": F.col("q")}, slice_of=odds_slice(score))
     theirs = totals.select(*(F.col(c).alias(f"_of_{c}") for c in by), "pos", "neg")

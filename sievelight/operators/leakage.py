@@ -11,10 +11,13 @@ from .ranges import odds_slice, running
 from .splits import chance, placed_by_chance
 
 
-def exact_duplicates(rows: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Distinct rows, excess copies and members of repeated rows, floats compared at six digits."""
+def exact_duplicates(rows: DataFrame, columns: list[str], by: list[str] = (), copies: str | None = None) -> DataFrame:
+    """Distinct rows, excess copies and members of repeated rows, floats compared at six digits.
+
+    A row stands for as many as its column ``copies`` says, for one without it.
+    """
     keys = [F.rint(F.col(c) * 1e6).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes if c in columns]
-    groups = rows.groupBy(*by, *keys).agg(F.count("*").alias("c"))
+    groups = rows.groupBy(*by, *keys).agg((F.sum(copies) if copies else F.count("*")).alias("c"))
     n = F.sum("c")
     out = [n.alias("n"), F.count("*").alias("n_unique"), F.sum(F.col("c") - 1).alias("excess"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("members"), rounded(F.sum(F.col("c") - 1) / F.greatest(n, F.lit(1))).alias("fraction")]
     return groups.groupBy(*by).agg(*out) if by else groups.agg(*out)
@@ -27,9 +30,14 @@ def twins(test: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
 
 def simhash(rows: DataFrame, vector: str, bits: int = 32, seed: int = 0, to: str = "signature") -> DataFrame:
     """Add the signs of random projections of the standardised vector as a number; the matrix depends on seed and size alone."""
+    return rows.withColumn(to, simhash_code(rows, vector, bits, seed))
+
+
+def simhash_code(rows: DataFrame, vector: str, bits: int = 32, seed: int = 0) -> Column:
+    """The number that ``simhash`` adds, standardised by ``rows``, for any table with the vector."""
     size = rows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
     if size is None:
-        return rows.withColumn(to, F.lit(None).cast("long"))
+        return F.lit(None).cast("long")
     d = size.d
     stats = rows.agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"m{i}") for i in range(d)], *[F.stddev_pop(F.col(vector)[i].cast("double")).alias(f"s{i}") for i in range(d)]).first()
     mean, std = [stats[f"m{i}"] for i in range(d)], [stats[f"s{i}"] or 1.0 for i in range(d)]
@@ -41,12 +49,12 @@ def simhash(rows: DataFrame, vector: str, bits: int = 32, seed: int = 0, to: str
         weights = F.array(*[F.lit(float(w)) for w in scaled[:, b]])
         dot = F.aggregate(F.zip_with(F.col(vector), weights, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
         code = code + F.when(dot > float(shift[b]), F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
-    return rows.withColumn(to, code)
+    return code
 
 
-def bucket_report(rows: DataFrame, key: str) -> DataFrame:
-    """Rows, distinct buckets, and rows beyond the first of their bucket."""
-    groups = rows.groupBy(key).agg(F.count("*").alias("c"))
+def bucket_report(rows: DataFrame, key: str, copies: str | None = None) -> DataFrame:
+    """Rows, distinct buckets, and rows beyond the first of their bucket; a row stands for ``copies`` of them, if named."""
+    groups = rows.groupBy(key).agg((F.sum(copies) if copies else F.count("*")).alias("c"))
     return groups.agg(F.sum("c").alias("n"), F.count("*").alias("buckets"), F.sum(F.col("c") - 1).alias("near"))
 
 
@@ -57,15 +65,22 @@ def group_overlap(parts: DataFrame, group: str) -> DataFrame:
     return pairs.join(other, group).where("part < other").groupBy("part", "other").agg(F.count("*").alias("shared"))
 
 
+def pattern_cells(rows: DataFrame, pattern: list[str], label: str, folds: int, seed: int) -> DataFrame:
+    """``pattern, fold, p, q, score``: positives and negatives of each fold's rows of a pattern, and the rate of positives of the pattern's rows in the other folds."""
+    own = rows.groupBy(*pattern, _floor_fold(folds, seed).alias("fold")).agg(F.count("*").alias("n"), F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    all_folds = Window.partitionBy(*pattern)
+    n, p = F.sum("n").over(all_folds) - F.col("n"), F.sum("p").over(all_folds) - F.col("p")
+    return own.select(*pattern, "fold", "p", "q", rounded(F.when(n > 0, p / n).otherwise(0.0)).alias("score"))
+
+
+def _floor_fold(folds: int, seed: int) -> Column:
+    return (F.conv(F.substring(chance(seed, F.col("row_id")), 1, 6), 16, 10).cast("long") % folds).cast("int")
+
+
 def pattern_floor(rows: DataFrame, pattern: list[str], label: str, folds: int, seed: int) -> DataFrame:
     """Out-of-fold rate of positives of each row's pattern: what a detector could know from the pattern alone."""
-    fold = (F.conv(F.substring(chance(seed, F.col("row_id")), 1, 6), 16, 10).cast("long") % folds).cast("int")
-    rows = rows.withColumn("fold", fold)
-    own = rows.groupBy(*pattern, "fold").agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    all_folds = Window.partitionBy(*pattern)
-    rest = own.select(*pattern, "fold", (F.sum("n").over(all_folds) - F.col("n")).alias("n"), (F.sum("p").over(all_folds) - F.col("p")).alias("p"))
-    score = rest.select(*pattern, "fold", F.when(F.col("n") > 0, F.col("p") / F.col("n")).otherwise(0.0).alias("score"))
-    return rows.join(score, [*pattern, "fold"]).select("row_id", F.col(label).alias("y"), rounded(F.col("score")).alias("score"))
+    cells = pattern_cells(rows, pattern, label, folds, seed).select(*pattern, "fold", "score")
+    return rows.withColumn("fold", _floor_fold(folds, seed)).join(cells, [*pattern, "fold"]).select("row_id", F.col(label).alias("y"), "score")
 
 
 def permuted_labels(rows: DataFrame, label: str, seed: int) -> DataFrame:
@@ -76,6 +91,33 @@ def permuted_labels(rows: DataFrame, label: str, seed: int) -> DataFrame:
     return left.join(right, "k").select("row_id", "y")
 
 
+def dealt_labels(rows: DataFrame, label: str, seed: int) -> Column:
+    """The labels permuted, as a column of ``rows``: they are dealt to the rows in hash order, all of the smallest first.
+
+    ``row_id`` must be unique. The order is made of chance alone, so every
+    permutation of the labels is as likely as another. Only counts by slice and
+    the few rows at which the label changes are looked up: no row moves.
+    """
+    labels = sorted(((r[0], r[1]) for r in rows.groupBy(label).count().collect()), key=lambda x: (x[0] is not None, x[0]))  # the few labels
+    drawn = rows.select(chance(seed, F.col("row_id")).alias("c")).withColumn("s", F.substring("c", 1, 3))
+    last, upto = {}, 0
+    ends = [upto := upto + n for _, n in labels][:-1]
+    before = 0
+    for s, n in sorted((r.s, r["count"]) for r in drawn.groupBy("s").count().collect()) if ends else ():  # 4,096 at most
+        last |= {(s, e - before): e for e in ends if before < e <= before + n}
+        before += n
+    place = F.row_number().over(Window.partitionBy("s").orderBy("c"))
+    there = drawn.where(F.col("s").isin([s for s, _ in last])).withColumn("k", place).where(F.col("k").isin([k for _, k in last])) if last else None
+    at = {last[r.s, r.k]: r.c for r in there.collect() if (r.s, r.k) in last} if last else {}
+    own, kind = chance(seed, F.col("row_id")), rows.schema[label].dataType
+    value = lambda v: F.lit(v).cast(kind)
+    out = None
+    for e, (v, _) in zip(ends, labels, strict=False):
+        out = F.when(own <= at[e], value(v)) if out is None else out.when(own <= at[e], value(v))
+    rest = value(labels[-1][0] if labels else None)
+    return rest if out is None else out.otherwise(rest)
+
+
 def identical_columns(rows: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
     """Pairs of columns that are equal in every row, constant ones left out; one pass over the rows."""
     ends = rows.agg(*[F.struct(F.min(c), F.max(c), F.sum(c)).alias(c) for c in columns]).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -10,12 +11,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import staged
 from . import curves, leakage
 from .detectors import random_score
 
 #: Below so many positives no rate is reported.
 LEAST_SUPPORT = 20
 MODES = ("replica", "random", "chronological", "loro")
+#: Rows up to which a forest samples single rows; above it, equal rows go in blocks.
+BLOCKS = 100_000
 #: Severities from best to worst.
 SEVERITIES = ("ok", "warn", "fail")
 #: Minutes of a day, the number of windows that a host has in it.
@@ -125,17 +129,35 @@ def merged_checks(checks: DataFrame) -> DataFrame:
     return checks.groupBy("check_name").agg(F.sum("n").alias("n"), F.sum("of").alias("of"), worst.alias("severity"), F.array_join(flagged, ",").alias("flagged"), (F.max(rank) < 3).alias("passes"))
 
 
-def _cross_scores(rows: DataFrame, features: list[str], label: str, folds: int, seed: int, trees: int) -> DataFrame:
-    """``row_id, label, p`` (array by class) of every row, from a forest that has not seen the row's fold."""
-    placed = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows.select("row_id", F.col(label).cast("double").alias("_y"), *features))
-    placed = placed.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds)))
+def _counted(rows: DataFrame, features: list[str], *keys: str) -> DataFrame:
+    """Rows of equal features and keys as one, with their number ``n``; in an order, so that fits can be repeated."""
+    by = [*keys, *features]
+    return staged(rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by), "counted-rows")
+
+
+def _cross_scores(counted: DataFrame, features: list[str], folds: int, seed: int, trees: int) -> DataFrame:
+    """``label, p`` (array by class) ``, n`` of all rows, from a forest that has not seen the rows' fold.
+
+    ``counted`` has the features, ``_fold``, ``_y`` and ``n``, the number of rows
+    that are so. All count in full. A tree's sample takes them in blocks of equal
+    rows, single ones up to ``BLOCKS`` rows, so a fit over few patterns costs the
+    same for a table of any size.
+    """
+    total = counted.agg(F.sum("n").alias("n")).first().n or 0
+    blocks = F.ceil(F.col("n") / max(1, math.ceil(total / BLOCKS)))
+    placed = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(counted.select("_fold", F.col("_y").cast("double").alias("_y"), "n", *features))
+    known = placed.select("_fold", "_x", "_y", (F.col("n") / blocks).alias("_w"), F.explode(F.sequence(F.lit(1), blocks)))
     found = []
     for k in range(folds):
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=6, seed=seed).fit(placed.where(F.col("_fold") != k))
-        found.append(model.transform(placed.where(F.col("_fold") == k)).select("row_id", F.col("_y").cast("int").alias("label"), vector_to_array("probability").alias("p")))
+        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=6, seed=seed).fit(known.where(F.col("_fold") != k))
+        found.append(model.transform(placed.where(F.col("_fold") == k)).select(F.col("_y").cast("int").alias("label"), vector_to_array("probability").alias("p"), "n"))
     return reduce(DataFrame.unionByName, found)
 
 
+def _fold(folds: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds))
+
+
 def provenance_auc(rows: DataFrame, features: list[str], source: str, sources: list, seed: int = 0, folds: int = 3, trees: int = 20) -> DataFrame:
     """Control 5: how well the features tell a row's source, as ``source, auc`` of one against the rest, and ``null`` for their mean.
 
@@ -144,21 +166,28 @@ def provenance_auc(rows: DataFrame, features: list[str], source: str, sources: l
     if len(sources) < 2:
         return rows.sparkSession.createDataFrame([], "source string, auc double")
     number = F.array_position(F.array(*map(F.lit, sources)), F.col(source)) - 1
-    scores = _cross_scores(rows.where(F.col(source).isin(list(sources))).withColumn("_source", number), features, "_source", folds, seed, trees)
+    counted = _counted(rows.where(F.col(source).isin(list(sources))).select(*features, number.alias("_y"), _fold(folds, seed).alias("_fold")), features, "_y", "_fold")
     each = F.explode(F.transform("p", lambda p, i: F.struct(i.alias("i"), p.alias("score")))).alias("e")
-    long = scores.select("row_id", "label", each).select("row_id", F.element_at(F.array(*[F.lit(str(s)) for s in sources]), F.col("e.i") + 1).alias("source"), (F.col("label") == F.col("e.i")).cast("int").alias("y"), F.col("e.score").alias("score"))
-    auc = curves.roc_auc(curves.curve(long, ["source"]), ["source"])
+    own = F.when(F.col("label") == F.col("e.i"), F.col("n")).otherwise(0)
+    long = _cross_scores(counted, features, folds, seed, trees).select("label", "n", each).select(F.element_at(F.array(*[F.lit(str(s)) for s in sources]), F.col("e.i") + 1).alias("source"), own.alias("p"), (F.col("n") - own).alias("q"), F.col("e.score").alias("score"))
+    auc = curves.roc_auc(curves.counted_curve(long, ["source"]), ["source"])
     return auc.unionByName(auc.agg(F.lit(None).cast("string").alias("source"), F.avg("auc").alias("auc")))
 
 
 def permuted_precision(rows: DataFrame, features: list[str], y: str, repeats: int = 3, folds: int = 3, trees: int = 20, tolerance: float = 0.10) -> DataFrame:
-    """Control 6: labels are permuted, the model is fitted again and scored on them: ``repeat, average_precision, prevalence, within_tolerance``."""
+    """Control 6: labels are permuted, the model is fitted again and scored on them: ``repeat, average_precision, prevalence, within_tolerance``.
+
+    ``row_id`` must be unique. One pass counts the rows of equal features, fold and permuted label for all repeats.
+    """
+    dealt = F.explode(F.array(*[F.struct(F.lit(k).alias("_repeat"), _fold(folds, k).alias("_fold"), leakage.dealt_labels(rows, y, k).alias("_y")) for k in range(repeats)])).alias("_d")
+    counted = _counted(rows.select(*features, dealt).select(*features, "_d.*"), features, "_repeat", "_fold", "_y")
     found = []
     for k in range(repeats):
-        permuted = leakage.permuted_labels(rows, y, k).select("row_id", F.col("y").alias("_y")).join(rows.select("row_id", *features), "row_id")
-        scores = _cross_scores(permuted, features, "_y", folds, k, trees).select(F.lit(k).alias("repeat"), "row_id", F.col("label").alias("y"), F.element_at("p", 2).alias("score"))
-        ap = curves.average_precision(curves.curve(scores, ["repeat"]), ["repeat"])
-        rate = scores.groupBy("repeat").agg(F.avg("y").alias("prevalence"))
+        scores = _cross_scores(counted.where(F.col("_repeat") == k), features, folds, k, trees)
+        p = F.col("label") * F.col("n")
+        points = scores.select(F.lit(k).alias("repeat"), F.element_at("p", 2).alias("score"), p.alias("p"), (F.col("n") - p).alias("q"))
+        ap = curves.average_precision(curves.counted_curve(points, ["repeat"]), ["repeat"])
+        rate = points.groupBy("repeat").agg((F.sum("p") / F.sum(F.col("p") + F.col("q"))).alias("prevalence"))
         found.append(ap.withColumnRenamed("ap", "average_precision").join(rate, "repeat"))
     out = reduce(DataFrame.unionByName, found)
     return out.withColumn("within_tolerance", F.abs(F.col("average_precision") - F.col("prevalence")) < tolerance)

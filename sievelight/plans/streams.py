@@ -48,8 +48,9 @@ def stream_peer_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leakage_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All controls of a random split of line items, the order as the group."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_orderkey").alias("entity"), "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linestatus") == "O").cast("int").alias("m"), "l_returnflag"
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(  # several items have one order and line number
+        F.xxhash64(*items.columns).alias("row_id"), F.col("l_orderkey").alias("entity"), "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linestatus") == "O").cast("int").alias("m"), "l_returnflag"
     )
     parts = splits.random_stratified(rows, "y", SEED)
     return certificate.certificate(rows, parts, ["l_quantity", "l_discount", "l_tax"], "entity", ["m"], "y", source="l_returnflag", sources=("A", "N", "R"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions import keys, texts
-from sievelight.operators import feature_sets, protocol
+from sievelight.operators import feature_sets, leakage, protocol
 from sievelight.sources import lines
 
 REPLICAS = ["a", "b", "c"]
@@ -63,6 +63,31 @@ def test_permuted_labels_are_fitted_again(sourced):
     assert len(rows) == 3 and all(r.within_tolerance and abs(r.prevalence - rows[0].prevalence) < 1e-9 for r in rows)
 
 
+def test_forests_see_patterns_and_not_rows(spark, monkeypatch):
+    """Rows of equal features and label are fitted as a few weighted ones, and none is lost."""
+    seen, fit = [], protocol.RandomForestClassifier.fit
+
+    def recorded(self, known):
+        seen.append(known.agg(F.count("*"), F.sum("_w")).first())
+        return fit(self, known)
+
+    monkeypatch.setattr(protocol.RandomForestClassifier, "fit", recorded)
+    monkeypatch.setattr(protocol, "BLOCKS", 60)
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 4).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rate = protocol.permuted_precision(rows, ["x"], "y", repeats=1, trees=2).first().prevalence
+    assert rate == pytest.approx(1 / 3) and len(seen) == 3
+    assert all(n <= 100 for n, _ in seen) and sum(w for _, w in seen) == pytest.approx(2 * 3000)
+
+
+def test_dealt_labels(spark):
+    """As many of each label as before, nulls too, and another order for another seed."""
+    rows = spark.range(2000).select(F.col("id").alias("row_id"), F.when(F.col("id") >= 100, (F.col("id") % 10 == 0).cast("int")).alias("y")).repartition(3)
+    dealt = rows.select("row_id", "y", *[leakage.dealt_labels(rows, "y", k).alias(f"d{k}") for k in (1, 2)]).collect()
+    count = lambda c: {v: sum(r[c] == v for r in dealt) for v in (None, 0, 1)}
+    assert count("y") == count("d1") == count("d2")
+    assert sum(r.d1 != r.d2 for r in dealt) > 200 and sum(r.y == 1 and r.d1 == 1 for r in dealt) < 60
+
+
 def test_attributions(spark):
     df = spark.createDataFrame([(1, [0.1, 0.4, 0.4, 0.1]), (1, [0.7, 0.1, 0.1, 0.1])], "k int, a array<double>")
     assert [r[0] for r in df.select(feature_sets.dominant_modality(F.col("a"))).collect()] == ["m2", "m1"]
@@ -102,3 +127,19 @@ def test_labels_by_host_and_source(spark, tmp_path):
     assert got == {("h1", "auth.log", 1): ([], False), ("h1", "auth.log", 2): (["new"], True), ("h1", "syslog", 2): ([], False), ("h2", "auth.log", 2): ([], False)}
     with pytest.raises(lines.LabelJoinError):
         lines.with_labels(logs.where("global_line = 1 OR base = 'syslog'"), labels, ("host", "base"))
+
+
+def test_certificate_counts_as_joins_do(spark):
+    """Twins, shared groups and the floor from counts are those that joins of the rows give."""
+    from sievelight.operators import certificate, curves, splits
+
+    rows = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 7).alias("g"), (F.col("id") % 2).cast("int").alias("m"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    parts = splits.random_stratified(rows, "y", 1).where("row_id % 13 != 0")
+    got = {r.measure: r.value for r in certificate.certificate(rows, parts, ["a", "b"], "g", ["m"], "y", bits=8).collect()}
+    joined = rows.join(parts, "row_id")
+    assert got["test rows with a training twin"] == leakage.twins(joined.where("part = 'test'"), joined.where("part = 'train'"), ["a", "b"]).count()
+    signed = leakage.simhash(rows.select("row_id", F.array("a", "b").alias("v")), "v", 8, 0).join(parts, "row_id")
+    assert got["test rows with a near twin in training"] == leakage.twins(signed.where("part = 'test'"), signed.where("part = 'train'"), ["signature"]).count()
+    assert got["groups on several sides"] == leakage.group_overlap(joined, "g").agg(F.sum("shared")).first()[0]
+    floor = leakage.pattern_floor(rows, ["m"], "y", 5, 0).withColumn("all", F.lit(0))
+    assert got["average precision"] == curves.average_precision(curves.curve(floor, ["all"]), ["all"]).first().ap
