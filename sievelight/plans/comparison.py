@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import comparison, splits
 from ..operators.windows import network_features, tumbled
+from ..tables import discard, staged
 from .base import EVENTS, WIDE, events, query, r
 from .evaluation import CHRON, GAP, R0, SEED
 
@@ -26,6 +27,14 @@ def both_splits(rows: DataFrame) -> dict[str, DataFrame]:
     return {"random": splits.random_stratified(rows, "y", SEED), "chronological": splits.chronological(rows, "t", GAP)}
 
 
+def _compared(spark: SparkSession, sf_dir: str, sets: dict[str, list[str]], detector: str) -> DataFrame:
+    """The comparison over windows that are written once for both splits; all scores are written before it returns."""
+    rows = staged(windows(spark, sf_dir), "windows")
+    found = comparison.compared(rows, both_splits(rows), sets, "y", detector)
+    discard(rows)
+    return found
+
+
 def _key(columns: list[str]) -> str:
     return "concat_ws('|', " + ", ".join(columns) + ")"
 
@@ -48,8 +57,7 @@ compared AS (SELECT features, split, n_train, n_test, positives, ap, {r("CASE WH
 @query(f"{COMPARED} SELECT * FROM compared")
 def split_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remembering alone scores under a random and a chronological split, by set of features."""
-    rows = windows(spark, sf_dir)
-    return comparison.compared(rows, both_splits(rows), SETS, "y", "memory")
+    return _compared(spark, sf_dir, SETS, "memory")
 
 
 @query(f"""{COMPARED} SELECT features, easy_ap, strict_ap, {r("easy_ap - strict_ap")} AS ap_gap, {r("e - s")} AS mcc_gap FROM (SELECT features, max(ap) FILTER (split = 'random') AS easy_ap,
@@ -71,5 +79,4 @@ def split_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def split_comparison_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same comparison by boosted trees, fitted anew for each split and set of features."""
-    rows = windows(spark, sf_dir)
-    return comparison.compared(rows, both_splits(rows), {k: SETS[k] for k in ("counts", "counts and calendar")}, "y", "boosted_trees")
+    return _compared(spark, sf_dir, {k: SETS[k] for k in ("counts", "counts and calendar")}, "boosted_trees")

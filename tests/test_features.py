@@ -298,3 +298,19 @@ def test_floors_of_one_class_folds_and_new_patterns(spark):
     got = {r.replica: (r.n, r.positives, r.ap) for r in leakage.leave_one_out_floors(df, "replica", "y", {"m": ["m"]}).collect()}
     # b: pattern 1 scores 2/3, 3 scores 1, and 2, new to it, all of theirs 3/4.
     assert got == {"a": (2, 2, None), "b": (3, 1, 0.5), "c": (2, 1, 0.5)}
+
+
+def test_boosted_trees_fit_patterns_and_not_rows(spark, monkeypatch):
+    """Equal training rows are one weighted row, and the scores are those of the rows themselves."""
+    sizes, fit = [], detectors.GBTClassifier.fit
+
+    def recorded(self, known):
+        sizes.append(known.count())
+        return fit(self, known)
+
+    rows = spark.range(600).select(F.col("id").alias("row_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 7 * (F.col("id") % 3) > 5).cast("int").alias("y"))
+    assembled = detectors.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.fillna(0).withColumn("label", F.col("y").cast("double")))
+    plain = detectors._scored(detectors.GBTClassifier(maxIter=3, maxDepth=4, seed=0).fit(assembled), assembled)
+    monkeypatch.setattr(detectors.GBTClassifier, "fit", recorded)
+    got = {r.row_id: r.score for r in detectors.boosted_trees(rows, rows, ["a", "b"], "y", 3).collect()}
+    assert sizes == [25] and got == {r.row_id: pytest.approx(r.score) for r in plain.collect()}
