@@ -34,11 +34,11 @@ def peer_ports(meetings: DataFrame, host: str = "host") -> DataFrame:
     )
 
 
-def entropy(events: DataFrame, by: list[str], value: str, to: str = "entropy") -> DataFrame:
-    """Shannon entropy in bits of a value's counts in each group."""
+def entropy(events: DataFrame, by: list[str], value: str, to: str = "entropy", distinct: str | None = None) -> DataFrame:
+    """Shannon entropy in bits of a value's counts in each group, and under the name ``distinct`` the number of its values."""
     counts = events.groupBy(*by, value).agg(F.count("*").alias("c"))
-    total = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
-    return total.select(*by, rounded(F.log2("n") - F.col("clogc") / F.col("n")).alias(to))
+    total = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("clogc"), F.count(value).alias("k"))
+    return total.select(*by, rounded(F.log2("n") - F.col("clogc") / F.col("n")).alias(to), *([F.col("k").alias(distinct)] if distinct else []))
 
 
 def dominant(events: DataFrame, by: list[str], value: str) -> DataFrame:

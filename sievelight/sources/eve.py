@@ -25,33 +25,18 @@ def flow_features(records: DataFrame, seconds: int = 60) -> DataFrame:
     """The 24 network features per host and window.
 
     Ports, addresses and protocols count in all records; packets, bytes and
-    durations in flows only.
+    durations in flows only. Distinct values are counted as groups before they
+    meet their window, and flows alone are dealt by window for the percentiles, so
+    no record is multiplied.
     """
     of = lambda t: F.col("event_type") == t
-    flow = of("flow")
-    number = lambda name: F.when(flow, F.coalesce(F.col(f"flow.{name}"), F.lit(0)))
-    lasted = F.when(flow, F.greatest(rfc3339(F.col("flow.end")) - rfc3339(F.col("flow.start")), F.lit(0.0)))
-    rows = records.withColumns({"window_start": (F.floor(F.col("ts") / seconds) * seconds).cast("long"), "lasted": lasted, "to_server": number("bytes_toserver"), "pkts": number("pkts_toserver")})
+    number = lambda name: F.coalesce(F.col(f"flow.{name}"), F.lit(0))
     key = ["host", "window_start"]
+    rows = records.withColumn("window_start", (F.floor(F.col("ts") / seconds) * seconds).cast("long"))
     proto = F.upper("proto")
-    known = F.greatest(F.count("proto"), F.lit(1))
-    address = F.nullif(F.col("dest_ip"), F.lit(""))
-    share = lambda c: rounded(F.count_if(c) / known)
-    p90 = lambda c: F.coalesce(F.percentile(c, F.lit(0.9)), F.lit(0.0))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    share = lambda c: rounded(F.count_if(c) / F.greatest(F.count("proto"), F.lit(1)))
     stats = rows.groupBy(*key).agg(
         *[F.count_if(of(t)).alias(f"n_{t}") for t in ("flow", "alert", "dns", "http", "tls", "fileinfo")],
-        total("pkts").alias("pkts_to_server"),
-        total(number("pkts_toclient")).alias("pkts_to_client"),
-        total("to_server").alias("bytes_to_server"),
-        total(number("bytes_toclient")).alias("bytes_to_client"),
-        p90("pkts").alias("p90_pkts"),
-        p90("to_server").alias("p90_bytes"),
-        F.coalesce(F.avg("lasted"), F.lit(0.0)).alias("mean_duration"),
-        p90("lasted").alias("p90_duration"),
-        F.count_distinct("dest_port").alias("n_ports"),
-        F.count_distinct(address).alias("n_addresses"),
-        rounded(F.count_if(is_ipv6(F.col("src_ip")) | is_ipv6(F.col("dest_ip"))) / F.greatest(F.count("*"), F.lit(1))).alias("frac_ipv6"),
         share(proto == "TCP").alias("frac_tcp"),
         share(proto == "UDP").alias("frac_udp"),
         share(F.contains(proto, F.lit("ICMP"))).alias("frac_icmp"),
@@ -59,10 +44,29 @@ def flow_features(records: DataFrame, seconds: int = 60) -> DataFrame:
         F.coalesce(F.max(F.greatest(F.col("alert.severity").try_cast("int"), F.lit(0))), F.lit(0)).alias("max_severity"),
         F.count_if(of("dns")).alias("n_dns_queries"),
     )
+    lasted = F.greatest(rfc3339(F.col("flow.end")) - rfc3339(F.col("flow.start")), F.lit(0.0))
+    flows = rows.where(of("flow")).select(*key, number("pkts_toserver").alias("pkts"), number("pkts_toclient").alias("back"), number("bytes_toserver").alias("bytes"), number("bytes_toclient").alias("bytes_back"), lasted.alias("lasted"))
+    p90 = lambda c: F.percentile(c, F.lit(0.9))
+    flows = flows.repartition(*key).groupBy(*key).agg(
+        F.sum("pkts").alias("pkts_to_server"),
+        F.sum("back").alias("pkts_to_client"),
+        F.sum("bytes").alias("bytes_to_server"),
+        F.sum("bytes_back").alias("bytes_to_client"),
+        p90("pkts").alias("p90_pkts"),
+        p90("bytes").alias("p90_bytes"),
+        F.avg("lasted").alias("mean_duration"),
+        p90("lasted").alias("p90_duration"),
+    )
+    six = F.count_if(is_ipv6(F.col("src_ip")) | is_ipv6(F.col("dest_ip")))
+    addresses = rows.groupBy(*key, F.nullif(F.col("dest_ip"), F.lit("")).alias("address")).agg(F.count("*").alias("c"), six.alias("six"))
+    addresses = addresses.groupBy(*key).agg(F.count("address").alias("n_addresses"), rounded(F.sum("six") / F.sum("c")).alias("frac_ipv6"))
     from ..operators.windows import entropy
 
-    ports = entropy(rows.where("dest_port IS NOT NULL"), key, "dest_port", "port_entropy")
-    return stats.join(ports, key, "left").fillna(0.0, ["port_entropy"])
+    ports = entropy(rows.where("dest_port IS NOT NULL"), key, "dest_port", "port_entropy", "n_ports")
+    for part in (flows, addresses, ports):
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
+        stats = stats.join(part.withColumnsRenamed({c: f"_of_{c}" for c in key}), same, "left").drop(*(f"_of_{c}" for c in key))
+    return stats.fillna(0, [c for part in (flows, addresses, ports) for c in part.columns if c not in key])
 
 
 def peers(records: DataFrame, seconds: int = 60) -> DataFrame:

@@ -104,3 +104,15 @@ def test_uploads(spark, tmp_path):
     assert sorted(r.verdict for r in scored.collect()) == ["attack", "not scored", "not scored"]
     with pytest.raises(uploads.UploadError, match="missing"):
         uploads.read_csv(spark, str(path), ["zzz"])
+
+
+def test_flow_features_multiply_no_record(spark):
+    """Distinct ports and addresses are counted without a copy of every record for each; windows of a null host count as well."""
+    flow = "flow struct<pkts_toserver: bigint, pkts_toclient: bigint, bytes_toserver: bigint, bytes_toclient: bigint, start: string, end: string>"
+    rows = [(None, 5.0, "flow", "10.0.0.1", d, "tcp", p, (q, None, 7, 1, None, None), None) for d, p, q in (("fe80::1", 80, 1), ("10.1.2.3", 80, 2), ("", 443, 3), (None, None, None))]
+    records = spark.createDataFrame(rows, f"host string, ts double, event_type string, src_ip string, dest_ip string, proto string, dest_port int, {flow}, alert struct<severity: string>")
+    found = eve.flow_features(records)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    r = found.collect()
+    assert len(r) == 1 and (r[0].n_flow, r[0].n_ports, r[0].n_addresses, r[0].frac_ipv6, r[0].pkts_to_server, r[0].p90_bytes) == (4, 2, 2, 0.25, 6, 7.0)
+    assert r[0].port_entropy == 0.918296
