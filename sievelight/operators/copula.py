@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..tables import scratch, staged
 from .ranges import running
 
 #: Rows that a group, a column in it and a pair need; least eigenvalue of a correlation matrix.
@@ -19,10 +20,10 @@ SUPPORT, LEAST_EIGENVALUE = 20, 1e-2
 def mid_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by, value``, its ``copies``, and ``rank`` (from 1, the mean of ties) among the ``n`` values of the group.
 
-    Equal values are counted first, and the counts run over slices of the values,
-    so a group of any size is never in one task.
+    Equal values are counted first, and the counts, written once, run over slices
+    of the values, so a group of any size is never in one task.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("copies"))
+    counts = staged(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("copies")), "value-counts")
     totals = counts.groupBy(*by).agg(F.sum("copies").alias("n"))
     upto = running(counts, by, [(value, True)], {"upto": F.col("copies")})
     return upto.join(totals, by).select(*by, value, "copies", "n", (F.col("upto") - (F.col("copies") - 1) / 2).alias("rank"))
@@ -33,7 +34,7 @@ def normal_scores(rows: DataFrame, by: list[str], value: str, support: int = SUP
 
     Groups with under ``support`` values or one value only have no scores.
     """
-    ranks = mid_ranks(rows, by, value).withColumn("z", normal.quantile(F.col("rank") / (F.col("n") + 1)))
+    ranks = staged(mid_ranks(rows, by, value).withColumn("z", normal.quantile(F.col("rank") / (F.col("n") + 1))), "ranks")
     mean = F.sum(F.col("z") * F.col("copies")) / F.sum("copies")
     square = F.sum(F.col("z") * F.col("z") * F.col("copies")) / F.sum("copies")
     wide = ranks.groupBy(*by).agg(F.count("*").alias("distinct"), F.max("n").alias("n"), mean.alias("m"), F.sqrt(square - mean * mean).alias("sd"))
@@ -68,21 +69,28 @@ def correlations(rows: DataFrame, key: str, label: str, group: list[str], column
     A null value is absent. Only groups of ``support`` rows of a class count, and
     pairs that fewer rows have are uncorrelated. ``a`` and ``b`` number the
     columns. Each task hands on one matrix a class; the matrices are then summed.
+    What several steps read (values, their counts, their ranks) is written once.
     """
+    with scratch(rows.sparkSession):
+        sums = staged(_sums(rows, key, label, group, columns, support), "correlations", lasting=True)
+    found = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("n") >= support, F.col("s") / F.col("n")).otherwise(0.0)
+    return sums.withColumn("correlation", found)
+
+
+def _sums(rows: DataFrame, key: str, label: str, group: list[str], columns: list[str], support: int) -> DataFrame:
+    """``class, a, b, s, n``: sums of products of scores and numbers of rows."""
     named = rows.select(F.col(key).alias("_key"), F.col(label).cast("string").alias("class"), *group, *columns)
     by = ["class", *group]
     large = named.groupBy(*by).count().where(F.col("count") >= support).select(*by)
     named = named.join(large, by)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])).alias("p")
-    long = named.select("_key", *by, pairs).select("_key", *by, "p.*").where("value IS NOT NULL")
+    long = staged(named.select("_key", *by, pairs).select("_key", *by, "p.*").where("value IS NOT NULL"), "values")
     cell = [*by, "column"]
     scores = normal_scores(long, cell, "value", support)
     scored = long.join(scores, [*cell, "value"])
     wide = scored.groupBy("_key", "class").agg(*(F.max(F.when(F.col("column") == i, F.col("z"))).alias(f"z{i}") for i in range(len(columns)))).drop("_key")
     parts = wide.mapInArrow(_grams(len(columns)), "class string, a int, b int, s double, n long")
-    sums = parts.groupBy("class", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    found = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("n") >= support, F.col("s") / F.col("n")).otherwise(0.0)
-    return sums.withColumn("correlation", found)
+    return parts.groupBy("class", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def repaired(pairs: DataFrame, size: int, least: float = LEAST_EIGENVALUE) -> dict[str, np.ndarray]:

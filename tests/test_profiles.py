@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import statistics
 
@@ -116,3 +117,16 @@ def test_one_value_a_stretch_takes_the_whole_spread(spark):
     df = spark.createDataFrame([(0, "r", "h", str(i), float(i + 1)) for i in range(30)], "class int, replica string, host string, stretch string, x double")
     r = class_profiles.feature_statistics(df, ["x"]).where("level = 'all'").select(rounded(F.col("sigma")).alias("s"), "tau").first()
     assert abs(r.s - statistics.pstdev(math.log(i + 1) for i in range(30))) < 1e-6 and r.tau == 0
+
+
+def test_copula_reads_written_sums_only(spark):
+    """The result reads its few sums: what several steps share is computed once, and its tables are gone."""
+    from sievelight.tables import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df = spark.createDataFrame([(i, i % 2, f"h{i % 3}", float(i % 17), float(i % 5)) for i in range(200)], "id long, y int, h string, a double, b double")
+    found = copula.correlations(df, "id", "y", ["h"], ["a", "b"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and found.count() == 6
+    assert len(set(os.listdir(folder)) - before) == 1  # the sums
