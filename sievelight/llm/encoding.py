@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -141,6 +142,66 @@ def merge_ranks(vocabulary_json: str) -> dict[bytes, int] | None:
     return {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items() if token not in added}
 
 
+#: Fixed value: how the chain of a lower-case vocabulary with a suffix on words cleans and cuts a text.
+_WORDS_CHAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Characters that stand in composed form in any company, have one lower case in any company, and whose classes no version
+#: of Unicode changed: Latin, Cyrillic, most of Greek, punctuation and signs, kana, CJK and Hangul syllables.
+_SETTLED = "\t\n\r -~\u00a0-\u012f\u0131-\u017f\u0391-\u03a1\u03a4-\u03a9\u03ac-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u21ff\u2500-\u257f\u3001-\u3020\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e"
+_UNSETTLED = re.compile(f"[^{_SETTLED}]")
+#: Ends each word that tiktoken gets, in place of the suffix; no settled character.
+_END = "\x01"
+
+
+def _settled_words() -> re.Pattern:
+    """The chain's pattern for texts of settled characters in lower case."""
+    settled = re.findall(f"[{_SETTLED}]", "".join(map(chr, range(0x10000))))
+    of = lambda kind: "".join(c for c in settled if unicodedata.category(c)[0] == kind)
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{of('L')}]+|[{of('N')}]|[^\\s{of('L')}{of('N')}]+")
+
+
+def suffix_ranks(vocabulary_json: str) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """Ranks, and ids by rank, of a lower-case vocabulary whose words' last letters bear ``</w>``; None for other files.
+
+    The suffix is a byte of its own, ``_END``, that merges with the letter before
+    it before all else. After these come the file's merges, so merging the pair of
+    lowest rank takes the steps of the file's list, provided that every token
+    merges back into itself. The library's model of these very merges tries that.
+    """
+    from tokenizers import models
+
+    chain = json.loads(vocabulary_json)
+    model, suffix = chain["model"], "</w>"
+    unusual = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+    known = all(chain.get(k) == v for k, v in _WORDS_CHAIN.items()) and not chain.get("post_processor")
+    if not known or model.get("type") != "BPE" or model.get("end_of_word_suffix") != suffix or any(model.get(k) for k in unusual):
+        return None
+    letters, vocabulary = byte_letters(), model["vocab"]
+    end = letters.pop(ord(_END))
+    byte_of = {letter: b for b, letter in letters.items()}
+    spelt = lambda t: t[: -len(suffix)] + end if t.endswith(suffix) else t
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = {letter: vocabulary.get(letter) for letter in byte_of} | {letter + end: vocabulary.get(letter + suffix) for letter in byte_of}
+    products = {spelt(a + b): vocabulary.get(a + b) for a, b in pairs}
+    if None in [*ids.values(), *products.values()] or len(products) != len(pairs) or set(products) & set(ids) or any(end in p[:-1] or suffix in p for p in products):
+        return None
+    ids = {end: 0} | ids | products
+    rank = {t: i for i, t in enumerate(ids)}
+    merging = models.BPE(vocab=rank, merges=[(letter, end) for letter in byte_of] + [(spelt(a), spelt(b)) for a, b in pairs])
+    if any([t.id for t in merging.tokenize(t)] != [i] for t, i in rank.items()):
+        return None
+    byte_of[end] = ord(_END)
+    return {bytes(map(byte_of.__getitem__, t)): i for t, i in rank.items()}, np.array([*ids.values()], "<u4")
+
+
 class LibraryEncoder:
     """A vocabulary file of the tokenizers library, with the ids that the library gives by default.
 
@@ -148,7 +209,8 @@ class LibraryEncoder:
     library's whole chain, which finds them. Of all others, a byte-level file
     whose merges are ranks (``merge_ranks``) is read by tiktoken, several times
     faster; runs of 10,000 white-space characters and more go through the chain.
-    For other files words are cut at certain pre-token borders and a part met
+    So are texts of settled characters for a file whose words end in a suffix
+    (``suffix_ranks``). For other texts and files words are cut at certain pre-token borders and a part met
     often is encoded once: plain Latin parts by the library's model directly,
     all others by its whole chain. That both give the same ids is tried on a few
     words first.
@@ -171,6 +233,12 @@ class LibraryEncoder:
         self._plain = all(self._direct(t) == self._chain(t) for t in tried)
         self._added = [a.lower() for a in self._added] if self._lower else self._added
         self._ranked = self._by_ranks(merge_ranks(vocabulary_json))
+        self._suffixed = None
+        if found := suffix_ranks(vocabulary_json):
+            import tiktoken
+
+            ranks, self._id_of = found
+            self._suffixed, self._words = tiktoken.Encoding("suffixed", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}), _settled_words()
         self.forget()
 
     def _by_ranks(self, ranks: dict[bytes, int] | None):
@@ -229,6 +297,8 @@ class LibraryEncoder:
             return self._chain(text)
         if self._ranked:
             return self._chain(text) if _LONG_BLANK.search(text) else self._ranked.encode_to_numpy(text).astype("<u4").tobytes()
+        if self._suffixed and not _UNSETTLED.search(text):
+            return self._id_of[self._suffixed.encode_to_numpy(_END.join([*self._words.findall(seen), ""]))].tobytes()
         first, *rest = space_cut(text)
         known = self._known
         try:
