@@ -16,23 +16,22 @@ def window_id(host: Column, start: Column) -> Column:
     return F.concat(host, F.lit("-"), start, F.lit("-"), F.substring(F.sha2(F.concat(host, F.lit(":"), start).cast("binary"), 256), 1, 16))
 
 
+#: Patterns of IPv4 and IPv6; an octet is told by its first digit, and no more than seven groups stand around a "::".
+_OCTET = r"(?:1\d{0,2}|2(?:[0-4]\d?|5[0-5]?|[6-9])?|[3-9]\d?|0)"
+_FOUR = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+_HEX = "[0-9A-Fa-f]{1,4}+"
+_SIX = rf"^(?:(?:{_HEX}:){{7}}{_HEX}|(?=(?::*+{_HEX}){{0,7}}+:*+$)(?:{_HEX}(?::{_HEX})*+)?::(?:{_HEX}(?::{_HEX})*+)?)$"
+
+
 def is_address6(address: Column) -> Column:
     """Eight groups of one to four hex digits, or fewer around one "::"; the last two may be an IPv4 address."""
-    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    plain = F.regexp_replace(address, rf"(?<=:)(?:{octet}\.){{3}}{octet}$", "0:0")
-    halves = F.split(plain, "::", -1)
-    count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, ":", -1)))
-    groups = F.aggregate(F.transform(halves, count), F.lit(0), lambda a, n: a + n)
-    formed = F.forall(halves, lambda x: (x == "") | x.rlike(r"^[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*$"))
-    return formed & (((F.size(halves) == 1) & (groups == 8)) | ((F.size(halves) == 2) & (groups <= 7)))
+    plain = F.when(F.contains(address, F.lit(".")), F.regexp_replace(address, rf"(?<=:){_FOUR}$", "0:0")).otherwise(address)
+    return plain.rlike(_SIX)
 
 
 def subnet(address: Column) -> Column:
     """``a.b.c.0/24`` for IPv4, ``ipv6`` for IPv6, else ``invalid``."""
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    four = rf"^({octet}\.{octet}\.{octet})\.{octet}$"
-    head = F.regexp_extract(address, four, 1)
-    return F.when(head != "", F.concat(head, F.lit(".0/24"))).when(is_address6(address), F.lit("ipv6")).otherwise(F.lit("invalid"))
+    return F.when(address.rlike(rf"^{_FOUR}$"), F.concat(F.substring_index(address, ".", 3), F.lit(".0/24"))).when(is_address6(address), F.lit("ipv6")).otherwise(F.lit("invalid"))
 
 
 def is_ipv6(address: Column) -> Column:

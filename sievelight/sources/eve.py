@@ -25,24 +25,26 @@ def flow_features(records: DataFrame, seconds: int = 60) -> DataFrame:
     """The 24 network features per host and window.
 
     Ports, addresses and protocols count in all records; packets, bytes and
-    durations in flows only. Distinct values are counted as groups before they
-    meet their window, and flows alone are dealt by window for the percentiles, so
-    no record is multiplied.
+    durations in flows only. Kinds of records and distinct values are counted as
+    groups before they meet their window, so texts are looked at once a group, and
+    flows alone are dealt by window for the percentiles: no record is multiplied.
+    A flow's start and end are texts or timestamps.
     """
     of = lambda t: F.col("event_type") == t
     number = lambda name: F.coalesce(F.col(f"flow.{name}"), F.lit(0))
     key = ["host", "window_start"]
     rows = records.withColumn("window_start", (F.floor(F.col("ts") / seconds) * seconds).cast("long"))
-    proto = F.upper("proto")
-    share = lambda c: rounded(F.count_if(c) / F.greatest(F.count("proto"), F.lit(1)))
-    stats = rows.groupBy(*key).agg(
-        *[F.count_if(of(t)).alias(f"n_{t}") for t in ("flow", "alert", "dns", "http", "tls", "fileinfo")],
-        share(proto == "TCP").alias("frac_tcp"),
-        share(proto == "UDP").alias("frac_udp"),
-        share(F.contains(proto, F.lit("ICMP"))).alias("frac_icmp"),
-        F.count_if(of("tls")).alias("n_tls_handshakes"),
-        F.coalesce(F.max(F.greatest(F.col("alert.severity").try_cast("int"), F.lit(0))), F.lit(0)).alias("max_severity"),
-        F.count_if(of("dns")).alias("n_dns_queries"),
+    kinds = rows.groupBy(*key, "event_type", F.upper("proto").alias("proto"), F.col("alert.severity").alias("severity")).agg(F.count("*").alias("c"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0))
+    share = lambda c: rounded(total(c) / F.greatest(total(F.col("proto").isNotNull()), F.lit(1)))
+    stats = kinds.groupBy(*key).agg(
+        *[total(of(t)).alias(f"n_{t}") for t in ("flow", "alert", "dns", "http", "tls", "fileinfo")],
+        share(F.col("proto") == "TCP").alias("frac_tcp"),
+        share(F.col("proto") == "UDP").alias("frac_udp"),
+        share(F.contains("proto", F.lit("ICMP"))).alias("frac_icmp"),
+        total(of("tls")).alias("n_tls_handshakes"),
+        F.coalesce(F.max(F.greatest(F.col("severity").try_cast("int"), F.lit(0))), F.lit(0)).alias("max_severity"),
+        total(of("dns")).alias("n_dns_queries"),
     )
     lasted = F.greatest(rfc3339(F.col("flow.end")) - rfc3339(F.col("flow.start")), F.lit(0.0))
     flows = rows.where(of("flow")).select(*key, number("pkts_toserver").alias("pkts"), number("pkts_toclient").alias("back"), number("bytes_toserver").alias("bytes"), number("bytes_toclient").alias("bytes_back"), lasted.alias("lasted"))
@@ -57,9 +59,9 @@ def flow_features(records: DataFrame, seconds: int = 60) -> DataFrame:
         F.avg("lasted").alias("mean_duration"),
         p90("lasted").alias("p90_duration"),
     )
-    six = F.count_if(is_ipv6(F.col("src_ip")) | is_ipv6(F.col("dest_ip")))
-    addresses = rows.groupBy(*key, F.nullif(F.col("dest_ip"), F.lit("")).alias("address")).agg(F.count("*").alias("c"), six.alias("six"))
-    addresses = addresses.groupBy(*key).agg(F.count("address").alias("n_addresses"), rounded(F.sum("six") / F.sum("c")).alias("frac_ipv6"))
+    addresses = rows.groupBy(*key, F.nullif(F.col("dest_ip"), F.lit("")).alias("address")).agg(F.count("*").alias("c"), F.count_if(is_ipv6(F.col("src_ip"))).alias("six"))
+    six = F.when(is_ipv6(F.col("address")), F.col("c")).otherwise(F.col("six"))
+    addresses = addresses.groupBy(*key).agg(F.count("address").alias("n_addresses"), rounded(F.sum(six) / F.sum("c")).alias("frac_ipv6"))
     from ..operators.windows import entropy
 
     ports = entropy(rows.where("dest_port IS NOT NULL"), key, "dest_port", "port_entropy", "n_ports")
