@@ -26,7 +26,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.when(F.col("l_partkey") % 9 == 0, F.concat(F.lit("fe80::"), F.col("l_partkey") % 100)).when(F.col("l_partkey") % 31 == 0, "").otherwise(F.concat(F.lit("10."), F.col("l_partkey") % 200, F.lit("."), F.col("l_orderkey") % 50, F.lit(".7")))
     flow = F.when(kind == "flow", F.struct(
         q.alias("pkts_toserver"), F.when(F.col("l_tax") > 0.04, q * 2).alias("pkts_toclient"), F.floor("l_extendedprice").alias("bytes_toserver"), F.floor(F.col("l_extendedprice") * F.col("l_discount")).alias("bytes_toclient"),
-        text(at).alias("start"), text(F.timestamp_micros(F.unix_micros(at) + (q - 5) * 250000)).alias("end"),
+        at.alias("start"), F.timestamp_micros(F.unix_micros(at) + (q - 5) * 250000).alias("end"),
     ))
     return li.select(
         F.concat(F.lit("s"), F.col("l_suppkey") % 12).alias("host"), (F.unix_micros(at) / 1e6).alias("ts"), text(at).alias("timestamp"), kind.alias("event_type"), F.lit("192.0.2.1").alias("src_ip"), address.alias("dest_ip"),
