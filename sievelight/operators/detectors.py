@@ -75,16 +75,16 @@ def logistic(train: DataFrame, test: DataFrame, features: list[str], label: str)
 
 #: Detectors by name: each takes training rows, test rows, features and the label.
 REGISTRY = {
-    "random": lambda train, test, features, label, seed=0: random_scores(test, seed),
-    "memory": lambda train, test, features, label, seed=0: memory_scores(train, test, features, label),
-    "majority": lambda train, test, features, label, seed=0: prevalence_scores(train, test, label),
     "boosted_trees": lambda train, test, features, label, seed=0: boosted_trees(train, test, features, label, seed=seed),
     "logistic": lambda train, test, features, label, seed=0: logistic(train, test, features, label),
+    "majority": lambda train, test, features, label, seed=0: prevalence_scores(train, test, label),
+    "random": lambda train, test, features, label, seed=0: random_scores(test, seed),
+    "memory": lambda train, test, features, label, seed=0: memory_scores(train, test, features, label),
 }
 
 
 def detector(name: str):
     """The detector of a name; ``KeyError`` lists the names there are."""
     if name not in REGISTRY:
-        raise KeyError(f"{name!r} is no detector: one of {', '.join(sorted(REGISTRY))}")
+        raise KeyError(f"{name!r} is no detector: one of {', '.join(REGISTRY)}")
     return REGISTRY[name]

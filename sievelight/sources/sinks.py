@@ -55,11 +55,17 @@ class _Part(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Tasks write hidden files; the commit shows them, an abort deletes them."""
+    """Tasks write into a hidden folder of the job; the commit shows its files, an abort deletes it.
+
+    A task that still runs when its job is aborted finds no folder to write to.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.digits, self.most = int(options.get("digits", DIGITS)), int(options.get("mostitems", MOST_ITEMS))
+        self.job = f"_job-{uuid.uuid4().hex}"
+        files, top = self._files()
+        files.create_dir(f"{top}/{self.job}", recursive=True)
 
     def _files(self):
         from pyarrow import fs
@@ -68,18 +74,13 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         files, top = self._files()
-        files.create_dir(top, recursive=True)
         name = f"part-{uuid.uuid4().hex}.json"
-        hidden, rows = f"{top}/_{name}", 0
-        try:
-            with files.open_output_stream(hidden) as out:
-                for batch in iterator:
-                    for row in batch.to_pylist():
-                        out.write(json.dumps(exported(row, self.digits, self.most), ensure_ascii=False, allow_nan=False).encode() + b"\n")
-                        rows += 1
-        except BaseException:
-            files.delete_file(hidden)
-            raise
+        hidden, rows = f"{top}/{self.job}/{name}", 0
+        with files.open_output_stream(hidden) as out:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    out.write(json.dumps(exported(row, self.digits, self.most), ensure_ascii=False, allow_nan=False).encode() + b"\n")
+                    rows += 1
         return _Part(hidden, f"{top}/{name}", rows)
 
     def commit(self, messages: list) -> None:
@@ -87,14 +88,18 @@ class _Writer(DataSourceArrowWriter):
         for m in messages:
             if m is not None:
                 files.move(m.hidden, m.name)
+        files.delete_dir(f"{top}/{self.job}")
         with files.open_output_stream(f"{top}/_SUCCESS") as out:
             out.write(b"")
 
     def abort(self, messages: list) -> None:
-        files, _ = self._files()
-        for m in messages:
-            if m is not None:
-                files.delete_file(m.hidden)
+        files, top = self._files()
+        for last in (False, False, True):
+            try:
+                return files.delete_dir(f"{top}/{self.job}")
+            except OSError:  # a task's last file came in between
+                if last:
+                    raise
 
 
 class GuardedJson(DataSource):

@@ -101,6 +101,21 @@ def test_guarded_json_shows_all_or_nothing(spark, tmp_path):
         sinks.exported({"a": [float("nan")]})
 
 
+def test_a_task_that_outlives_its_job_leaves_no_file(tmp_path):
+    """An abort that knows of no finished task deletes what tasks wrote, and what they would write later."""
+    import pyarrow as pa
+
+    rows = [pa.RecordBatch.from_pylist([{"i": 1}])]
+    kept, dropped = sinks._Writer({"path": str(tmp_path)}), sinks._Writer({"path": str(tmp_path)})
+    part = kept.write(iter(rows))
+    dropped.write(iter(rows))
+    dropped.abort([None, None])
+    with pytest.raises(FileNotFoundError):
+        dropped.write(iter(rows))
+    kept.commit([part, None])
+    assert sorted(os.listdir(tmp_path)) == sorted(["_SUCCESS", os.path.basename(part.name)])
+
+
 def test_scored_csv(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5, 1234567.0, 0.123456789, "benign"), (2, None, 1e-7, None, "not scored"), (3, -2.0, 0.0, 1.0, 'say "x", y')], "row_id int, a double, b double, score double, verdict string")
     sinks.write_csv(sinks.scored_csv(rows, ["a", "b"]).coalesce(1), str(tmp_path / "csv"))
